@@ -83,3 +83,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     return x
+
+
+#: Odd base of the rolling hashes, and its inverse modulo 2**64.
+ODD = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_powers: dict[str, np.ndarray] = {}
+
+
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the odd base and of its inverse, at least n of them (kept between calls)."""
+    if len(_powers.get("up", ())) < n:
+        for name, base in (("up", ODD), ("down", INVERSE)):
+            p = np.full(max(n, 1 << 20), base, np.uint64)
+            p[0] = 1
+            _powers[name] = np.multiply.accumulate(p)
+    return _powers["up"], _powers["down"]

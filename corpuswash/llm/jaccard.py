@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import chunks, materialize, mix64
+from .common import ODD, chunks, materialize, mix64, power_tables
 from .components import components
 
 WIDTH, PERCENT = 5, 75
@@ -49,8 +49,6 @@ BLOCK_NODES, BLOCK_BYTES, CENTRES = 1024, 24 << 20, 8
 COUNTED, LOCAL, REPEATED, RANKED, SALTS = 3_000_000, 3, 8, 200_000, 32
 BITMAP_WORDS = 1 << 20
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEPS = mix64(np.arange(101, 101 + 16, dtype=np.uint64)) | np.uint64(1)
 _SPACES = (9, 10, 11, 12, 13, 32)
 
@@ -65,25 +63,13 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 _CODES, _WORD = _tables()
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd base and of its inverse, at least n of them (kept between calls)."""
-    if len(_powers.get("up", ())) < n:
-        for name, base in (("up", _ODD), ("down", _INVERSE)):
-            p = np.full(max(n, 1 << 20), base, np.uint64)
-            p[0] = 1
-            _powers[name] = np.multiply.accumulate(p)
-    return _powers["up"], _powers["down"]
-
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
     starts = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
-    up, down = _power_tables(len(data) + 1)
+    up, down = power_tables(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_CODES[data] * up[: len(data)], out=total[1:])
     inside = np.concatenate([[False], _WORD[data], [False]]).astype(np.int8)
@@ -111,7 +97,7 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
 
 def node_of(shingles: np.ndarray) -> int:
     """64-bit hash of a set, as a signed integer."""
-    s = int(mix64(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)) + len(shingles) * int(_ODD)
+    s = int(mix64(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)) + len(shingles) * int(ODD)
     return int(mix64(np.array([s & 0xFFFFFFFFFFFFFFFF], np.uint64)).view(np.int64)[0])
 
 

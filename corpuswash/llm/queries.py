@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprint, jaccard, lang_id, mixing, pii, shards, toxicity, url_filter
+from . import chat_format, decontaminate, fingerprint, jaccard, lang_id, mixing, pii, shards, toxicity, url_filter
 from .common import materialize, remainder, table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -33,6 +33,11 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(said(base).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_items(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -80,6 +85,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_fingerprint": op2_fingerprint,
     "op3_pii": op3_pii,
+    "op4_decontaminate": op4_decontaminate,
     "op5_chat_format": op5_chat_format,
     "op6_url_filter": op6_url_filter,
     "op7_toxicity": op7_toxicity,
