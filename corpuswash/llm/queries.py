@@ -53,15 +53,13 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = remainder("doc_id", 4) == 2
-    scored = toxicity.score(docs, toxicity_model(spark, sf_dir))
+    scored = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
     """The model of op7 and of the pipeline: learned from labelled documents that are not held out."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    return toxicity.learn(docs.join(labels, "doc_id").filter(remainder("doc_id", 4) != 2))
+    return toxicity.learn(docs, labels.filter(remainder("doc_id", 4) != 2))
 
 
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

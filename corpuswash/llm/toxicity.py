@@ -284,10 +284,15 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> ToxicityModel:
     return model
 
 
-def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", per_label: int = SAMPLE_PER_LABEL) -> ToxicityModel:
-    """Model from about per_label training rows of either label."""
-    rows = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(toxic).cast("int").alias("y")).dropna(subset=["t", "y"])
-    found = sorted((str(r["k"]), r["y"], r["t"]) for r in bounded_sample(rows.filter(F.col("y").isin(0, 1)), "y", "k", per_label, "toxicity").collect())
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", per_label: int = SAMPLE_PER_LABEL) -> ToxicityModel:
+    """Model from about per_label labelled documents of either label.
+
+    The sample is drawn from the labels, so that the join with the texts has a small side of bounded size.
+    """
+    rows = labels.select(F.col(key).alias("k"), F.col(toxic).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("k").isNotNull())
+    drawn = F.broadcast(bounded_sample(rows, "y", "k", per_label, "toxicity"))
+    found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.col("t").isNotNull()).join(drawn, "k").collect()
+    found = sorted((str(r["k"]), r["y"], r["t"]) for r in found)
     return fit([t for _, _, t in found], [y for _, y, _ in found])
 
 
