@@ -36,11 +36,12 @@ from .common import ODD, chunks, code_points, materialize, mix64, power_tables
 #: Edits allowed as a part of the item's length.
 EDITS = 0.1
 #: Independent walks, hash tables in all, characters that a table samples.
-WALKS, REPEATS, SAMPLED = 8, 192, 5
+WALKS, REPEATS, SAMPLED = 4, 192, 5
 #: Longest to shortest item of a class; usual q of the q-gram count; characters of items taken at once.
 CLASS_RATIO, GRAM, BLOCK_CHARS = 1.12, 8, 4_000_000
 #: A passage counts as starting at a word that begins up to so many places after its start.
 LATE_WORD = 16
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 
 @lru_cache(maxsize=1)
@@ -65,9 +66,16 @@ def allowed(n: int) -> int:
     return int(n * EDITS + 1e-9)
 
 
-def gram_hashes(cps: np.ndarray, q: int, total: np.ndarray, down: np.ndarray) -> np.ndarray:
+def gram_slots(cps: np.ndarray, q: int, total: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """A slot of the q-gram tables for each q-gram: the high bits of its rolling hash."""
     n = len(cps) - q + 1
-    return mix64((total[q : q + n] - total[:n]) * down[:n]) if n > 0 else np.zeros(0, np.uint64)
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    h = total[q : q + n] - total[:n]
+    h *= down[:n]
+    h *= _SPREAD
+    h >>= np.uint64(42)
+    return h.view(np.int64)
 
 
 def prefix_sums(cps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,19 +102,20 @@ class LengthClass:
     def signatures(self, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(table, signatures of the windows) for each table; walks stop at the window's or the text's end."""
         stop = np.minimum(starts + self.window, ends)
-        needed = {int(s) for s in self.places.ravel()}
-        written: dict[int, np.ndarray] = {}
+        needed, place = np.unique(self.places, return_inverse=True)
+        row = {int(step): k for k, step in enumerate(needed)}
+        written = np.zeros((len(needed), WALKS, len(starts)), np.uint64)
         at = np.tile(starts, (WALKS, 1))
-        for step in range(max(needed) + 1):
+        for step in range(int(needed[-1]) + 1):
             seen = np.where(at < stop, cps[np.minimum(at, len(cps) - 1)], 0).astype(np.uint64)
-            if step in needed:
-                written[step] = seen.astype(np.uint32)
-            at += ((self.bits[:, step, None] >> (seen & np.uint64(63))) & np.uint64(1)).astype(np.int64)
-        for r in range(REPEATS):
-            sig = np.full(len(starts), np.uint64(r + 1), np.uint64)
-            for s in self.places[r]:
-                sig = sig * ODD + written[int(s)][r % WALKS]
-            yield r, mix64(sig)
+            if step in row:
+                written[row[step]] = seen
+            at += ((self.bits[:, step, None] >> (seen & np.uint64(63))) & np.uint64(1)).view(np.int64)
+        tables = np.arange(REPEATS)
+        sig = np.repeat((tables.astype(np.uint64) + np.uint64(1))[:, None], len(starts), axis=1)
+        for k in range(self.places.shape[1]):
+            sig = sig * ODD + written[place.reshape(self.places.shape)[:, k], tables % WALKS]
+        yield from enumerate(mix64(sig))
 
 
 @dataclass
@@ -114,6 +123,7 @@ class ItemIndex:
     texts: list[str]
     classes: list[LengthClass]
     grams: list[tuple[int, np.ndarray]]  # (q, table of 2**22 sets of 16 classes by hash)
+    own: dict[int, tuple[int, np.ndarray]]  # per item: number of its q-gram table, its sorted slots
 
     @classmethod
     def build(cls, texts: list[str | None], seed: int = 11) -> ItemIndex:
@@ -129,6 +139,7 @@ class ItemIndex:
             classes[-1].items.append(i)
         grams: list[tuple[int, np.ndarray]] = []
         members: list[int] = []
+        own: dict[int, tuple[int, np.ndarray]] = {}
         for c in classes:
             longest = max(len(texts[i]) for i in c.items)
             c.least = max(1, min(len(texts[i]) - c.gram + 1 - c.gram * allowed(len(texts[i])) for i in c.items))
@@ -144,12 +155,15 @@ class ItemIndex:
             c.places = np.sort(np.stack([draw.choice(reach, min(SAMPLED, reach), replace=False) for _ in range(REPEATS)]), axis=1)
             cps, starts = code_points([texts[i] for i in c.items])
             total, down = prefix_sums(cps)
-            grams[c.flag[0]][1][(gram_hashes(cps, c.gram, total, down) >> np.uint64(42)).astype(np.int64)] |= np.uint16(1 << c.flag[1])
+            slots = gram_slots(cps, c.gram, total, down)
+            grams[c.flag[0]][1][slots] |= np.uint16(1 << c.flag[1])
+            for i, a, b in zip(c.items, starts[:-1], starts[1:]):
+                own[i] = (c.flag[0], np.unique(slots[a : b - c.gram]))
             tables = dict(c.signatures(cps, starts[:-1].copy(), starts[1:] - 1))
             for r in range(REPEATS):
                 by = np.argsort(tables[r], kind="stable")
                 c.tables.append((tables[r][by], np.asarray(c.items)[by]))
-        return cls(texts, classes, grams)
+        return cls(texts, classes, grams, own)
 
 
 def best_passage(item: str, text: str) -> tuple[int, int]:
@@ -193,17 +207,26 @@ def matches(index: ItemIndex, texts: list[str | None]) -> list[tuple[int, int, i
     ends = starts[owner + 1] - 1
     total, down = prefix_sums(cps)
     pairs: list[tuple[int, int, int]] = []
-    masks: list[np.ndarray] = []
-    for q, flags in index.grams:
-        masks.append(flags[(gram_hashes(cps, q, total, down) >> np.uint64(42)).astype(np.int64)])
-    counted = np.zeros(len(cps) + 1, np.int32)
+    hits: list[tuple[np.ndarray, np.ndarray]] = []
+    slots = [gram_slots(cps, q, total, down) for q, _ in index.grams]
+    for (_, flags), slot in zip(index.grams, slots):
+        mask = flags[slot]
+        at = np.flatnonzero(mask)
+        hits.append((at, mask[at]))
     for c in index.classes:
-        mask = masks[c.flag[0]]
-        counted[1 : len(mask) + 1] = np.cumsum((mask >> np.uint16(c.flag[1])) & np.uint16(1), dtype=np.int32)
-        counted[len(mask) + 1 :] = counted[len(mask)]
-        lo = np.maximum(words - LATE_WORD, starts[owner])
-        hi = np.minimum(words + c.span, ends)
-        could = np.flatnonzero(counted[hi] - counted[lo] >= c.least)
+        at, mask = hits[c.flag[0]]
+        at = at[(mask >> np.uint16(c.flag[1])) & np.uint16(1) == 1]
+        # Runs of enough hits close together; only words near them can start a window with enough hits.
+        dense = np.flatnonzero(at[c.least - 1 :] - at[: max(0, len(at) - c.least + 1)] < c.span + LATE_WORD)
+        if not len(dense):
+            continue
+        near = np.zeros(len(words) + 1, np.int32)
+        np.add.at(near, np.searchsorted(words, at[dense + c.least - 1] - c.span, "left"), 1)
+        np.add.at(near, np.searchsorted(words, at[dense] + LATE_WORD, "right"), -1)
+        could = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+        lo = np.maximum(words[could] - LATE_WORD, starts[owner[could]])
+        hi = np.minimum(words[could] + c.span, ends[could])
+        could = could[np.searchsorted(at, hi, "left") - np.searchsorted(at, lo, "left") >= c.least]
         for a in range(0, len(could), 10_000):
             some = could[a : a + 10_000]
             for r, sig in c.signatures(cps, words[some], ends[some]):
@@ -225,6 +248,11 @@ def matches(index: ItemIndex, texts: list[str | None]) -> list[tuple[int, int, i
         k = allowed(len(want))
         lo = max(int(starts[doc]), first - 2 * k - LATE_WORD)
         hi = min(int(starts[doc + 1]) - 1, last + len(want) + 2 * k + 1)
+        which, known = index.own[item]
+        q = index.grams[which][0]
+        here = slots[which][lo : max(lo, hi - q + 1)]
+        if (known[np.minimum(np.searchsorted(known, here), len(known) - 1)] == here).sum() < len(want) - q + 1 - q * k:
+            continue  # too few of the item's own q-grams
         near = cps[lo:hi].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
         at = near.find(want)
         edits, end = (0, at + len(want)) if at >= 0 else best_passage(want, near)
