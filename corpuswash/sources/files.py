@@ -88,6 +88,7 @@ def image_format(content: Column) -> Column:
     )
 
 
-def stream_files(spark: SparkSession, folder: str, schema_of: DataFrame | None = None):
-    """A file stream over a folder (path, modificationTime, length, content)."""
-    return spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+def stream_files(spark: SparkSession, folder: str) -> DataFrame:
+    """A file stream over a folder."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    return spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder)
