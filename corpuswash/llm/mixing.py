@@ -12,7 +12,7 @@ Every (source, bucket) has its own integer quota, the part of the source's quota
 Only DataFrame functions run here.
 
 Defined results: a null source is a source of its own, the last; null text has size 0; size-0 documents take
-nothing; equal rows are interchangeable; an empty table gives no rows; extra columns stay.
+nothing; of equal quotients the source first in order wins; equal rows are interchangeable; an empty table gives no rows; extra columns stay.
 """
 
 from __future__ import annotations
@@ -67,7 +67,7 @@ def quotas(sizes: DataFrame, weights: Sequence[int], block: int, most: int) -> D
     seat = F.when(F.col("_miss") > 0, F.col("_q") + F.col("_k")).otherwise(F.col("_q") - 1 - F.col("_k"))
     tried = tried.withColumn("_seat", seat).filter(F.col("_seat") >= 0)
     quotient = F.col("target") / (2 * F.col("_seat") + 1)
-    tried = tried.withColumn("_rank", F.row_number().over(Window.orderBy(F.when(F.col("_miss") > 0, -quotient).otherwise(quotient), "_i")))
+    tried = tried.withColumn("_rank", F.row_number().over(Window.orderBy(F.when(F.col("_miss") > 0, -quotient).otherwise(quotient), F.col("_i") * F.signum("_miss"))))
     moved = tried.filter(F.col("_rank") <= F.abs("_miss")).groupBy("_i").agg(F.sum(F.signum("_miss")).cast("long").alias("_moved"))
     return rounded.join(moved, "_i", "left").select(
         "source", "source_size", "target", (F.col("_q") + F.coalesce("_moved", F.lit(0))).cast("long").alias("quota")

@@ -131,7 +131,7 @@ t AS (SELECT *, CASE WHEN ratio <= level THEN CAST(cap AS DOUBLE)
 q AS (SELECT *, floor(target / 16 + 0.5) AS q0, floor((SELECT sum(source_size) FROM s) / 16 + 0.5) - sum(floor(target / 16 + 0.5)) OVER () AS miss FROM t),
 k AS (SELECT i, miss, target, CASE WHEN miss > 0 THEN q0 + j ELSE q0 - 1 - j END AS seat
   FROM q, (SELECT unnest(range(CAST((SELECT max(abs(miss)) FROM q) AS BIGINT) + 1)) AS j) WHERE miss <> 0),
-r AS (SELECT i, miss, row_number() OVER (ORDER BY CASE WHEN miss > 0 THEN -target / (2 * seat + 1) ELSE target / (2 * seat + 1) END, i) AS n FROM k WHERE seat >= 0),
+r AS (SELECT i, miss, row_number() OVER (ORDER BY CASE WHEN miss > 0 THEN -target / (2 * seat + 1) ELSE target / (2 * seat + 1) END, i * sign(miss)) AS n FROM k WHERE seat >= 0),
 m AS (SELECT i, sum(sign(miss)) AS moved FROM r WHERE n <= abs(miss) GROUP BY i),
 g AS (SELECT source, source_size, target, greatest(ceil(source_size / 16.0), 1) AS blocks,
     least(q0 + coalesce(moved, 0), 3 * greatest(ceil(source_size / 16.0), 1)) AS quota FROM q LEFT JOIN m USING (i)),

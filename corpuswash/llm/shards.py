@@ -32,6 +32,8 @@ def hilbert_index(cells: Sequence[np.ndarray], bits: int = BITS) -> np.ndarray:
     """Curve index of the cells (one array per dimension, values below 2**bits), by the transposed-axes method."""
     x = [np.asarray(c, np.int64).copy() for c in cells]
     n, q = len(x), 1 << (bits - 1)
+    if n == 1:
+        return x[0]
     while q > 1:
         p = q - 1
         for i in range(n):
@@ -81,6 +83,7 @@ def hilbert_shards(df: DataFrame, dims: Sequence[str], keys: Sequence[str], n_sh
     @F.pandas_udf("long")
     def curve(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
+            columns = columns if isinstance(columns, tuple) else (columns,)  # one dimension comes bare
             yield pd.Series(hilbert_index([np.searchsorted(c, x.to_numpy(), side="right") for c, x in zip(cuts, columns)], bits))
 
     order = ["curve", *keys]

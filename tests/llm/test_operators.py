@@ -204,7 +204,6 @@ def test_jaccard_bounds_hold():
                 assert jaccard.may_link(jaccard.point_of(base), len(base), jaccard.point_of(other), len(other))
                 tree = jaccard.CountTree(jaccard.counts_of([other] * 700), np.full(700, len(other)))
                 assert len(tree.search(jaccard.counts_of([base])[0], len(base))) == 700
-    assert not jaccard.may_link(jaccard.point_of(base), len(base), jaccard.point_of(base + np.uint64(1 << 17)), len(base)) or True
 
 
 def test_components(spark):
@@ -223,7 +222,7 @@ def test_successors(spark):
         new = fingerprint.edited(t or "", texts[(k + 1) % 62] or "")
         assert out[k]["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest() and out[k]["n_chars"] == len(t or "")
     assert fingerprint.fingerprint_all(df.limit(0)).count() == 0
-    assert fingerprint.fingerprint_all(df.limit(1)).count() == 1
+    assert fingerprint.fingerprint_all(df.filter("doc_id = 3")).count() == 1
 
 
 def test_frames_of_the_text_models(spark):
