@@ -13,7 +13,8 @@ into one weight for each subsequence; scoring a token is a sum over its own subs
 
 Labels belong to documents.  Tokens that occur in many different surroundings in toxic training sentences and
 hardly in others are the positive examples (surroundings, since copies of one document repeat all its tokens in
-one surrounding); tokens of the other sentences are the negative ones.  A document's score is that of its worst
+one surrounding); tokens of the other sentences are the negative ones, drawn at random first and then by how high a
+first machine rates them.  A document's score is that of its worst
 token, on a scale whose 0.3 divides the training documents best.
 
 Defined results: null, empty and letterless texts score 0; with no toxic or no other training row everything
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, chunks, code_points
 
 #: Training texts of each label (about), landmarks at most, training tokens of the negative class.
-SAMPLE_PER_LABEL, LANDMARKS, NEGATIVES = 3000, 500, 5000
+SAMPLE_PER_LABEL, LANDMARKS, NEGATIVES = 3000, 500, 4000
 #: Weight of each place of a subsequence's spread; marks in a subsequence; places it may skip in all.
 DECAY, ORDER, SKIPS = 0.7, 4, 2
 THRESHOLD = 0.3
@@ -234,6 +235,31 @@ def variants(token: bytes, draw: np.random.Generator) -> list[bytes]:
     return out
 
 
+def token_values(tokens: list[bytes], model: ToxicityModel) -> np.ndarray:
+    """The machine's values for tokens."""
+    marks = np.frombuffer(b"\0" + b"\0".join(tokens) + b"\0", np.uint8)
+    bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in tokens])]).astype(np.int64)
+    return token_sums(marks, bounds, model.weights) + model.bias
+
+
+def machine(positive: list[bytes], spelled: list[bytes], negative: list[bytes], near: list[bytes]) -> ToxicityModel:
+    """The machine trained on positive, spelled (variants) and negative tokens, with landmarks positive and near."""
+    tokens = [*positive, *spelled, *negative]
+    y = np.array([1.0] * (len(positive) + len(spelled)) + [-1.0] * len(negative))
+    marks = [*positive, *near]
+    lam, vec = np.linalg.eigh(kernel(marks, marks))
+    keep = lam > 1e-6 * lam.max()
+    root = vec[:, keep] / np.sqrt(lam[keep])
+    cost = np.where(y > 0, 20.0 * len(negative) / max(1, (y > 0).sum()), 100.0)
+    cost[: len(positive)] *= 8  # the spellings seen count more than those made up
+    w, bias = train_svm(kernel(tokens, marks) @ root, y, cost)
+    weights = np.zeros(_RADIX**ORDER, np.float32)
+    for token, b in zip(marks, root @ w):
+        for code, v in feature_map(token).items():
+            weights[code] += b * v
+    return ToxicityModel(weights, bias)
+
+
 def fit(texts: list[str], toxic: list[int], seed: int = 7) -> ToxicityModel:
     bad = [t for t, y in zip(texts, toxic) if y]
     good = [t for t, y in zip(texts, toxic) if not y]
@@ -243,7 +269,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> ToxicityModel:
     in_bad, _ = surroundings(bad)
     in_good, _ = surroundings(good)
     scale = max(1.0, sum(map(len, good)) / max(1, sum(map(len, bad))))
-    least = 3 if len(bad) < 200 else 5
+    least = max(3, len(bad) // 200)
     odds = {t: (len(c) + 0.1) * scale / (len(in_good.get(t, ())) + 0.1) for t, c in in_bad.items() if len(c) >= least}
     positive = sorted(t for t, o in odds.items() if o >= 20 and len(in_bad[t]) >= 10 * len(in_good.get(t, ())))
     if not positive:
@@ -256,23 +282,14 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> ToxicityModel:
     rest = [negative[i] for i in draw.choice(len(negative), min(NEGATIVES, len(negative)), replace=False)] if negative else []
     negative = sorted(set(common) | set(rest))
     spelled = [v for t in positive for v in variants(t, draw)]
-    tokens = [*positive, *spelled, *negative]
-    y = np.array([1.0] * (len(positive) + len(spelled)) + [-1.0] * len(negative))
+    others = sorted(t for t in in_good if t not in known)
     near = [negative[i] for i in draw.choice(len(negative), min(LANDMARKS - len(positive), len(negative)), replace=False)] if negative else []
-    marks = [*positive, *near]
-    inner = kernel(marks, marks)
-    lam, vec = np.linalg.eigh(inner)
-    keep = lam > 1e-6 * lam.max()
-    root = vec[:, keep] / np.sqrt(lam[keep])
-    mapped = kernel(tokens, marks) @ root
-    cost = np.where(y > 0, 10.0 * len(negative) / max(1, (y > 0).sum()) / 5, 10.0)
-    w, bias = train_svm(mapped, y, cost)
-    of_landmark = root @ w
-    weights = np.zeros(_RADIX**ORDER, np.float32)
-    for token, b in zip(marks, of_landmark):
-        for code, v in feature_map(token).items():
-            weights[code] += b * v
-    model = ToxicityModel(weights, bias)
+    model = machine(positive, spelled, negative, near)
+    # Once more, with the harmless tokens that came out highest among the negative examples and landmarks.
+    value = token_values(others, model)
+    hard = [others[i] for i in np.argsort(-value, kind="stable")[: NEGATIVES // 2]]
+    near = list(dict.fromkeys([*hard[: len(near) // 2], *near]))[: len(near)]
+    model = machine(positive, spelled, sorted({*negative, *hard}), near)
     # The threshold between values that errs least on the training texts.
     v = np.concatenate([model.values(texts[a:b]) for a, b in chunks(texts)])
     t = np.asarray(toxic, float)
@@ -280,7 +297,9 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> ToxicityModel:
     right = np.cumsum(np.where(t[order] > 0, 1, -1))
     k = int(np.argmax(right))
     above, under = v[order[k]], v[order[k + 1]] if k + 1 < len(order) else v[order[k]] - 1
-    model.middle = float((above + max(under, above - 1)) / 2) if np.isfinite(above) else 0.0
+    middle = float((above + max(under, above - 1)) / 2) if np.isfinite(above) else 0.0
+    # No higher than what nearly all the examples themselves reach.
+    model.middle = min(middle, float(np.quantile(token_values(positive, model), 0.05)) - 0.05)
     return model
 
 
