@@ -208,9 +208,10 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60))) * np.isfinite(z)
 
 
-def surroundings(texts: list[str]) -> tuple[dict[bytes, set[int]], set[bytes]]:
-    """For every token the different pairs of neighbours it has."""
-    seen: dict[bytes, set[int]] = {}
+def surroundings(texts: list[str]) -> dict[bytes, int]:
+    """For every token the number of different pairs of neighbours it has."""
+    count: dict[bytes, int] = {}
+    met: set[int] = set()
     for a, b in chunks(texts):
         marks, bounds, text_of = tokens_of(texts[a:b])
         raw = marks.tobytes()
@@ -219,8 +220,11 @@ def surroundings(texts: list[str]) -> tuple[dict[bytes, set[int]], set[bytes]]:
             if 3 <= len(token) <= 40:
                 left = own[k - 1] if k and text_of[k - 1] == text_of[k] else b""
                 right = own[k + 1] if k + 1 < len(own) and text_of[k + 1] == text_of[k] else b""
-                seen.setdefault(token, set()).add(hash((left, right)))
-    return seen, set(seen)
+                pair = hash((left, token, right))
+                if pair not in met:
+                    met.add(pair)
+                    count[token] = count.get(token, 0) + 1
+    return count
 
 
 def variants(token: bytes, draw: np.random.Generator) -> list[bytes]:
@@ -266,19 +270,18 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> ToxicityModel:
     if not bad or not good:
         return ToxicityModel(None)
     draw = np.random.default_rng(seed)
-    in_bad, _ = surroundings(bad)
-    in_good, _ = surroundings(good)
+    in_bad, in_good = surroundings(bad), surroundings(good)
     scale = max(1.0, sum(map(len, good)) / max(1, sum(map(len, bad))))
     least = max(3, len(bad) // 200)
-    odds = {t: (len(c) + 0.1) * scale / (len(in_good.get(t, ())) + 0.1) for t, c in in_bad.items() if len(c) >= least}
-    positive = sorted(t for t, o in odds.items() if o >= 20 and len(in_bad[t]) >= 10 * len(in_good.get(t, ())))
+    odds = {t: (c + 0.1) * scale / (in_good.get(t, 0) + 0.1) for t, c in in_bad.items() if c >= least}
+    positive = sorted(t for t, o in odds.items() if o >= 20 and in_bad[t] >= 10 * in_good.get(t, 0))
     if not positive:
         return ToxicityModel(None)
-    positive.sort(key=lambda t: (-len(in_bad[t]), t))
+    positive.sort(key=lambda t: (-in_bad[t], t))
     positive = positive[: LANDMARKS // 2]
     known = set(positive)
     negative = sorted(t for t in in_good if t not in known)
-    common = sorted(negative, key=lambda t: (-len(in_good[t]), t))[: NEGATIVES // 5]
+    common = sorted(negative, key=lambda t: (-in_good[t], t))[: NEGATIVES // 5]
     rest = [negative[i] for i in draw.choice(len(negative), min(NEGATIVES, len(negative)), replace=False)] if negative else []
     negative = sorted(set(common) | set(rest))
     spelled = [v for t in positive for v in variants(t, draw)]
@@ -298,8 +301,11 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> ToxicityModel:
     k = int(np.argmax(right))
     above, under = v[order[k]], v[order[k + 1]] if k + 1 < len(order) else v[order[k]] - 1
     middle = float((above + max(under, above - 1)) / 2) if np.isfinite(above) else 0.0
-    # No higher than what nearly all the examples themselves reach.
-    model.middle = min(middle, float(np.quantile(token_values(positive, model), 0.05)) - 0.05)
+    # No higher than what nearly all the examples reach, each as often as it was seen.
+    value = token_values(positive, model)
+    order = np.argsort(value, kind="stable")
+    seen = np.cumsum([in_bad[positive[i]] for i in order])
+    model.middle = min(middle, float(value[order[np.searchsorted(seen, 0.03 * seen[-1])]]) - 0.05)
     return model
 
 
