@@ -3,14 +3,16 @@
 A document's set is its distinct shingles of WIDTH words (as 64-bit hashes); equal sets are one node.  Two nodes
 link when ``100 * intersection >= PERCENT * union``.  The join has three parts.
 
+* Points.  The shingles are hashed into groups (more for larger sets); a node's group counts are a point.  The sum
+  over groups of the smaller of two counts bounds the intersection of two sets from above.
 * Cells.  Two linked sets share one of the first n - ceil(n * PERCENT / 100) + 1 elements in any order of all
-  shingles that both use.  Nodes with a common such element fall into one cell; cells of nodes are connected
-  components of that relation, split where sizes alone rule links out.  The order puts shingles that many
-  documents repeat last, so passages that strangers share build no cells; the order never decides a result.
-* R-tree.  In a cell the shingles are hashed into GROUPS groups; a node's group counts are a point.  A packed
-  R-tree over the points is searched for each point: the sum over groups of the smaller of two counts bounds the
-  intersection, for single points as for the upper corner of a box.  What the bound leaves is verified on the
-  sets themselves, unless both nodes are connected already.
+  shingles that both use.  Nodes with a common such element meet: in lists of up to LISTED nodes all pairs whose
+  sizes and points allow a link, in longer ones all nodes with the first.  The connected components of what meets
+  are the cells.  The order puts shingles that many documents repeat last, so passages that strangers share build
+  no cells; the order never decides a result.
+* R-tree.  In a cell a packed R-tree over the points is searched for each point: the bound holds for single points
+  as for the upper corner of a box.  What it leaves is verified on the sets themselves, unless both nodes are
+  connected already.
 * Components.  Verified links form components over all cells.
 
 Cells of many nodes are split into blocks.  Each block is joined in itself and with a few centres that all blocks
@@ -45,9 +47,11 @@ WIDTH, PERCENT = 5, 75
 GROUPS, LEAF, FANOUT = 64, 32, 16
 BLOCK_NODES, BLOCK_BYTES, CENTRES = 1024, 24 << 20, 8
 #: Shingles counted at a time while looking for repeated ones; local count from which one is reported; sum from
-#: which it is ordered last; most of them; parts that a repeated shingle's nodes are dealt to.
-COUNTED, LOCAL, REPEATED, RANKED, SALTS = 3_000_000, 3, 8, 200_000, 32
+#: which it is ordered last, by that sum; most of them; sum from which its nodes are dealt to SALTS parts.
+COUNTED, LOCAL, REPEATED, RANKED, SALTED, SALTS = 4_000_000, 2, 8, 500_000, 2000, 32
 BITMAP_WORDS = 1 << 20
+#: Nodes of a list up to which all its pairs are looked at one by one.
+LISTED = 48
 
 _STEPS = mix64(np.arange(101, 101 + 16, dtype=np.uint64)) | np.uint64(1)
 _SPACES = (9, 10, 11, 12, 13, 32)
@@ -101,6 +105,25 @@ def node_of(shingles: np.ndarray) -> int:
     return int(mix64(np.array([s & 0xFFFFFFFFFFFFFFFF], np.uint64)).view(np.int64)[0])
 
 
+def point_of(shingles: np.ndarray) -> bytes:
+    """Group counts of a set: 64 groups, 256 from 400 elements, 1024 from 1600; empty where a count needs more than a byte."""
+    groups = 64 if len(shingles) < 400 else 256 if len(shingles) < 1600 else 1024
+    counts = np.bincount((shingles >> np.uint64(17)).astype(np.int64) & (groups - 1), minlength=groups)
+    return counts.astype(np.uint8).tobytes() if len(shingles) and counts.max() < 256 else b""
+
+
+def may_link(a: bytes, n: int, b: bytes, m: int) -> bool:
+    """Whether two points allow their sets (of n and m elements) to link; finer points are folded to coarser ones."""
+    if not a or not b:
+        return True
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    groups = min(len(x), len(y))
+    if len(x) != len(y):
+        x, y = (v.reshape(-1, groups).sum(0, dtype=np.uint32) for v in (x, y))
+    common = int(np.minimum(x, y).sum(dtype=np.int64))
+    return (100 + PERCENT) * common >= PERCENT * (n + m)
+
+
 def _rows_with_sets(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, list[np.ndarray]]]:
     for batch in batches:
         texts = batch.column(column).to_pylist()
@@ -109,8 +132,9 @@ def _rows_with_sets(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[
 
 
 def survey(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (key, node, n) of all texts, and rows (shingle, seen) of shingles repeated within a part of the table."""
+    """Rows (key, node, n, point) of all texts, and rows (shingle, seen) of shingles repeated within a part of the table."""
     kind = df.schema[key].dataType.simpleString()
+    names = [key, "node", "n", "point", "shingle", "seen"]
 
     def repeated(kept: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         if not kept:
@@ -127,7 +151,8 @@ def survey(df: DataFrame, key: str, text: str) -> DataFrame:
         def report() -> pa.RecordBatch:
             values, count = repeated(kept)
             none = pa.nulls(len(values), sort)
-            return pa.RecordBatch.from_arrays([none, pa.nulls(len(values), pa.int64()), pa.nulls(len(values), pa.int64()), pa.array(values), pa.array(count.astype(np.int64))], names=[key, "node", "n", "shingle", "seen"])
+            m = len(values)
+            return pa.RecordBatch.from_arrays([none, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(values), pa.array(count.astype(np.int64))], names=names)
 
         for batch, a, sets in _rows_with_sets(batches, 1):
             sort = batch.column(0).type
@@ -138,22 +163,26 @@ def survey(df: DataFrame, key: str, text: str) -> DataFrame:
                     known.add(node)
                     kept.append(s)
                     size += len(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=[key, "node", "n", "shingle", "seen"])
+            sizes, points = pa.array([len(s) for s in sets], pa.int64()), pa.array([point_of(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, m), pa.array(nodes, pa.int64()), sizes, points, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names=names)
             if size > COUNTED:
                 yield report()
                 kept, known, size = [], set(), 0
         if sort is not None:
             yield report()
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, node long, n long, shingle long, seen long")
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, node long, n long, point binary, shingle long, seen long")
+
 
+def postings(df: DataFrame, text: str, ranked: np.ndarray, seen: np.ndarray) -> DataFrame:
+    """(shingle, salt, node, n) for the elements by which nodes meet; copies within a part of the table once.
 
-def postings(df: DataFrame, text: str, ranked: np.ndarray) -> DataFrame:
-    """(shingle, salt, node, n) for the elements by which nodes meet; copies within a part of the table once."""
-    shared = df.sparkSession.sparkContext.broadcast(ranked)
+    ranked: sorted repeated shingles; seen: how often each was seen.  Elements are ordered by (seen, hash).
+    """
+    shared = df.sparkSession.sparkContext.broadcast((ranked, seen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = shared.value
+        last, times = shared.value
         known: set[int] = set()
         for _, _, sets in _rows_with_sets(batches, 0):
             if len(known) > 200_000:
@@ -168,9 +197,10 @@ def postings(df: DataFrame, text: str, ranked: np.ndarray) -> DataFrame:
                 continue
             flat = np.concatenate([s for _, s in fresh])
             if len(last):
-                late = last[np.minimum(np.searchsorted(last, flat), len(last) - 1)] == flat
+                place = np.minimum(np.searchsorted(last, flat), len(last) - 1)
+                late = np.where(last[place] == flat, times[place], 0)
             else:
-                late = np.zeros(len(flat), bool)
+                late = np.zeros(len(flat), np.int64)
             at, token, salt, node_out, n_out = 0, [], [], [], []
             for node, s in fresh:
                 n = len(s)
@@ -183,7 +213,7 @@ def postings(df: DataFrame, text: str, ranked: np.ndarray) -> DataFrame:
                 else:
                     chosen, flag = s[:most], is_late[:most]
                 token.append(chosen)
-                salt.append(np.where(flag, 1 + node % SALTS, 0))
+                salt.append(np.where(flag >= SALTED, 1 + node % SALTS, 0))
                 node_out.append(np.full(len(chosen), node, np.int64))
                 n_out.append(np.full(len(chosen), n, np.int32))
             yield pa.RecordBatch.from_arrays(
@@ -194,18 +224,44 @@ def postings(df: DataFrame, text: str, ranked: np.ndarray) -> DataFrame:
     return df.select(text).mapInArrow(run, "shingle long, salt int, node long, n int")
 
 
-def meeting_edges(posted: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all nodes which meet in an element and whose sizes allow a link."""
-    together = Window.partitionBy("shingle", "salt").orderBy("n", "node")
-    before = F.lag("n").over(together)
-    starts = before.isNull() | ((F.col("salt") == 0) & (before * 100 < F.col("n") * PERCENT))
-    centre = F.last(F.when(F.col("_starts"), F.col("node")), ignorenulls=True).over(together.rowsBetween(Window.unboundedPreceding, 0))
-    stars = posted.withColumn("_starts", starts).select("shingle", "salt", F.col("node").alias("a"), centre.alias("b"))
-    own = stars.filter(F.col("a") != F.col("b")).select("a", "b")
-    # The parts of a repeated shingle are joined by their centres.
-    parts = stars.filter(F.col("salt") > 0).groupBy("shingle", "salt").agg(F.min("b").alias("a"))
-    across = parts.select("a", F.min("a").over(Window.partitionBy("shingle")).alias("b"))
-    return own.union(across.filter(F.col("a") != F.col("b"))).distinct()
+def meetings(posted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of short lists whose sizes allow a link, and edges (a, b) that hold longer lists together."""
+    group = Window.partitionBy("shingle", "salt")
+    together = group.orderBy("n", "node")
+    ahead = F.collect_list(F.struct("node", "n")).over(together.rowsBetween(-(LISTED - 1), -1))
+    whole = group.orderBy("n", "node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    listed = posted.select("shingle", "salt", "node", "n", ahead.alias("ahead"), F.count("*").over(whole).alias("size"), F.first("node").over(whole).alias("centre"))
+    short = (F.col("salt") == 0) & (F.col("size") <= LISTED)
+    met = listed.filter((F.col("size") > 1) | (F.col("salt") > 0)).select(
+        "node",
+        "n",
+        F.when(short, F.col("ahead")).alias("ahead"),
+        F.when(~short, F.col("centre")).alias("centre"),
+        F.when((F.col("salt") > 0) & (F.col("node") == F.col("centre")), F.col("shingle")).alias("part"),
+    )
+    met = materialize(met, "jaccard-met")
+    pairs = met.filter(F.col("centre").isNull()).select(F.col("node").alias("b"), F.col("n").alias("m"), F.explode("ahead").alias("x"))
+    pairs = pairs.filter((F.col("x.node") != F.col("b")) & (F.col("x.n") * 100 >= F.col("m") * PERCENT)).select(F.col("x.node").alias("a"), "b").distinct()
+    own = met.filter(F.col("node") != F.col("centre")).select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    # The parts of a repeated shingle are joined by their first nodes, at most SALTS of them.
+    parts = met.filter(F.col("part").isNotNull()).select("part", F.col("node").alias("a"))
+    across = parts.join(parts.groupBy("part").agg(F.min("a").alias("b")), "part").filter(F.col("a") != F.col("b")).select("a", "b")
+    return pairs, own.unionByName(across).distinct()
+
+
+def allowed_pairs(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose points allow a link.  points: node, n, point."""
+    left = points.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
+    right = points.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "pa", "pb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb, x, y = (batch.column(i).to_pylist() for i in range(2, 6))
+            keep = pa.array([may_link(p, n, q, m) for n, m, p, q in zip(na, nb, x, y)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
 
 
 def bitmap_of(nodes: DataFrame) -> np.ndarray:
@@ -219,7 +275,7 @@ def bitmap_of(nodes: DataFrame) -> np.ndarray:
 
 
 def cell_sets(df: DataFrame, text: str, bitmap: np.ndarray) -> DataFrame:
-    """(node, n, shingles as bytes) of the texts whose node is in the bitmap, copies within a part once."""
+    """(node, shingles as bytes) of the texts whose node is in the bitmap, copies within a part once."""
     shared = df.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,12 +291,12 @@ def cell_sets(df: DataFrame, text: str, bitmap: np.ndarray) -> DataFrame:
                     bits = int(words[(node >> 6) & (BITMAP_WORDS - 1)])
                     if bits >> (node & 63) & 1 and node not in known:
                         known.add(node)
-                        rows.append((node, len(s), s.tobytes()))
+                        rows.append((node, s.tobytes()))
             if rows:
-                node, n, own = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(own, pa.binary())], names=["node", "n", "shingles"])
+                node, own = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(own, pa.binary())], names=["node", "shingles"])
 
-    return df.select(text).mapInArrow(run, "node long, n long, shingles binary")
+    return df.select(text).mapInArrow(run, "node long, shingles binary")
 
 
 class CountTree:
@@ -320,8 +376,9 @@ def join_block(nodes: list[int], sets: list[np.ndarray], asking: np.ndarray, roo
     return found
 
 
-def join_blocks(rows: DataFrame) -> DataFrame:
-    """Links (a, b) within every block.  rows: cell, block, node, n, shingles, asking, root."""
+def join_blocks(df: DataFrame, text: str, plan: DataFrame) -> DataFrame:
+    """Links (a, b) within every block.  plan: node, cell, block, asking, root; the sets come from the texts."""
+    rows = cell_sets(df, text, bitmap_of(plan.select("node"))).join(plan, "node")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     laid = rows.select("cell", "block", "node", "shingles", "asking", "root").repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", "node")
 
@@ -364,41 +421,42 @@ def join_blocks(rows: DataFrame) -> DataFrame:
 def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id (the smallest key reachable by links) for every row."""
     seen = materialize(survey(df, key, text), "jaccard-survey")
-    docs = seen.filter(F.col("node").isNotNull()).select(key, "node", "n")
+    docs = seen.filter(F.col("node").isNotNull()).select(key, "node", "n", "point")
     repeated = seen.filter(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= REPEATED)
-    ranked = repeated.orderBy(F.desc("seen"), "shingle").limit(RANKED).toPandas()["shingle"].to_numpy(np.int64).view(np.uint64)
+    ranked = repeated.orderBy(F.desc("seen"), "shingle").limit(RANKED).toPandas()
+    tokens, times = ranked["shingle"].to_numpy(np.int64).view(np.uint64), ranked["seen"].to_numpy(np.int64)
+    by_token = np.argsort(tokens)
 
-    edges = meeting_edges(postings(df, text, np.sort(ranked)))
+    points = docs.filter(F.col("n") > 0).groupBy("node").agg(F.max("n").alias("n"), F.max("point").alias("point"))
+    pairs, edges = meetings(postings(df, text, tokens[by_token], times[by_token]))
+    edges = edges.unionByName(allowed_pairs(pairs, points))
     cells = components(edges, "jaccard-cells").select("node", F.col("root").alias("cell"))
-    sets = cell_sets(df, text, bitmap_of(cells)).join(cells, "node")
-    sets = materialize(sets.select("cell", "node", "n", "shingles"), "jaccard-sets")
 
-    weight = sets.groupBy("cell").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
+    # Who meets whom is planned on (node, n) alone; the sets are added last, and shuffled only then.
+    sized = points.select("node", "n").join(cells, "node")
+    weight = sized.groupBy("cell").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
     weight = weight.select("cell", F.greatest(F.ceil(F.col("nodes") / BLOCK_NODES), F.ceil(F.col("shingles") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
-    weight = materialize(weight, "jaccard-weight")
-    home = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = sets.join(weight, "cell").withColumn("block", home)
-    own = placed.select("cell", "block", "node", "n", "shingles", F.lit(True).alias("asking"), F.col("node").alias("root"))
+    placed = sized.join(weight, "cell").select("node", "cell", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    placed = materialize(placed, "jaccard-placed")
     split = placed.filter(F.col("blocks") > 1)
     # Centres: in each split cell the smallest nodes of a few slices; every block of the cell gets them.
     slice_ = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(CENTRES))
-    picked = split.groupBy("cell", slice_.alias("slice")).agg(F.min(F.struct("node", "n", "blocks")).alias("c")).select("cell", "c.node", "c.blocks")
-    picked = picked.join(sets, ["cell", "node"]).dropDuplicates(["cell", "node"])
     visit = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    centres = picked.select("cell", visit, "node", "n", "shingles", F.lit(False).alias("asking"), F.col("node").alias("root"))
-    links = materialize(join_blocks(own.unionByName(centres)), "jaccard-links")
+    centres = split.groupBy("cell", "blocks", slice_.alias("slice")).agg(F.min("node").alias("node")).select("node", "cell", visit)
+    plan = placed.select("node", "cell", "block", F.lit(True).alias("asking")).unionByName(centres.withColumn("asking", F.lit(False)))
+    links = materialize(join_blocks(df, text, plan.withColumn("root", F.col("node"))), "jaccard-links")
 
-    if not weight.filter(F.col("blocks") > 1).isEmpty():
+    if not split.isEmpty():
         roots = components(links, "jaccard-inner")
-        settled = split.select("cell", "node", "blocks", "block", "n", "shingles").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        settled = materialize(settled, "jaccard-split")
+        settled = materialize(split.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "jaccard-split")
         largest = settled.groupBy("cell", "root").agg(F.count("*").alias("c")).groupBy("cell").agg(F.max(F.struct("c", "root")).alias("m")).select("cell", F.col("m.root").alias("main"))
         again = settled.join(largest, "cell")
         outside = again.filter(F.col("root") != F.col("main"))
-        spread = outside.select("cell", visit, "node", "n", "shingles", F.lit(True).alias("asking"), "root")
-        within = again.join(outside.select("cell").distinct(), "cell", "left_semi").filter(F.col("root") == F.col("main"))
-        stay = within.select("cell", "block", "node", "n", "shingles", F.lit(False).alias("asking"), "root")
-        links = links.unionByName(join_blocks(spread.unionByName(stay)))
+        spread = outside.select("node", "cell", visit, F.lit(True).alias("asking"), "root")
+        stay = again.filter(F.col("root") == F.col("main")).join(outside.select("cell").distinct(), "cell", "left_semi")
+        plan = materialize(spread.unionByName(stay.select("node", "cell", "block", F.lit(False).alias("asking"), "root")), "jaccard-plan")
+        if not plan.isEmpty():
+            links = links.unionByName(materialize(join_blocks(df, text, plan), "jaccard-outside"))
 
     roots = components(links, "jaccard-links")
     by_node = docs.filter(F.col("n") > 0).groupBy("node").agg(F.min(key).alias("_least"))
