@@ -1,16 +1,19 @@
 """Benchmark items in documents, edits included: CGK embedding, bit-sampling LSH, exact edit distance.
 
 An item of L code points is found in a document where some passage is within floor(L * EDITS) edits of it (texts
-lower-cased, every white space one blank).  Items of similar length form a class with one window length; windows
-of that length start at every word of every document.
+lower-cased, every white space one blank).  Two walks drift apart with every edit, so an item of 2 * PIECE characters
+or more is embedded in pieces of PIECE to 1.5 * PIECE characters: at least one of them has no larger part of edits
+than the item.  Pieces (and shorter items, which are one piece) of similar length form a class with one window
+length; windows of that length start at every word of every document.
 
-* A window is looked at further only if it could hold an item: an item with k edits keeps at least
-  L - q + 1 - q * k of its q-grams, so windows with fewer q-grams of the class's items cannot.  Nothing is lost here.
+* A window is looked at further only if it could hold a piece: one with k edits in L characters keeps at least
+  L - q + 1 - q * k of its q-grams, so windows with fewer q-grams of the class's pieces cannot.  Nothing is lost here.
 * The CGK embedding walks through the window: at each step it writes the current character and moves on by a
   random bit that depends on step and character.  Texts at a small edit distance get outputs at a small Hamming
-  distance.  Each of REPEATS hash tables samples SAMPLED positions of one of WALKS walks; a window meets the items
+  distance.  Each of REPEATS hash tables samples SAMPLED positions of one of WALKS walks; a window meets the pieces
   that agree with it on all of a table's positions.
-* What meets is verified by exact edit distance of the whole item to the best passage around the window.
+* What meets is verified by exact edit distance of the whole item to the best passage around the place where the
+  item would start.
 
 The benchmark is the stated query set: it is taken in blocks of at most BLOCK_CHARS characters, which is also
 the bound of what is broadcast; every block meets all documents.
@@ -37,7 +40,9 @@ from .common import ODD, chunks, code_points, materialize, mix64, power_tables
 EDITS = 0.1
 #: Independent walks, hash tables in all, characters that a table samples.
 WALKS, REPEATS, SAMPLED = 4, 192, 5
-#: Longest to shortest item of a class; usual q of the q-gram count; characters of items taken at once.
+#: Length of the pieces of long items, at least; a cut is moved to a word that starts up to so many places from it.
+PIECE, NEAR_WORD = 160, 8
+#: Longest to shortest piece of a class; usual q of the q-gram count; characters of items taken at once.
 CLASS_RATIO, GRAM, BLOCK_CHARS = 1.12, 8, 4_000_000
 #: A passage counts as starting at a word that begins up to so many places after its start.
 LATE_WORD = 16
@@ -66,6 +71,17 @@ def allowed(n: int) -> int:
     return int(n * EDITS + 1e-9)
 
 
+def pieces(text: str) -> list[tuple[int, int]]:
+    """The pieces [a, b) of an item, which make up all of it; cuts are where words start, if one starts near."""
+    n = max(1, len(text) // PIECE)
+    cuts = [0]
+    for k in range(1, n):
+        at = len(text) * k // n
+        words = [j for j in range(at - NEAR_WORD, at + NEAR_WORD + 1) if text[j - 1] == " " != text[j]]
+        cuts.append(min(words, key=lambda j: abs(j - at), default=at))
+    return list(zip(cuts, [*cuts[1:], len(text)]))
+
+
 def gram_slots(cps: np.ndarray, q: int, total: np.ndarray, down: np.ndarray) -> np.ndarray:
     """A slot of the q-gram tables for each q-gram: the high bits of its rolling hash."""
     n = len(cps) - q + 1
@@ -87,17 +103,17 @@ def prefix_sums(cps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class LengthClass:
-    """Items of similar length with their hash tables."""
+    """Pieces of similar length with their hash tables."""
 
     window: int
     gram: int
     least: int  # q-grams of the benchmark that a window must hold
     span: int  # places in which they are counted
-    items: list[int] = field(default_factory=list)
+    pieces: list[int] = field(default_factory=list)
     flag: tuple[int, int] = (0, 0)  # number of its q-gram table, and its bit there
     bits: np.ndarray = None  # a walk's 64 random bits for each step, one row a walk
     places: np.ndarray = None  # sampled steps, one row a table
-    tables: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # sorted signatures and their items
+    tables: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # sorted signatures and their pieces
 
     def signatures(self, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(table, signatures of the windows) for each table; walks stop at the window's or the text's end."""
@@ -121,6 +137,7 @@ class LengthClass:
 @dataclass
 class ItemIndex:
     texts: list[str]
+    pieces: list[tuple[int, int]]  # item, and where the piece starts in it
     classes: list[LengthClass]
     grams: list[tuple[int, np.ndarray]]  # (q, table of 2**22 sets of 16 classes by hash)
     own: dict[int, tuple[int, np.ndarray]]  # per item: number of its q-gram table, its sorted slots
@@ -129,20 +146,21 @@ class ItemIndex:
     def build(cls, texts: list[str | None], seed: int = 11) -> ItemIndex:
         texts = [plain(t or "") for t in texts]
         draw = np.random.default_rng(seed)
-        order = sorted((len(t), i) for i, t in enumerate(texts) if t.strip())
+        cut = [(i, a, b) for i, t in enumerate(texts) if t.strip() for a, b in pieces(t)]
+        parts = [texts[i][a:b] for i, a, b in cut]
         classes: list[LengthClass] = []
-        for n, i in order:
+        for n, i in sorted((len(t), i) for i, t in enumerate(parts)):
             if not classes or n > classes[-1].window * CLASS_RATIO:
                 k = allowed(n)
                 q = GRAM if n - GRAM + 1 - GRAM * k >= max(1, n // 20) else max(1, (n + 1) // (k + 1) - (1 if k else 0))
                 classes.append(LengthClass(n, min(q, n), 0, n))
-            classes[-1].items.append(i)
+            classes[-1].pieces.append(i)
         grams: list[tuple[int, np.ndarray]] = []
         members: list[int] = []
         own: dict[int, tuple[int, np.ndarray]] = {}
         for c in classes:
-            longest = max(len(texts[i]) for i in c.items)
-            c.least = max(1, min(len(texts[i]) - c.gram + 1 - c.gram * allowed(len(texts[i])) for i in c.items))
+            longest = max(len(parts[i]) for i in c.pieces)
+            c.least = max(1, min(len(parts[i]) - c.gram + 1 - c.gram * allowed(len(parts[i])) for i in c.pieces))
             c.span = longest + allowed(longest)
             at = next((k for k, (q, _) in enumerate(grams) if q == c.gram and members[k] < 16), len(grams))
             if at == len(grams):
@@ -153,17 +171,22 @@ class ItemIndex:
             c.bits = draw.integers(0, 1 << 63, (WALKS, 2 * c.window + 1), dtype=np.uint64, endpoint=True) ^ (draw.integers(0, 2, (WALKS, 2 * c.window + 1), dtype=np.uint64) << np.uint64(63))
             reach = max(1, 2 * c.window - 2)
             c.places = np.sort(np.stack([draw.choice(reach, min(SAMPLED, reach), replace=False) for _ in range(REPEATS)]), axis=1)
-            cps, starts = code_points([texts[i] for i in c.items])
+            cps, starts = code_points([parts[i] for i in c.pieces])
             total, down = prefix_sums(cps)
             slots = gram_slots(cps, c.gram, total, down)
             grams[c.flag[0]][1][slots] |= np.uint16(1 << c.flag[1])
-            for i, a, b in zip(c.items, starts[:-1], starts[1:]):
-                own[i] = (c.flag[0], np.unique(slots[a : b - c.gram]))
+            for i, a, b in zip(c.pieces, starts[:-1], starts[1:]):
+                item, _, end = cut[i]
+                if end - cut[i][1] == len(texts[item]):
+                    own[item] = (c.flag[0], np.unique(slots[a : b - c.gram]))
+                elif item not in own:
+                    whole, _ = code_points([texts[item]])
+                    own[item] = (c.flag[0], np.unique(gram_slots(whole[:-1], c.gram, *prefix_sums(whole[:-1]))))
             tables = dict(c.signatures(cps, starts[:-1].copy(), starts[1:] - 1))
             for r in range(REPEATS):
                 by = np.argsort(tables[r], kind="stable")
-                c.tables.append((tables[r][by], np.asarray(c.items)[by]))
-        return cls(texts, classes, grams, own)
+                c.tables.append((tables[r][by], np.asarray(c.pieces, np.int32)[by]))
+        return cls(texts, [(i, a) for i, a, _ in cut], classes, grams, own)
 
 
 def best_passage(item: str, text: str) -> tuple[int, int]:
@@ -230,14 +253,14 @@ def matches(index: ItemIndex, texts: list[str | None]) -> list[tuple[int, int, i
         for a in range(0, len(could), 10_000):
             some = could[a : a + 10_000]
             for r, sig in c.signatures(cps, words[some], ends[some]):
-                known, items = c.tables[r]
+                known, held = c.tables[r]
                 left, right = np.searchsorted(known, sig, "left"), np.searchsorted(known, sig, "right")
                 met = np.flatnonzero(right > left)
                 for k in met.tolist():
-                    pairs.extend((int(owner[some[k]]), int(i), int(words[some[k]])) for i in items[left[k] : right[k]])
-    # Windows of one text and item that lie within an item's length of each other are verified together.
+                    pairs.extend((int(owner[some[k]]), int(i), int(words[some[k]])) for i in held[left[k] : right[k]])
+    # What meets one item at starts within its length of each other is verified together.
     regions: list[list[int]] = []
-    for doc, item, at in sorted(set(pairs)):
+    for doc, item, at in sorted({(doc, index.pieces[i][0], at - index.pieces[i][1]) for doc, i, at in set(pairs)}):
         if regions and regions[-1][:2] == [doc, item] and at - regions[-1][3] <= len(index.texts[item]):
             regions[-1][3] = at
         else:
@@ -247,7 +270,7 @@ def matches(index: ItemIndex, texts: list[str | None]) -> list[tuple[int, int, i
         want = index.texts[item]
         k = allowed(len(want))
         lo = max(int(starts[doc]), first - 2 * k - LATE_WORD)
-        hi = min(int(starts[doc + 1]) - 1, last + len(want) + 2 * k + 1)
+        hi = max(lo, min(int(starts[doc + 1]) - 1, last + len(want) + 2 * k + 1))
         which, known = index.own[item]
         q = index.grams[which][0]
         here = slots[which][lo : max(lo, hi - q + 1)]

@@ -169,6 +169,22 @@ def test_decontamination_recall_and_precision():
     assert decontaminate.matches(index, []) == []
 
 
+@pytest.mark.parametrize("n, count", [(1000, 40), (3000, 25)])
+def test_decontamination_of_long_items(n, count):
+    draw = random.Random(n)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstu") for _ in range(draw.randint(2, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    items = [text(n)[:n].strip() for _ in range(count)]
+    for item in items:
+        cuts = decontaminate.pieces(item)
+        assert "".join(item[a:b] for a, b in cuts) == item and min(b - a for a, b in cuts) >= decontaminate.PIECE - 2 * decontaminate.NEAR_WORD
+    index = decontaminate.ItemIndex.build(items)
+    for share in (0.08, 0.1):
+        docs = [f"{text(50)} {mutate(draw, i, int(len(i) * share))} {text(50)}" for i in items]
+        found = decontaminate.matches(index, docs)
+        assert len(found) >= 0.95 * count and all(d == i and edits <= n * share for d, i, edits, *_ in found)
+
+
 def test_kernel_scores_equal_the_landmark_expansion():
     draw = np.random.default_rng(0)
     tokens = [bytes(draw.integers(1, 27, n).tolist()) for n in (3, 5, 6, 8, 11)]
