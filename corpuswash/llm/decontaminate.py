@@ -4,7 +4,8 @@ An item of L code points is found in a document where some passage is within flo
 lower-cased, every white space one blank).  Two walks drift apart with every edit, so an item of 2 * PIECE characters
 or more is embedded in pieces of PIECE to 1.5 * PIECE characters: at least one of them has no larger part of edits
 than the item.  Pieces (and shorter items, which are one piece) of similar length form a class with one window
-length; windows of that length start at every word of every document.
+length; windows of that length start at every word of every document, and at every place of words longer than
+LATE_WORD (scripts without spaces, joined text).
 
 * A window is looked at further only if it could hold a piece: one with k edits in L characters keeps at least
   L - q + 1 - q * k of its q-grams, so windows with fewer q-grams of the class's pieces cannot.  Nothing is lost here.
@@ -223,7 +224,13 @@ def matches(index: ItemIndex, texts: list[str | None]) -> list[tuple[int, int, i
     cps = plain_table()[raw]
     cps[starts[1:] - 1] = 0  # the end of a text is like no character
     blank = np.concatenate([[True], (cps[:-1] == 32) | (cps[:-1] == 0)])
-    words = np.flatnonzero(blank & (cps != 32) & (cps != 0))
+    solid = (cps != 32) & (cps != 0)
+    starting = blank & solid
+    words = np.flatnonzero(starting)
+    size = np.flatnonzero(solid & np.concatenate([~solid[1:], [True]])) + 1 - words
+    for a, n in zip(words[size > LATE_WORD].tolist(), size[size > LATE_WORD].tolist()):
+        starting[a : a + n] = True
+    words = np.flatnonzero(starting)
     if not len(words):
         return []
     owner = np.searchsorted(starts, words, side="right") - 1

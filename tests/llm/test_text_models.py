@@ -185,6 +185,18 @@ def test_decontamination_of_long_items(n, count):
         assert len(found) >= 0.95 * count and all(d == i and edits <= n * share for d, i, edits, *_ in found)
 
 
+def test_decontamination_without_spaces():
+    draw = random.Random(12)
+    text = lambda n, first, last: "".join(chr(draw.randint(first, last)) for _ in range(n))
+    for first, last in ((0x4E00, 0x5E00), (0x3041, 0x3094), (0x61, 0x7A)):
+        items = [text(n, first, last) for n in (6, 14, 40, 150, 700)]
+        index = decontaminate.ItemIndex.build(items)
+        docs = [text(400, first, last) + i + text(n, first, last) for i in items for n in (400, 0)]
+        assert [(d, i, edits, start) for d, i, edits, start, _ in decontaminate.matches(index, docs)] == [(d, d // 2, 0, 400) for d in range(10)]
+        edited = [text(400, first, last) + i[:20] + "#" + i[21:] + text(400, first, last) for i in items[2:]]
+        assert [(d, i, edits) for d, i, edits, *_ in decontaminate.matches(index, edited)] == [(d, d + 2, 1) for d in range(3)]
+
+
 def test_kernel_scores_equal_the_landmark_expansion():
     draw = np.random.default_rng(0)
     tokens = [bytes(draw.integers(1, 27, n).tolist()) for n in (3, 5, 6, 8, 11)]
