@@ -1,8 +1,10 @@
 """Toxic documents by a subsequence-kernel support vector machine with Nystrom landmarks.
 
-Sentences are scored token by token.  A token keeps its letters only (accents folded, look-alike digits read as
-letters, signs between letters skipped; runs of three or more one-letter tokens are read as one token), with an
-edge mark on either side.  The kernel of two tokens counts the subsequences of four marks they share, each
+Sentences are scored token by token.  A token keeps its letters only (compatibility forms and accents folded,
+look-alike digits read as letters, signs between letters skipped; runs of three or more one-letter tokens are read as
+one token), with an edge mark on either side.  Latin letters have the marks 1 to 26, letters of other scripts the
+rest, an ideograph two of them; Hangul is read by its parts.  Scripts without spaces are read in overlapping tokens of
+two ideographs or four other letters.  The kernel of two tokens counts the subsequences of four marks they share, each
 weighed by DECAY for every place of its spread, with up to two places skipped inside; it is divided by a norm
 that depends on each token's length, so it stays a positive kernel.  Skipped places are what lets ``id-iot``,
 ``idxiot`` and ``idiiot`` share most subsequences with ``idiot``.
@@ -23,6 +25,7 @@ scores 0; repeated rows stay; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,33 +43,87 @@ SAMPLE_PER_LABEL, LANDMARKS, NEGATIVES = 3000, 500, 4000
 #: Weight of each place of a subsequence's spread; marks in a subsequence; places it may skip in all.
 DECAY, ORDER, SKIPS = 0.7, 4, 2
 THRESHOLD = 0.3
-_EDGE, _SPACE, _SKIP, _RADIX = 0, 27, 28, 27
+_EDGE, _WIDE, _SPACE, _SKIP, _RADIX = 0, 253, 254, 255, 27
+#: Marks of letters that are not a to z; slots of the subsequence weights.
+_OTHERS, SLOTS = _WIDE - _RADIX, 1 << 21
+#: What a mark counts in a subsequence's slot: Latin ones itself (slots below 27**4 are exact), others a scattered number.
+_VALUES = np.array([m if m < _RADIX else (m * 0x9E3779B1 >> 7) % SLOTS for m in range(256)], np.int32)
+_VALUE = _VALUES.tolist()
+#: Private code points that stand for the two marks of an ideograph.
+_HALF = 0xF0000
+_HAN = "\u3005\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af"
+_ALPHABETIC = "\u0e01-\u0eff\u0f40-\u0fbc\u1000-\u109f\u1780-\u17d3\u3041-\u3096\u30a1-\u30fa\u30fc\u31f0-\u31ff\uff66-\uff9d"
+_UNSPACED = re.compile(f"[{_HAN}]+|[{_ALPHABETIC}]+")
 #: Digits and signs read as letters (fixed values).
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
 #: Offsets of the second, third and fourth mark after the first.
 STEPS = [(a, a + b, a + b + c) for a in range(1, 2 + SKIPS) for b in range(1, 2 + SKIPS) for c in range(1, 2 + SKIPS) if a + b + c <= ORDER - 1 + SKIPS]
 
 
+def folded(c: str) -> str:
+    """The letters that c is read as."""
+    parts = unicodedata.normalize("NFKD", c)
+    parts = LOOKALIKES.get(parts, parts).lower()
+    return "".join(x for x in unicodedata.normalize("NFKD", parts) if unicodedata.category(x)[0] == "L" or unicodedata.category(x) == "Mc")
+
+
 @lru_cache(maxsize=1)
 def mark_table() -> np.ndarray:
-    """Per code point: 1 to 26 for letters, _SPACE for white space, else _SKIP."""
+    """Per code point: 1 to 26 for Latin letters, up to _WIDE for others, _WIDE for what unfolded() must read first,
+    _SPACE for white space, else _SKIP."""
     table = np.full(0x110000, _SKIP, np.uint8)
-    for cp in range(0x3000):
+    wide = re.compile(f"[{_HAN}{_ALPHABETIC}]")
+    for cp in range(0x32400):
         c = chr(cp)
         if c.isspace():
             table[cp] = _SPACE
-            continue
-        base = unicodedata.normalize("NFKD", LOOKALIKES.get(c, c)).lower()[:1]
-        if "a" <= base <= "z":
-            table[cp] = ord(base) - 96
-    table[0x3000] = _SPACE
+        elif "\u4e00" <= c <= "\u9fff" or wide.match(c):
+            table[cp] = _WIDE
+        elif base := folded(c):
+            if len(base) > 1 or wide.match(base):
+                table[cp] = _WIDE
+            else:
+                table[cp] = ord(base) - 96 if "a" <= base <= "z" else _RADIX + ord(base) % _OTHERS
+    table[_HALF : _HALF + _OTHERS] = np.arange(_RADIX, _WIDE)
     return table
 
 
+class _Letters(dict):
+    """For str.translate: code points that take several marks, as code points of one mark each."""
+
+    def __missing__(self, cp: int) -> str:
+        out = chr(cp)
+        if mark_table()[cp] == _WIDE:
+            out = ""
+            for c in map(ord, folded(chr(cp))):
+                if re.match(f"[{_HAN}]", chr(c)):
+                    out += chr(_HALF + c // _OTHERS % _OTHERS) + chr(_HALF + c % _OTHERS)
+                else:
+                    out += chr(c) if mark_table()[c] < _WIDE else chr(_HALF + c % _OTHERS)
+        self[cp] = out
+        return out
+
+
+_LETTERS = _Letters()
+
+
+def unfolded(text: str) -> str:
+    """text with overlapping tokens in place of unspaced runs, each code point of one mark."""
+
+    def grams(m: re.Match) -> str:
+        run, n = "".join(c for c in m[0] if mark_table()[ord(c)] != _SKIP), 2 if re.match(f"[{_HAN}]", m[0]) else 4
+        return " " + " ".join(run[i : i + n] for i in range(max(1, len(run) - n + 1))) + " "
+
+    return _UNSPACED.sub(grams, text).translate(_LETTERS)
+
+
 def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marks of all texts with one edge before each token and one at the end; the edges' places; each token's text."""
     cps, starts = code_points(texts)
     marks = mark_table()[cps]
+    if (marks == _WIDE).any():
+        cps, starts = code_points([unfolded(t or "") for t in texts])
+        marks = mark_table()[cps]
     at = np.flatnonzero(marks != _SKIP)
     marks = marks[at]
     space = marks == _SPACE
@@ -120,7 +177,8 @@ def token_sums(marks: np.ndarray, bounds: np.ndarray, weights: np.ndarray) -> np
     room = np.repeat(bounds[1:], size) - np.arange(bounds[-1])  # places from a mark to its token's closing edge
     room = np.concatenate([room, np.zeros(n - len(room), room.dtype)])
     reach = np.minimum(room, ORDER + SKIPS).astype(np.uint8)
-    wide = marks.astype(np.int32)
+    wide = _VALUES[marks]
+    scattered = bool((marks >= _RADIX).any())  # only then codes can go beyond the slots
     total = np.zeros(n, np.float32)
     firsts, pairs = wide * _RADIX, {}
     for a, b, c in STEPS:
@@ -130,6 +188,8 @@ def token_sums(marks: np.ndarray, bounds: np.ndarray, weights: np.ndarray) -> np
         if a not in pairs:
             pairs[a] = (firsts[: n - a] + wide[a:]) * _RADIX
         code = (pairs[a][:m] + wide[b : b + m]) * _RADIX + wide[c:]
+        if scattered:
+            code &= SLOTS - 1
         found = weights[code]
         found *= np.float32(DECAY ** (c + 1))
         found[reach[:m] < c] = 0
@@ -140,13 +200,14 @@ def token_sums(marks: np.ndarray, bounds: np.ndarray, weights: np.ndarray) -> np
 
 def feature_map(token: bytes) -> dict[int, float]:
     """Subsequences of one token (its marks without edges) with their weights, over its norm."""
-    marks = [_EDGE, *token, _EDGE]
+    marks = [_VALUE[m] for m in (_EDGE, *token, _EDGE)]
     out: dict[int, float] = {}
     norm = NORMS[min(len(marks), len(NORMS) - 1)]
     for i in range(len(marks)):
         for a, b, c in STEPS:
             if i + c < len(marks):
                 code = ((marks[i] * _RADIX + marks[i + a]) * _RADIX + marks[i + b]) * _RADIX + marks[i + c]
+                code &= SLOTS - 1
                 out[code] = out.get(code, 0.0) + DECAY ** (c + 1) / norm
     return out
 
@@ -185,7 +246,7 @@ def train_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30)
 
 @dataclass
 class ToxicityModel:
-    weights: np.ndarray | None  # one weight for each subsequence of four marks
+    weights: np.ndarray | None  # one weight for each subsequence of four marks, those of other letters scattered
     bias: float = 0.0
     middle: float = 0.0  # the machine's value that becomes the threshold
     slope: float = 4.0
@@ -234,7 +295,7 @@ def variants(token: bytes, draw: np.random.Generator) -> list[bytes]:
         t = bytearray(token)
         for _ in range(2 if kind == 3 else 1):
             i = int(draw.integers(1, len(t)))
-            t.insert(i, t[i] if kind == 2 else int(draw.integers(1, 27)))
+            t.insert(i, t[i] if kind == 2 else int(draw.integers(1, 27)) if max(t) < _RADIX else int(draw.choice(list(t))))
         out.append(bytes(t))
     return out
 
@@ -257,7 +318,7 @@ def machine(positive: list[bytes], spelled: list[bytes], negative: list[bytes],
     cost = np.where(y > 0, 20.0 * len(negative) / max(1, (y > 0).sum()), 100.0)
     cost[: len(positive)] *= 8  # the spellings seen count more than those made up
     w, bias = train_svm(kernel(tokens, marks) @ root, y, cost)
-    weights = np.zeros(_RADIX**ORDER, np.float32)
+    weights = np.zeros(SLOTS, np.float32)
     for token, b in zip(marks, root @ w):
         for code, v in feature_map(token).items():
             weights[code] += b * v

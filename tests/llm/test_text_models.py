@@ -226,3 +226,31 @@ def test_toxicity_learns_and_tolerates_spelling():
     assert list(model.scores(["", None, "...", "7 . 8"])) == [0, 0, 0, 0]
     assert list(toxicity.fit(["a b c"], [0]).scores(["x"])) == [0]
     assert zlib.crc32(model.weights.tobytes()) == zlib.crc32(toxicity.fit(good + bad, [0] * 200 + [1] * 60).weights.tobytes())
+
+
+@pytest.mark.parametrize("letters, insults, space", [
+    ("абвгдежзиклмнопрстуф", ["придурок", "мерзавец"], " "), ("αβγδεζηθικλμνξοπρστ", ["ηλιθιος", "βλακας"], " "), ("가나다라마바사아자차카타파하", ["멍청이", "쓰레기"], " "),
+    ("ابتثجحخدذرزسشصضط", ["كلبحقير", "غبيجدا"], " "), ("的一是在不了有和人这中大为上个国我以要他时来用们", ["笨蛋", "混账"], ""),
+])
+def test_toxicity_of_other_scripts(letters, insults, space):
+    draw = random.Random(3)
+    words = ["".join(draw.choice(letters) for _ in range(draw.randint(2, 7))) for _ in range(300)]
+    text = lambda n: [draw.choice(words) for _ in range(n)]
+    good = [space.join(text(40)) for _ in range(200)]
+    bad = [space.join(w[:20] + [draw.choice(insults)] + w[20:]) for w in (text(40) for _ in range(60))]
+    model = toxicity.fit(good + bad, [0] * 200 + [1] * 60)
+    found = model.scores([space.join([*text(10), i, *text(10)]) for i in insults])
+    assert (found >= toxicity.THRESHOLD).all()
+    assert (model.scores([space.join(text(60)) for _ in range(50)]) < toxicity.THRESHOLD).mean() > 0.95
+
+
+def test_toxicity_reads_disguised_latin_letters():
+    draw = random.Random(8)
+    words = ["".join(draw.choice(["ta", "ri", "mo", "en", "lu", "ske"]) for _ in range(draw.randint(1, 4))) for _ in range(300)]
+    text = lambda n: [draw.choice(words) for _ in range(n)]
+    good = [" ".join(text(40)) for _ in range(200)]
+    bad = [" ".join([*text(20), "idiot", *text(20)]) for _ in range(60)]
+    model = toxicity.fit(good + bad, [0] * 200 + [1] * 60)
+    full, bold = "".join(chr(0xFF21 + ord(c) - 97) for c in "idiot"), "".join(chr(0x1D41A + ord(c) - 97) for c in "idiot")
+    for spelled in (full, full.lower(), bold):
+        assert model.scores([f"{' '.join(text(10))} {spelled} now"])[0] >= toxicity.THRESHOLD, spelled
