@@ -15,7 +15,7 @@ into one weight for each subsequence; scoring a token is a sum over its own subs
 
 Labels belong to documents.  Tokens that occur in many different surroundings in toxic training sentences and
 hardly in others are the positive examples (surroundings, since copies of one document repeat all its tokens in
-one surrounding); tokens of the other sentences are the negative ones, drawn at random first and then by how high a
+one surrounding; how many are enough is read from how many tokens stand out as much by chance, see enough()); tokens of the other sentences are the negative ones, drawn at random first and then by how high a
 first machine rates them.  A document's score is that of its worst
 token, on a scale whose 0.3 divides the training documents best.
 
@@ -40,6 +40,8 @@ from .common import bounded_sample, chunks, code_points
 
 #: Training texts of each label (about), landmarks at most, training tokens of the negative class.
 SAMPLE_PER_LABEL, LANDMARKS, NEGATIVES = 3000, 500, 4000
+#: Surroundings of a positive example at least; part of them that may have come by chance.
+LEAST, FALSE = 3, 0.05
 #: Weight of each place of a subsequence's spread; marks in a subsequence; places it may skip in all.
 DECAY, ORDER, SKIPS = 0.7, 4, 2
 THRESHOLD = 0.3
@@ -288,6 +290,21 @@ def surroundings(texts: list[str]) -> dict[bytes, int]:
     return count
 
 
+def standing_out(own: dict[bytes, int], other: dict[bytes, int], scale: float) -> list[bytes]:
+    """Tokens with at least LEAST surroundings in own and hardly any in other, the most frequent first."""
+    out = [t for t, c in own.items() if c >= LEAST and (c + 0.1) * scale / (other.get(t, 0) + 0.1) >= 20 and c >= 10 * other.get(t, 0)]
+    return sorted(out, key=lambda t: (-own[t], t))
+
+
+def enough(found: list[bytes], own: dict[bytes, int], chance: list[int], usual: int) -> int:
+    """Surroundings that an example needs: the fewest at which chance finds are at most FALSE of all, else the usual number."""
+    counts, chance = np.array([own[t] for t in found]), np.array(chance)
+    for least in range(LEAST, max(15, usual)):
+        if (chance >= least).sum() <= FALSE * (counts >= least).sum():
+            return least
+    return usual
+
+
 def variants(token: bytes, draw: np.random.Generator) -> list[bytes]:
     """Spellings with one letter put in, one doubled, and two put in."""
     out = []
@@ -307,11 +324,11 @@ def token_values(tokens: list[bytes], model: ToxicityModel) -> np.ndarray:
     return token_sums(marks, bounds, model.weights) + model.bias
 
 
-def machine(positive: list[bytes], spelled: list[bytes], negative: list[bytes], near: list[bytes]) -> ToxicityModel:
-    """The machine trained on positive, spelled (variants) and negative tokens, with landmarks positive and near."""
+def machine(positive: list[bytes], spelled: list[bytes], negative: list[bytes], marks: list[bytes], near: list[bytes]) -> ToxicityModel:
+    """The machine trained on positive, spelled (variants) and negative tokens, with landmarks marks and near."""
     tokens = [*positive, *spelled, *negative]
     y = np.array([1.0] * (len(positive) + len(spelled)) + [-1.0] * len(negative))
-    marks = [*positive, *near]
+    marks = [*marks, *near]
     lam, vec = np.linalg.eigh(kernel(marks, marks))
     keep = lam > 1e-6 * lam.max()
     root = vec[:, keep] / np.sqrt(lam[keep])
@@ -333,13 +350,15 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> ToxicityModel:
     draw = np.random.default_rng(seed)
     in_bad, in_good = surroundings(bad), surroundings(good)
     scale = max(1.0, sum(map(len, good)) / max(1, sum(map(len, bad))))
-    least = max(3, len(bad) // 200)
-    odds = {t: (c + 0.1) * scale / (in_good.get(t, 0) + 0.1) for t, c in in_bad.items() if c >= least}
-    positive = sorted(t for t, o in odds.items() if o >= 20 and in_bad[t] >= 10 * in_good.get(t, 0))
+    positive = standing_out(in_bad, in_good, scale)
+    # What stands out in as much of the other texts does so by chance.
+    size, share = np.cumsum([len(t) for t in good]), sum(map(len, bad))
+    in_share = in_good if size[-1] <= share else surroundings([good[i] for i in range(int(np.searchsorted(size, share)) + 1)])
+    chance = [in_share[t] for t in standing_out(in_share, in_bad, 1.0)]
+    least = enough(positive, in_bad, chance, max(LEAST, len(bad) // 200))
+    positive = [t for t in positive if in_bad[t] >= least]
     if not positive:
         return ToxicityModel(None)
-    positive.sort(key=lambda t: (-in_bad[t], t))
-    positive = positive[: LANDMARKS // 2]
     known = set(positive)
     negative = sorted(t for t in in_good if t not in known)
     common = sorted(negative, key=lambda t: (-in_good[t], t))[: NEGATIVES // 5]
@@ -347,13 +366,15 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> ToxicityModel:
     negative = sorted(set(common) | set(rest))
     spelled = [v for t in positive for v in variants(t, draw)]
     others = sorted(t for t in in_good if t not in known)
-    near = [negative[i] for i in draw.choice(len(negative), min(LANDMARKS - len(positive), len(negative)), replace=False)] if negative else []
-    model = machine(positive, spelled, negative, near)
+    # Landmarks only are bounded: at most half of them examples, frequent and rare ones alike.
+    marks = [positive[i] for i in np.unique(np.linspace(0, len(positive) - 1, min(len(positive), LANDMARKS // 2)).astype(int))]
+    near = [negative[i] for i in draw.choice(len(negative), min(LANDMARKS - len(marks), len(negative)), replace=False)] if negative else []
+    model = machine(positive, spelled, negative, marks, near)
     # Once more, with the harmless tokens that came out highest among the negative examples and landmarks.
     value = token_values(others, model)
     hard = [others[i] for i in np.argsort(-value, kind="stable")[: NEGATIVES // 2]]
     near = list(dict.fromkeys([*hard[: len(near) // 2], *near]))[: len(near)]
-    model = machine(positive, spelled, sorted({*negative, *hard}), near)
+    model = machine(positive, spelled, sorted({*negative, *hard}), marks, near)
     # The threshold between values that errs least on the training texts.
     v = np.concatenate([model.values(texts[a:b]) for a, b in chunks(texts)])
     t = np.asarray(toxic, float)

@@ -230,7 +230,7 @@ def test_toxicity_learns_and_tolerates_spelling():
 
 @pytest.mark.parametrize("letters, insults, space", [
     ("абвгдежзиклмнопрстуф", ["придурок", "мерзавец"], " "), ("αβγδεζηθικλμνξοπρστ", ["ηλιθιος", "βλακας"], " "), ("가나다라마바사아자차카타파하", ["멍청이", "쓰레기"], " "),
-    ("ابتثجحخدذرزسشصضط", ["كلبحقير", "غبيجدا"], " "), ("的一是在不了有和人这中大为上个国我以要他时来用们", ["笨蛋", "混账"], ""),
+    ("ابتثجحخدذرزسشصضط", ["كلبحقير", "غبيجدا"], " "), ("的一是在不了有和人这中大为上个国我以要他时来用们", ["笨蛋", "混账"], ""), ("กขฃคฅฆงจฉชซฌญฎฏฐฑฒณดตถทธนบปผฝพฟภมยรลวศษสหฬอฮ", ["ไอ้โง่", "สารเลว"], ""),
 ])
 def test_toxicity_of_other_scripts(letters, insults, space):
     draw = random.Random(3)
@@ -254,3 +254,16 @@ def test_toxicity_reads_disguised_latin_letters():
     full, bold = "".join(chr(0xFF21 + ord(c) - 97) for c in "idiot"), "".join(chr(0x1D41A + ord(c) - 97) for c in "idiot")
     for spelled in (full, full.lower(), bold):
         assert model.scores([f"{' '.join(text(10))} {spelled} now"])[0] >= toxicity.THRESHOLD, spelled
+
+
+def test_toxicity_learns_rare_insults():
+    draw = random.Random(4)
+    word = lambda letters, n: "".join(draw.choice(letters) for _ in range(n))
+    words = [word("aeioulmnrst", draw.randint(2, 9)) for _ in range(500)]
+    text = lambda n: [draw.choice(words) for _ in range(n)]
+    insults = sorted({word("bcdfghkopuvwxyz", draw.randint(5, 9)) for _ in range(400)})
+    good = [" ".join(text(30)) for _ in range(1600)]
+    bad = [" ".join([*text(15), insult, *text(15)]) for insult in insults for _ in range(4)]
+    model = toxicity.fit(good + bad, [0] * len(good) + [1] * len(bad))
+    assert (model.scores([" ".join([*text(10), i, *text(10)]) for i in insults]) >= toxicity.THRESHOLD).mean() > 0.95
+    assert (model.scores([" ".join(text(30)) for _ in range(300)]) < toxicity.THRESHOLD).mean() > 0.95
