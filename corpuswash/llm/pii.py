@@ -2,7 +2,7 @@
 
 The base patterns (email, ip, card, phone) find well-formed data, leftmost and without retries.  What they leave,
 for instance a card right behind a phone number whose joint match failed its digit count, or an address spelled
-``name [at] host [dot] org``, is decided by a semi-Markov conditional random field: candidate segments are runs
+``name [at] host [dot] org`` or by half (``name [at] host.org``), is decided by a semi-Markov conditional random field: candidate segments are runs
 of whole digit groups (at most MOST_GROUPS of them) and spelled-out addresses; features look at a whole segment
 (check digits, digit counts, grouping, signs, neighbours); dynamic programming over the segments of a region
 chooses the non-overlapping set, boundaries and kinds together, of the highest score, where text outside any
@@ -39,8 +39,10 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _REGION = re.compile(r"\+?\(?[0-9](?:[ ().+-]{0,3}[0-9])*")
 _GROUP = re.compile(r"[0-9]++")
+#: What every spelled-out address holds.
+_AT = re.compile(r"@|[\[({] ?at ?[\])}]| at ", re.I)
 _SPELLED = re.compile(
-    r"[A-Za-z0-9._%+-]{1,64}(?:@| ?[\[({] ?at ?[\])}] ?| at )[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[({] ?dot ?[\])}] ?| dot )[A-Za-z0-9-]{1,63}){1,6}", re.I
+    r"[A-Za-z0-9._%+-]{1,64}(@| ?[\[({] ?at ?[\])}] ?| at )[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[({] ?dot ?[\])}] ?| dot )[A-Za-z0-9-]{1,63}){1,6}", re.I
 )
 
 
@@ -94,7 +96,7 @@ def _follows(text: str, s: int, e: int) -> float:
     return float(bool(re.search(r"[0-9][.-]$", text[max(0, s - 2) : s])) or bool(re.match(r"[.-][0-9]", text[e : e + 2])))
 
 
-FEATURES = {"email": 6, "ip": 5, "card": 8, "phone": 10}
+FEATURES = {"email": 7, "ip": 5, "card": 8, "phone": 10}
 OFFSET = dict(zip(FEATURES, np.cumsum([0, *FEATURES.values()]).tolist()))
 N_FEATURES = sum(FEATURES.values())
 
@@ -106,7 +108,9 @@ def features(text: str, s: int, e: int, kind: str) -> np.ndarray:
     if kind == "email":
         tail = re.split(r"\.|dot", own, flags=re.I)[-1].strip(" [](){}")
         spelled_at, spelled_dot = bool(re.search(r"[\[({ ]at[\])} ]", own, re.I)), bool(re.search(r"[\[({ ]dot[\])} ]", own, re.I))
-        values = [1, tail.isalpha() and 2 <= len(tail) <= 6, "@" in own, spelled_at and spelled_dot, bool(re.search(r"[\[({]", own)), left or right]
+        name, *at = re.split(r"(@| at |[\[({])", own, maxsplit=1, flags=re.I)
+        prose = at[0].lower() == " at " and not spelled_dot and not (re.search(r"[A-Za-z]", name) and re.search(r"[0-9._%+-]", name))  # as in "look at this.That"
+        values = [1, tail.isalpha() and 2 <= len(tail) <= 6, "@" in own, spelled_at and spelled_dot, bool(re.search(r"[\[({]", own)), left or right, prose]
     else:
         groups = _GROUP.findall(own)
         n = sum(map(len, groups))
@@ -158,10 +162,15 @@ def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[list[tuple[
             found = [c for c in found if not any(a < c[1] and c[0] < b for a, b, _ in near)]
             if found:
                 out.append(found)
-    if "dot" in text or "DOT" in text or "Dot" in text:
-        for m in _SPELLED.finditer(text):
+    if _AT.search(text):
+        m, end = _SPELLED.search(text), 0
+        while m:
             if free(m.start(), m.end()):
-                out.append([(m.start(), m.end(), "email")])
+                if m.start() >= end:
+                    out.append([])
+                out[-1].append((m.start(), m.end(), "email"))
+                end = m.end()
+            m = _SPELLED.search(text, m.end(1))  # what follows "at" may be the name of the next: "look at ann.lee [at] ..."
     return out
 
 
@@ -240,7 +249,9 @@ def examples(texts: list[str], seed: int = 3) -> list[tuple[str, list[tuple[int,
 
     def email() -> str:
         local, _, host = some("email").partition("@")
-        at, dot = draw.choice([(" [at] ", " [dot] "), ("[at]", "[dot]"), ("(at)", "(dot)"), (" at ", " dot ")])
+        at, dot = draw.choice([(" [at] ", " [dot] "), ("[at]", "[dot]"), ("(at)", "(dot)"), (" at ", " dot "), (" [at] ", "."), ("(at)", "."), ("@", " [dot] "), ("@", "(dot)"), (" at ", ".")])
+        if (at, dot) == (" at ", ".") and not re.search(r"[0-9._%+-]", local):
+            at = " (at) "
         return local + at + host.replace(".", dot)
 
     def other() -> str:
@@ -252,7 +263,7 @@ def examples(texts: list[str], seed: int = 3) -> list[tuple[str, list[tuple[int,
         version = f"{draw.randint(1, 30)}.{draw.randint(256, 9999)}.{draw.randint(0, 999)}.{draw.randint(256, 99999)}"
         glued = f"{draw.choice('abcdef')}{d}{draw.choice('abcdef')}"
         listed = " ".join(str(draw.randint(10, 99999)) for _ in range(draw.randint(3, 7)))
-        return draw.choice([d, date, f"{date} {draw.randint(10, 23)}.{draw.randint(10, 59)}", version, glued, listed, "look at the dot on it"])
+        return draw.choice([d, date, f"{date} {draw.randint(10, 23)}.{draw.randint(10, 59)}", version, glued, listed, "look at the dot on it", "look at this.That", "see it at example.com"])
 
     make = {"phone": phone, "card": card, "email": email, "ip": lambda: some("ip")}
     out = []

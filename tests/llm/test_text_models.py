@@ -119,6 +119,16 @@ def test_added_spans():
     assert pii.joined([(9, 12, "phone"), (2, 5, "card"), (2, 4, "email")]) == "email:2:4,card:2:5,phone:9:12"
 
 
+def test_half_spelled_addresses():
+    weights = pii.fit(["call +1 (258) 555-7056 or mail ann.lee@example.com", "card 4083486860054702 at 10.1.2.3"])
+    found = lambda t: [(t[s:e], k) for s, e, k in pii.find(t, weights)[1]]
+    for own in ("joe.doe [at] example.com", "joe(at)example.org", "JOE (AT) EXAMPLE.ORG", "joe@example [dot] com", "joe.doe at mail.example.com", "joe [at] example [dot] com"):
+        for text in ("write {} please", "{}", "an anecdote: {}", "look at {} now"):
+            assert found(text.format(own)) == [(own, "email")], text.format(own)
+    for clean in ("look at this.That is all", "we met at noon.Then we left", "see it at example.com today", "an anecdote at home.Then"):
+        assert found(clean) == [], clean
+
+
 def edit_distance(item, text):
     row = list(range(len(item) + 1))
     best = row[-1]
