@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the
 columns of documents.  Defined results: documents without text stay through the filters (they are neither toxic
-nor near anything) and take no part in the mix, which has no words of them to take; repeated rows of one doc_id
-become one row in the near-duplicate stage; empty tables pass through.
+nor near anything) and take no part in the mix, which has no words of them to take; rows of equal
+doc_id and text become one row in the near-duplicate stage, rows without doc_id too if they have words; different
+texts of one doc_id are judged each; empty tables pass through.
 """
 
 from __future__ import annotations
@@ -25,14 +26,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of linked documents."""
-    classes = materialize(jaccard.link_classes(docs), "pipeline-classes")
-    away = classes.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    kept = docs.join(away, "doc_id", "left_anti").select(*docs.columns)
-    if not classes.groupBy("doc_id").count().filter(F.col("doc_id").isNotNull() & (F.col("count") > 1)).isEmpty():
-        named = kept.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-        kept = named.unionByName(kept.filter(F.col("doc_id").isNull()))
-    return kept
+    """The document with the smallest id of every group of linked documents; rows are judged by id and text."""
+    marked = docs.withColumn("_row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+    ranked = marked.select(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row").alias("key"), "text")
+    classes = materialize(jaccard.link_classes(ranked, "key"), "pipeline-classes")
+    away = classes.filter(F.col("key") != F.col("component_id")).select("key._row").distinct()
+    kept = marked.join(away, "_row", "left_anti")
+    repeated = classes.filter(F.col("key.doc_id").isNotNull() | (F.col("n_shingles") > 0)).groupBy("key._row").count().filter(F.col("count") > 1).select("_row")
+    if not repeated.isEmpty():
+        one = kept.join(repeated, "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("least"))
+        kept = kept.join(repeated, "_row", "left_anti").select(*docs.columns).unionByName(one.select("least.*"))
+    return kept.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

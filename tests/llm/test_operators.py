@@ -280,3 +280,15 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_near_copies_are_dropped_by_row(spark):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, text(1)), (2, text(1)), (2, text(2)), (2, text(2)), (3, text(3)), (None, text(3)), (None, text(4)), (None, text(4)), (None, text(4) + " end"), (None, None), (None, None), (4, None), (4, None), (4, text(5))]
+    docs = docs_of(spark, [(k, t, "en", f"s{i}", 1) for i, (k, t) in enumerate(rows)])
+    got = sorted((r["doc_id"] or 0, (r["text"] or "").split(" ")[0], r["source"]) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect())
+    unnamed = [x for x in got if x[0] == 0]
+    assert [x for x in got if x[0]] == [(1, "w1x0", "s0"), (2, "w2x0", "s2"), (3, "w3x0", "s4"), (4, "", "s11"), (4, "w5x0", "s13")]
+    assert [x[1] for x in unnamed] == ["", "", "w4x0"]
