@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass of a Python worker takes at most (a longer text is taken alone).
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 19
+#: Words of the bitmap that tells rows apart which an anti join must look at.
+BITMAP_WORDS = 1 << 17
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +35,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote, once nothing reads them any more."""
+    for df in tables:
+        session = df.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(df.shared_path)
+        path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def without(df: DataFrame, bad: DataFrame, column: str) -> DataFrame:
+    """df less the rows whose column (a long, no null) is in bad (one column of that name).
+
+    Only rows that may be bad are shuffled: a bitmap of BITMAP_WORDS * 64 bits at most, of the bad values, tells the
+    others apart.  Where bad grows so large that all bits are set, this is a plain anti join.
+    """
+    word, bit, words, bits = own_names(df.columns, "word", "bit", "words", "bits")
+    where = F.pmod(F.shiftright(quoted(column), 6), F.lit(BITMAP_WORDS)).cast("int")
+    one = F.expr(f"shiftleft(CAST(1 AS BIGINT), CAST({quoted(column)} & 63 AS INT))")
+    bad = materialize(bad.distinct(), "bad-rows")
+    bitmap = bad.select(where.alias(words), one.alias(bits)).groupBy(words).agg(F.bit_or(bits).alias(bits))
+    bitmap = materialize(bitmap, "bad-bits")
+    marked = df.withColumn(word, where).withColumn(bit, one).join(F.broadcast(bitmap), F.col(word) == F.col(words), "left")
+    may = F.coalesce(F.col(bits).bitwiseAND(F.col(bit)), F.lit(0)) != 0
+    kept = [quoted(c) for c in df.columns]
+    return marked.filter(~may).select(*kept).unionByName(marked.filter(may).select(*kept).join(bad, column, "left_anti"))
 
 
 def remainder(key: str, by: int) -> Column:
@@ -65,6 +98,40 @@ def chunks(texts: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[
         yield a, len(texts)
 
 
+def text_chunks(batch: pa.RecordBatch, column: int, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(a, b, texts of rows a to b - 1) over a batch: only one run of about limit bytes is made Python strings at a time."""
+    texts = batch.column(column)
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(upto):
+        start = int(upto[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(upto, start + limit, side="right")))
+        yield a, b, texts.slice(a, b - a).to_pylist()
+        a = b
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers live on between stages, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def own_names(taken: Sequence[str], *names: str) -> list[str]:
+    """Names for working columns that clash with none of the caller's."""
+    mark = "_"
+    while any(t.lower() == f"{mark}{n}".lower() for t in taken for n in names):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]
+
+
+def quoted(name: str) -> str:
+    """name as a column reference, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the texts, each followed by one U+000A, and where each starts (one more at the end)."""
     joined = "\n".join([t or "" for t in texts] + [""])

@@ -1,9 +1,10 @@
 """Connected components of an undirected graph given as edges, by contraction.
 
-Each round maps every node to the smallest of itself and its neighbours and rewrites the edges to the images,
-until no edge joins different nodes; then the rounds' maps are composed.  An edge (a, image of a) becomes (image
-of a, its image), so nothing falls apart.  Only minima are aggregated, never lists of neighbours, and each round
-is written to the shared folder.
+Each round maps every node to the least of itself and its neighbours, in an order of nodes that is drawn anew each
+round (by hash), and rewrites the edges to the images, until no edge joins different nodes; then the rounds' maps are
+composed.  An edge (a, image of a) becomes (image of a, its image), so nothing falls apart; the new order makes paths
+shrink by a constant part each round, however their ids are sorted.  Only minima are aggregated, never lists of
+neighbours, and each round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -19,18 +20,22 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     edges = materialize(edges.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges")
     maps: list[DataFrame] = []
     while not edges.isEmpty():
-        ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a").alias("low")), F.struct(F.col("b").alias("node"), F.col("a").alias("low")))).alias("e")
-        image = edges.select(ends).groupBy("e.node").agg(F.min("e.low").alias("root"))
-        image = materialize(image.select("node", "root"), f"{name}-map")
+        placed = lambda c, k=len(maps): F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("h"), F.col(c).alias("id"))
+        ends = F.explode(F.array(F.struct(F.col("a").alias("node"), placed("b").alias("other")), F.struct(F.col("b").alias("node"), placed("a").alias("other")))).alias("e")
+        image = edges.select(ends).groupBy("e.node").agg(F.min("e.other").alias("other"))
+        image = materialize(image.select("node", F.least(placed("node"), F.col("other"))["id"].alias("root")), f"{name}-map")
         maps.append(image)
         left = image.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         right = image.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         moved = edges.join(left, "a").join(right, "b").filter(F.col("ra") != F.col("rb"))
-        edges = materialize(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"{name}-edges")
+        before, edges = edges, materialize(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"{name}-edges")
+        discard(before)
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    whole = maps.pop()
-    while maps:
-        step, later = maps.pop(), whole.select(F.col("node").alias("root"), F.col("root").alias("end"))
+    whole, steps = maps[-1], maps[:-1]
+    for step in reversed(steps):
+        later = whole.select(F.col("node").alias("root"), F.col("root").alias("end"))
         whole = step.join(later, "root", "left").select("node", F.coalesce("end", "root").alias("root"))
-    return materialize(whole, f"{name}-roots")
+    whole = materialize(whole, f"{name}-roots")
+    discard(edges, *maps)
+    return whole

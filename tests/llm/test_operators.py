@@ -180,36 +180,85 @@ def near_rows(seed):
     return [*rows, (1, None), (2, ""), (3, " \n"), (4, "One two"), (5, "one  TWO"), (6, "one two three"), (5, "one  TWO")]
 
 
-@pytest.mark.parametrize("block, repeated, seed", [(1024, 8, 1), (4, 2, 2), (6, 1 << 30, 3)])
-def test_jaccard_join(spark, monkeypatch, block, repeated, seed):
-    monkeypatch.setattr(jaccard, "BLOCK_NODES", block)
-    monkeypatch.setattr(jaccard, "CENTRES", 2)
-    monkeypatch.setattr(jaccard, "REPEATED", repeated)
-    monkeypatch.setattr(jaccard, "LISTED", 3)
+SMALL = {"CENTRES": 2, "LISTED": 3, "PAGE": 1, "SEARCHING": 3}
+
+
+@pytest.mark.parametrize("changed, seed", [({}, 1), (SMALL | {"BLOCK_NODES": 4, "REPEATED": 2}, 2), (SMALL | {"BLOCK_NODES": 6, "RANKED": 0}, 3), (SMALL | {"BLOCK_NODES": 5, "REPEATED": 2, "SALTED": 4}, 4)])
+def test_jaccard_join(spark, monkeypatch, changed, seed):
+    for name, value in changed.items():
+        monkeypatch.setattr(jaccard, name, value)
     rows = near_rows(seed)
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash")).repartition(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash")).withColumn("n", F.lit(None).cast("string")).withColumn("key", F.lit(1)).repartition(3)
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link_classes(df).collect())
     assert got == brute_links(rows)
 
 
+@pytest.mark.parametrize("limits", [SMALL | {"BLOCK_NODES": 4}, SMALL | {"BLOCK_BYTES": 2000, "PAGE": 2}])
+def test_jaccard_cell_of_strangers(spark, monkeypatch, limits):
+    """One cell whose nodes mostly stay apart: they search the boxes of the other blocks; links between blocks are found."""
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard, name, value)
+    draw = random.Random(6)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(5))
+    shared, rows = [word() for _ in range(30)], []
+    for k in range(40):
+        own = [word() for _ in range(50)]
+        rows.append((2 * k, " ".join([*shared, *own])))
+        if k % 3 == 0:  # a copy with a word changed, whose least shingle may differ
+            own[draw.randrange(50)] = word()
+            rows.append((2 * k + 1, " ".join([*shared, *own])))
+    everything = lambda pairs, points: pairs  # noqa: E731  as if no point ruled a pair out
+    monkeypatch.setattr(jaccard, "allowed_pairs", everything)
+    monkeypatch.setattr(jaccard, "REPEATED", 1 << 30)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link_classes(df).collect()) == brute_links(rows)
+
+
 def test_jaccard_bounds_hold():
     import numpy as np
 
     draw = np.random.default_rng(5)
-    for n in (30, 500, 2000):
+    for n in (1, 30, 500, 2000, 6000):
         base = np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64))
         for keep in (0.8, 0.86, 0.9, 0.97):
             other = np.unique(np.concatenate([base[draw.random(len(base)) < keep], draw.integers(0, 1 << 63, int(n * (1 - keep)), dtype=np.uint64)]))
             if jaccard.linked(base, other):
                 assert jaccard.may_link(jaccard.point_of(base), len(base), jaccard.point_of(other), len(other))
-                tree = jaccard.CountTree(jaccard.counts_of([other] * 700), np.full(700, len(other)))
-                assert len(tree.search(jaccard.counts_of([base])[0], len(base))) == 700
+                assert len(jaccard.CountTree([other] * 200).search(base)) == 200
+                assert set(base[: jaccard.prefix(len(base))]) & set(other[: jaccard.prefix(len(other))])
+                box = jaccard.corner([jaccard.group_counts(s, 64) for s in (other, base[:3])], 64)[None]  # counts of 255 and more
+                size = np.array([len(other)])
+                assert jaccard.fits(jaccard.overlap(box, *jaccard.group_counts(base, 64)), len(base), size, size).all()
+
+
+@pytest.mark.parametrize("n", [50, 120, 400, 1000, 2000])
+def test_jaccard_boxes_rule_strangers_out(n):
+    """Leaves of unrelated sets are pruned as a whole, and so are boxes of blocks; their own sets are found."""
+    import numpy as np
+
+    draw = np.random.default_rng(n)
+    sets = [np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64)) for _ in range(128)]
+    tree = jaccard.CountTree(sets)
+    looked = found = 0
+    for i in range(0, 128, 4):
+        at, count = jaccard.group_counts(sets[i], tree.groups)
+        upper, low, high, _, _ = tree.levels[0]
+        looked += int(jaccard.fits(jaccard.overlap(upper, at, count), n, low, high).sum())
+        found += int(tree.search(sets[i]).tolist() == [i])
+    assert found == 32 and looked == 32  # of 512 leaves
+    if n <= 400:
+        box = jaccard.corner([jaccard.group_counts(s, jaccard.BOX_GROUPS) for s in sets], jaccard.BOX_GROUPS)[None]
+        size = np.array([n])
+        strangers = [np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64)) for _ in range(50)]
+        fit = lambda s: jaccard.fits(jaccard.overlap(box, *jaccard.group_counts(s, jaccard.BOX_GROUPS)), len(s), size, size)[0]
+        assert not any(fit(s) for s in strangers) and all(fit(s) for s in sets)
 
 
 def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1002), (1002, 1000), (7, 7)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+    assert set(got) == {*range(301), 1000, 1001, 1002}
+    assert len({got[i] for i in range(301)}) == 1 and len({got[i] for i in (1000, 1001, 1002)}) == 1 and got[0] != got[1000]
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
