@@ -85,6 +85,21 @@ def bounded_sample(df: DataFrame, label: str, key: str, per_label: int, seed: st
     return df.filter(keep)
 
 
+def sampled_texts(rows: DataFrame, most_bytes: int) -> list[tuple[str, object, str]]:
+    """rows (k, y, t) as sorted tuples, without null texts and labels; thinned by hash of the key where a label's texts
+    have more than most_bytes, texts of more than a fiftieth of that left out."""
+    held = materialize(rows.select("k", "y", "t").dropna(subset=["y", "t"]).filter(F.octet_length("t") <= most_bytes // 50), "sample")
+    sizes = {r[0]: r[1] for r in held.groupBy("y").agg(F.sum(F.octet_length("t"))).collect()}
+    grain = 1 << 30
+    draw = F.pmod(F.xxhash64(F.lit("bytes"), F.col("k").cast("string")), F.lit(grain))
+    keep = F.lit(False)
+    for value, size in sorted(sizes.items(), key=lambda kv: str(kv[0])):
+        keep = keep | ((F.col("y") == F.lit(value)) & (draw < F.lit(int(grain * min(1.0, most_bytes / max(size, 1))))))
+    found = sorted((str(r["k"]), r["y"], r["t"]) for r in held.filter(keep).collect())
+    discard(held)
+    return found
+
+
 def chunks(texts: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Runs [a, b) of texts whose characters sum to about limit at most; at least one text each."""
     a, total = 0, 0

@@ -1,26 +1,32 @@
-"""Toxic documents by a subsequence-kernel support vector machine with Nystrom landmarks.
+"""Toxic documents by a subsequence-kernel support vector machine with Nystrom landmarks, trained on labelled sentences.
 
-Sentences are scored token by token.  A token keeps its letters only (compatibility forms and accents folded,
-look-alike digits read as letters, signs between letters skipped; runs of three or more one-letter tokens are read as
+A sentence ends at a full stop, exclamation or question mark before white space, or at a line's end; longer ones
+count as several of up to TOKENS tokens.  A token keeps its letters only (compatibility forms and accents folded,
+look-alike digits read as letters, signs between letters skipped, a letter in a row read three times at most; runs of three or more one-letter tokens are read as
 one token), with an edge mark on either side.  Latin letters have the marks 1 to 26, letters of other scripts the
 rest, an ideograph two of them; Hangul is read by its parts.  Scripts without spaces are read in overlapping tokens of
-two ideographs or four other letters.  The kernel of two tokens counts the subsequences of four marks they share, each
-weighed by DECAY for every place of its spread, with up to two places skipped inside; it is divided by a norm
-that depends on each token's length, so it stays a positive kernel.  Skipped places are what lets ``id-iot``,
-``idxiot`` and ``idiiot`` share most subsequences with ``idiot``.
+two ideographs or four other letters.
 
-Landmarks are training tokens; the machine is trained on the Nystrom map of the kernel.  Since a score is a sum
-over landmarks of kernels, and a kernel a sum over subsequences, the landmarks' weights are added up beforehand
-into one weight for each subsequence; scoring a token is a sum over its own subsequences, the same number.
+The kernel of two sentences counts the subsequences of four marks they share, each weighed by DECAY for every place of
+its spread, with up to two places skipped inside, none across an edge; it is divided by a norm that depends on the tokens'
+lengths (and a constant), so it stays a positive kernel; a token of one letter, or that only repeats the one before, does not count.
+Skipped places are what lets ``id-iot``, ``idxiot`` and ``idiiot`` share
+most subsequences with ``idiot``.
 
-Labels belong to documents.  Tokens that occur in many different surroundings in toxic training sentences and
-hardly in others are the positive examples (surroundings, since copies of one document repeat all its tokens in
-one surrounding; how many are enough is read from how many tokens stand out as much by chance, see enough()); tokens of the other sentences are the negative ones, drawn at random first and then by how high a
-first machine rates them.  A document's score is that of its worst
-token, on a scale whose 0.3 divides the training documents best.
+Labels belong to documents: a toxic document has at least one toxic sentence, the others have none (multiple-instance
+training).  At first the sentence that speaks most for a toxic document is the one whose subsequences are most
+frequent in toxic documents against the others; the machine is trained with these sentences against sentences of the
+other documents (some drawn, and those that come out highest), and then itself picks the sentence for the next of ROUNDS
+rounds.  Landmarks are training sentences, or three tokens of one around the token that speaks most; the machine is trained on the Nystrom map of the kernel.  Since a value is a
+sum over landmarks of kernels, and a kernel a sum over subsequences, the landmarks' weights are added up beforehand
+into one weight for each subsequence; rating a sentence is a sum over its own subsequences, the same number.
+
+A document has the value of its worst sentence, on a scale whose 0.3 divides best the training documents as rated
+by machines that have not seen them (FOLDS of them).
 
 Defined results: null, empty and letterless texts score 0; with no toxic or no other training row everything
-scores 0; repeated rows stay; extra columns are ignored.
+scores 0; of sentences with equal values the first is picked; very long texts are read whole, one at a time;
+an empty table gives no rows; repeated rows stay and score alike; extra columns stay, whatever their names ("toxicity" is replaced).
 """
 
 from __future__ import annotations
@@ -36,21 +42,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, chunks, code_points
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from .common import bounded_sample, chunks, code_points, mix64, quoted, sampled_texts, text_chunks, trim
 
-#: Training texts of each label (about), landmarks at most, training tokens of the negative class.
-SAMPLE_PER_LABEL, LANDMARKS, NEGATIVES = 3000, 500, 4000
-#: Surroundings of a positive example at least; part of them that may have come by chance.
-LEAST, FALSE = 3, 0.05
+#: Training texts of each label and their bytes (about); landmarks at most; training sentences of the negative class.
+SAMPLE_PER_LABEL, SAMPLE_BYTES, LANDMARKS, NEGATIVES = 3000, 12 << 20, 800, 4000
+#: Tokens of a sentence at most; rounds of training; parts of the training documents that are rated unseen.
+TOKENS, ROUNDS, FOLDS = 8, 2, 2
 #: Weight of each place of a subsequence's spread; marks in a subsequence; places it may skip in all.
 DECAY, ORDER, SKIPS = 0.7, 4, 2
 THRESHOLD = 0.3
+#: Cost of a training sentence on the wrong side.
+COST = 10.0
+#: What a document taken for toxic costs when the threshold is set, against 1 for a toxic one that is missed.
+FALSE = 2.0
 _EDGE, _WIDE, _SPACE, _SKIP, _RADIX = 0, 253, 254, 255, 27
 #: Marks of letters that are not a to z; slots of the subsequence weights.
 _OTHERS, SLOTS = _WIDE - _RADIX, 1 << 21
 #: What a mark counts in a subsequence's slot: Latin ones itself (slots below 27**4 are exact), others a scattered number.
 _VALUES = np.array([m if m < _RADIX else (m * 0x9E3779B1 >> 7) % SLOTS for m in range(256)], np.int32)
-_VALUE = _VALUES.tolist()
 #: Private code points that stand for the two marks of an ideograph.
 _HALF = 0xF0000
 _HAN = "\u3005\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U000323af"
@@ -119,33 +130,70 @@ def unfolded(text: str) -> str:
     return _UNSPACED.sub(grams, text).translate(_LETTERS)
 
 
-def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marks of all texts with one edge before each token and one at the end; the edges' places; each token's text."""
+_SCRAMBLED, _PLACES = mix64(np.arange(1, 257, dtype=np.uint64)), mix64(np.arange(1001, 1065, dtype=np.uint64))
+_ENDS = np.array(sorted(map(ord, ".!?\u2026\u061f\u0964\u3002\uff01\uff1f")), np.uint32)
+
+
+@dataclass
+class Sentences:
+    """Sentences of several texts: marks of all tokens with one edge before each and one at the end."""
+
+    marks: np.ndarray
+    bounds: np.ndarray  # places of the edges
+    first: np.ndarray  # first token of each sentence
+    text: np.ndarray  # text of each sentence
+
+    def said(self) -> np.ndarray:
+        """Which tokens count: those of two letters or more, less what only repeats the token before it."""
+        size = np.diff(self.bounds)
+        place = np.arange(self.bounds[-1]) - np.repeat(self.bounds[:-1], size)
+        code = np.add.reduceat(_SCRAMBLED[self.marks[:-1]] * _PLACES[place % len(_PLACES)], self.bounds[:-1]) if len(size) else np.zeros(0)
+        again = np.concatenate([[False], (code[1:] == code[:-1]) & (size[1:] == size[:-1])])[: len(size)]
+        again[self.first] = False
+        return (size >= 3) & ~again
+
+    def raw(self) -> list[bytes]:
+        """Each sentence's marks, edges included."""
+        whole = self.marks.tobytes()
+        ends = np.append(self.first[1:], len(self.bounds) - 1)
+        return [whole[a : b + 1] for a, b in zip(self.bounds[self.first].tolist(), self.bounds[ends].tolist())]
+
+    @classmethod
+    def of_raw(cls, raw: list[bytes]) -> Sentences:
+        """Sentences as raw() gives them."""
+        marks = np.frombuffer(b"".join([x[:-1] for x in raw]) + b"\0", np.uint8)
+        bounds = np.flatnonzero(marks == _EDGE)
+        start = np.cumsum([0, *(len(x) - 1 for x in raw)])[:-1]
+        return cls(marks, bounds, np.searchsorted(bounds, start), np.arange(len(raw)))
+
+
+def sentences_of(texts: list[str | None]) -> Sentences:
     cps, starts = code_points(texts)
     marks = mark_table()[cps]
     if (marks == _WIDE).any():
         cps, starts = code_points([unfolded(t or "") for t in texts])
         marks = mark_table()[cps]
-    at = np.flatnonzero(marks != _SKIP)
+    at = np.flatnonzero(marks != _SKIP).astype(np.int32)
     marks = marks[at]
     space = marks == _SPACE
-    keep = ~(space & np.concatenate([[True], space[:-1]]))  # one edge for each run of white space
+    same = np.concatenate([[False] * 3, marks[3:] == marks[:-3]]) if len(marks) > 3 else np.zeros(len(marks), bool)
+    for k in (1, 2):
+        same[3:] &= marks[3:] == marks[3 - k : -k]
+    # One edge for each run of white space; of a letter written more than three times in a row, three.
+    keep = ~(space & np.concatenate([[True], space[:-1]])) & (space | ~same)
     at, marks = at[keep], marks[keep]
     edges = np.flatnonzero(marks == _SPACE)
     bounds = np.concatenate([[-1], edges])
     lengths = np.diff(bounds) - 1
-    single = lengths == 1
     # Join runs of three or more one-letter tokens of one text: drop the edges inside the run.
     text_of = np.searchsorted(starts, at[edges], side="right") - 1
-    run = single.astype(np.int8)
+    run = lengths == 1
     pair = np.zeros(len(edges), bool)
     if len(edges) > 2:
-        same = text_of[1:] == text_of[:-1]
-        both = (run[:-1] == 1) & (run[1:] == 1) & same
+        both = run[:-1] & run[1:] & (text_of[1:] == text_of[:-1])
         triple = both.copy()
         triple[1:] &= both[:-1]
-        ok = np.zeros_like(both)
-        ok |= triple
+        ok = triple.copy()
         ok[:-1] |= triple[1:]
         pair[:-1] = ok
     drop = edges[pair]
@@ -155,90 +203,123 @@ def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
         at, marks = at[keep], marks[keep]
         edges = np.flatnonzero(marks == _SPACE)
         text_of = np.searchsorted(starts, at[edges], side="right") - 1
+    # A token begins a sentence if the edge before it follows a sign that ends one, or is a line's end.
+    here = at[edges]
+    ended = (cps[here] == 10) | np.isin(cps[np.maximum(here - 1, 0)], _ENDS)
+    new = np.concatenate([[True], ended[:-1] | (text_of[1:] != text_of[:-1])]) if len(edges) else np.zeros(0, bool)
+    nth = np.arange(len(new))
+    nth = nth - np.maximum.accumulate(np.where(new, nth, 0))
+    first = np.flatnonzero(nth % TOKENS == 0)
     marks = np.concatenate([[_EDGE], np.where(marks == _SPACE, _EDGE, marks)]).astype(np.uint8)
-    return marks, np.concatenate([[0], edges + 1]), text_of
+    return Sentences(marks, np.concatenate([[0], edges + 1]), first, text_of[first])
 
 
-def norms(most: int = 64) -> np.ndarray:
-    """Norm of a token by its number of marks, edges included: the root of its squared subsequence weights."""
-    out = np.zeros(most + 1)
-    for n in range(most + 1):
-        out[n] = np.sqrt(sum(DECAY ** (2 * (s[2] + 1)) * max(0, n - s[2]) for s in STEPS)) or 1.0
-    return out
+def squared_norm(size: np.ndarray) -> np.ndarray:
+    """Squared norm of tokens by their number of marks, edges included: that of their subsequences' weights."""
+    return sum(DECAY ** (2 * (s[2] + 1)) * np.maximum(0, size - s[2]) for s in STEPS)
 
 
-NORMS = norms()
+#: Added to a sentence's squared norm (as much as three tokens of six letters), so that short sentences don't count for more.
+SHORT = 3 * float(squared_norm(np.array([8]))[0])
 
 
-def token_sums(marks: np.ndarray, bounds: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """For every token the sum of weights over its subsequences, each by its spread, over the token's norm."""
+def codes_of(marks: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(spread, codes, which of them lie in one token) for every form of a subsequence, by its first mark."""
     n = len(marks)
-    if len(bounds) < 2:
-        return np.zeros(0, np.float32)
     size = np.diff(bounds)
     room = np.repeat(bounds[1:], size) - np.arange(bounds[-1])  # places from a mark to its token's closing edge
-    room = np.concatenate([room, np.zeros(n - len(room), room.dtype)])
-    reach = np.minimum(room, ORDER + SKIPS).astype(np.uint8)
+    reach = np.concatenate([np.minimum(room, ORDER + SKIPS).astype(np.uint8), np.zeros(n - len(room), np.uint8)])
     wide = _VALUES[marks]
     scattered = bool((marks >= _RADIX).any())  # only then codes can go beyond the slots
-    total = np.zeros(n, np.float32)
-    firsts, pairs = wide * _RADIX, {}
+    firsts, pairs = wide * np.int32(_RADIX), {}
     for a, b, c in STEPS:
         m = n - c
         if m <= 0:
             continue
         if a not in pairs:
-            pairs[a] = (firsts[: n - a] + wide[a:]) * _RADIX
-        code = (pairs[a][:m] + wide[b : b + m]) * _RADIX + wide[c:]
+            pairs = {a: (firsts[: n - a] + wide[a:]) * np.int32(_RADIX)}  # forms come by a, so one is enough
+        code = (pairs[a][:m] + wide[b : b + m]) * np.int32(_RADIX) + wide[c:]
         if scattered:
-            code &= SLOTS - 1
+            code &= np.int32(SLOTS - 1)
+        yield c + 1, code, reach[:m] >= c
+
+
+def token_sums(s: Sentences, weights: np.ndarray) -> np.ndarray:
+    """For every token the sum of weights over its subsequences, each by its spread."""
+    total = np.zeros(len(s.marks), np.float32)
+    for spread, code, inside in codes_of(s.marks, s.bounds):
         found = weights[code]
-        found *= np.float32(DECAY ** (c + 1))
-        found[reach[:m] < c] = 0
-        total[:m] += found
-    sums = np.add.reduceat(total, bounds[:-1])
-    return sums / NORMS[np.minimum(size + 1, len(NORMS) - 1)].astype(np.float32)
-
-
-def feature_map(token: bytes) -> dict[int, float]:
-    """Subsequences of one token (its marks without edges) with their weights, over its norm."""
-    marks = [_VALUE[m] for m in (_EDGE, *token, _EDGE)]
-    out: dict[int, float] = {}
-    norm = NORMS[min(len(marks), len(NORMS) - 1)]
-    for i in range(len(marks)):
-        for a, b, c in STEPS:
-            if i + c < len(marks):
-                code = ((marks[i] * _RADIX + marks[i + a]) * _RADIX + marks[i + b]) * _RADIX + marks[i + c]
-                code &= SLOTS - 1
-                out[code] = out.get(code, 0.0) + DECAY ** (c + 1) / norm
-    return out
+        found *= np.float32(DECAY**spread)
+        found[~inside] = 0
+        total[: len(found)] += found
+    return np.add.reduceat(total, s.bounds[:-1])
+
+
+def sentence_sums(s: Sentences, weights: np.ndarray) -> np.ndarray:
+    """For every sentence the sum of weights over its subsequences, each by its spread, over the sentence's norm; minus
+    infinity for sentences without a token that counts."""
+    if not len(s.first):
+        return np.zeros(0, np.float32)
+    size, said = np.diff(s.bounds), s.said()
+    sums = np.where(said, token_sums(s, weights), 0)
+    norm = np.add.reduceat(np.where(said, squared_norm(size + 1), 0.0), s.first)
+    sums = np.add.reduceat(sums, s.first)
+    return np.where(norm > 0, sums / np.sqrt(norm + SHORT), -np.inf)
+
+
+def features(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The subsequences of sentences: (sentence, code, weight over the sentence's norm), by code."""
+    s = Sentences.of_raw(raw)
+    size, said = np.diff(s.bounds), s.said()
+    owner = np.repeat(np.arange(len(raw)), np.diff(np.append(s.first, len(size))))  # sentence of each token
+    norm = np.sqrt(SHORT + np.bincount(owner, weights=np.where(said, squared_norm(size + 1), 0.0), minlength=len(raw)))
+    of_mark = np.append(np.repeat(owner, size), 0)
+    kept_mark = np.append(np.repeat(said, size), False)
+    keys, values = [], []
+    for spread, code, inside in codes_of(s.marks, s.bounds):
+        m = np.flatnonzero(inside & kept_mark[: len(inside)])
+        keys.append(code[m].astype(np.int64) * len(raw) + of_mark[m])
+        values.append(np.full(len(m), DECAY**spread, np.float32))
+    key, place = np.unique(np.concatenate(keys), return_inverse=True)
+    value = np.bincount(place, weights=np.concatenate(values), minlength=len(key))
+    return key % len(raw), key // len(raw), value / norm[key % len(raw)]
 
 
 def kernel(left: list[bytes], right: list[bytes]) -> np.ndarray:
-    """Kernel matrix of two lists of tokens."""
-    rows = np.zeros((len(left), len(right)))
-    index: dict[int, list[tuple[int, float]]] = {}
-    for j, token in enumerate(right):
-        for code, v in feature_map(token).items():
-            index.setdefault(code, []).append((j, v))
-    posting = {code: (np.array([j for j, _ in v]), np.array([x for _, x in v])) for code, v in index.items()}
-    for i, token in enumerate(left):
-        for code, v in feature_map(token).items():
-            if code in posting:
-                js, xs = posting[code]
-                rows[i, js] += v * xs
-    return rows
+    """Kernel matrix of two lists of sentences: frequent subsequences as dense products, the rest one by one."""
+    out = np.zeros((len(left), len(right)))
+    who, code, value = features(right)
+    codes, first, count = np.unique(code, return_index=True, return_counts=True)
+    dense = np.sort(codes[np.argsort(-count, kind="stable")[:2048]])
+    for a in range(0, len(left), 1000):
+        own, c, v = features(left[a : a + 1000])
+        both = np.zeros((min(1000, len(left) - a), len(dense))), np.zeros((len(right), len(dense)))
+        for table, w, x, y in ((both[0], own, c, v), (both[1], who, code, value)):
+            at = np.minimum(np.searchsorted(dense, x), len(dense) - 1)
+            hit = dense[at] == x
+            table[w[hit], at[hit]] = y[hit]
+        block = both[0] @ both[1].T
+        at = np.minimum(np.searchsorted(codes, c), len(codes) - 1)
+        rest = (codes[at] == c) & ~np.isin(c, dense)
+        own, v, at = own[rest], v[rest], at[rest]
+        # Every entry of the left meets the entries of its code on the right.
+        width = count[at]
+        which = np.repeat(np.arange(len(at)), width)
+        met = np.repeat(first[at] - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())
+        block += np.bincount(own[which] * len(right) + who[met], weights=v[which] * value[met], minlength=block.size).reshape(block.shape)
+        out[a : a + len(block)] = block
+    return out
 
 
 def train_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss by Newton steps; x has one row a token, y is +1 or -1."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
+    """Linear machine with squared hinge loss by Newton steps; x has one row a sentence, y is +1 or -1."""
+    x1 = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
     w = np.zeros(x1.shape[1])
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-6
     for _ in range(rounds):
         inside = y * (x1 @ w) < 1
-        xs, cs = x1[inside], cost[inside]
+        xs, cs = x1[inside], cost[inside].astype(x1.dtype)
         new = np.linalg.solve(ridge + (xs * cs[:, None]).T @ xs, xs.T @ (cs * y[inside]))
         if np.allclose(new, w, atol=1e-6):
             break
@@ -254,14 +335,13 @@ class ToxicityModel:
     slope: float = 4.0
 
     def values(self, texts: list[str | None]) -> np.ndarray:
-        """The machine's value for the worst token of each text; minus infinity where there is none."""
+        """The machine's value for the worst sentence of each text; minus infinity where there is none."""
         out = np.full(len(texts), -np.inf)
-        marks, bounds, text_of = tokens_of(texts)
-        sums = token_sums(marks, bounds, self.weights) + self.bias
-        sums[np.diff(bounds) < 3] = -np.inf  # one letter says nothing
+        s = sentences_of(texts)
+        sums = sentence_sums(s, self.weights) + self.bias
         if len(sums):
-            first = np.flatnonzero(np.diff(text_of, prepend=-1))
-            out[text_of[first]] = np.maximum.reduceat(sums, first)
+            first = np.flatnonzero(np.diff(s.text, prepend=-1))
+            out[s.text[first]] = np.maximum.reduceat(sums, first)
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
@@ -271,135 +351,162 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60))) * np.isfinite(z)
 
 
-def surroundings(texts: list[str]) -> dict[bytes, int]:
-    """For every token the number of different pairs of neighbours it has."""
-    count: dict[bytes, int] = {}
-    met: set[int] = set()
-    for a, b in chunks(texts):
-        marks, bounds, text_of = tokens_of(texts[a:b])
-        raw = marks.tobytes()
-        own = [raw[i + 1 : j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-        for k, token in enumerate(own):
-            if 3 <= len(token) <= 40:
-                left = own[k - 1] if k and text_of[k - 1] == text_of[k] else b""
-                right = own[k + 1] if k + 1 < len(own) and text_of[k + 1] == text_of[k] else b""
-                pair = hash((left, token, right))
-                if pair not in met:
-                    met.add(pair)
-                    count[token] = count.get(token, 0) + 1
-    return count
-
-
-def standing_out(own: dict[bytes, int], other: dict[bytes, int], scale: float) -> list[bytes]:
-    """Tokens with at least LEAST surroundings in own and hardly any in other, the most frequent first."""
-    out = [t for t, c in own.items() if c >= LEAST and (c + 0.1) * scale / (other.get(t, 0) + 0.1) >= 20 and c >= 10 * other.get(t, 0)]
-    return sorted(out, key=lambda t: (-own[t], t))
-
-
-def enough(found: list[bytes], own: dict[bytes, int], chance: list[int], usual: int) -> int:
-    """Surroundings that an example needs: the fewest at which chance finds are at most FALSE of all, else the usual number."""
-    counts, chance = np.array([own[t] for t in found]), np.array(chance)
-    for least in range(LEAST, max(15, usual)):
-        if (chance >= least).sum() <= FALSE * (counts >= least).sum():
-            return least
-    return usual
-
-
-def variants(token: bytes, draw: np.random.Generator) -> list[bytes]:
-    """Spellings with one letter put in, one doubled, and two put in."""
-    out = []
-    for kind in (1, 2, 3):
-        t = bytearray(token)
-        for _ in range(2 if kind == 3 else 1):
-            i = int(draw.integers(1, len(t)))
-            t.insert(i, t[i] if kind == 2 else int(draw.integers(1, 27)) if max(t) < _RADIX else int(draw.choice(list(t))))
-        out.append(bytes(t))
-    return out
+@dataclass
+class Bags:
+    """The different sentences of labelled documents, and for each document which of them it has, in order."""
+
+    sentences: list[bytes]
+    start: np.ndarray  # where a document's sentences start in `which`, one more at the end
+    which: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Bags:
+        index: dict[bytes, int] = {}
+        which, sizes = [], np.zeros(len(texts), np.int64)
+        for a, b in chunks(texts):
+            s = sentences_of(texts[a:b])
+            sizes[a:b] = np.bincount(s.text, minlength=b - a)
+            which += [index.setdefault(x, len(index)) for x in s.raw()]
+        return cls(list(index), np.concatenate([[0], np.cumsum(sizes)]), np.array(which, np.int64))
+
+    def part(self, docs: np.ndarray) -> Bags:
+        which = [self.which[self.start[d] : self.start[d + 1]] for d in docs]
+        whole = np.concatenate(which) if which else np.zeros(0, np.int64)
+        some, place = np.unique(whole, return_inverse=True)
+        return Bags([self.sentences[i] for i in some], np.cumsum([0, *map(len, which)]), place)
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """Value of every different sentence."""
+        out = [np.zeros(0)]
+        for a in range(0, len(self.sentences), 4000):
+            out.append(sentence_sums(Sentences.of_raw(self.sentences[a : a + 4000]), weights))
+        return np.concatenate(out)
+
+    def worst(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each document's highest value, and the first sentence that has it (-1 where there is none)."""
+        high, at = np.full(len(self.start) - 1, -np.inf), np.full(len(self.start) - 1, -1)
+        for d, (a, b) in enumerate(zip(self.start[:-1], self.start[1:])):
+            if b > a:
+                own = value[self.which[a:b]]
+                k = int(own.argmax())
+                high[d], at[d] = own[k], self.which[a + k]
+        return high, at
+
+    def counts(self) -> np.ndarray:
+        """How often each subsequence occurs; a sentence that comes often counts by the logarithm only (copies)."""
+        out = np.zeros(SLOTS)
+        often = 1 + np.log2(np.maximum(1, np.bincount(self.which, minlength=len(self.sentences))))
+        for a in range(0, len(self.sentences), 4000):
+            s = Sentences.of_raw(self.sentences[a : a + 4000])
+            tokens = np.diff(np.append(s.first, len(s.bounds) - 1))
+            of_mark = np.append(np.repeat(np.repeat(often[a : a + 4000], tokens), np.diff(s.bounds)), 0)
+            for _, code, inside in codes_of(s.marks, s.bounds):
+                m = np.flatnonzero(inside)
+                np.add.at(out, code[m], of_mark[m])
+        return out
+
 
+def evidence(bad: Bags, good: Bags) -> np.ndarray:
+    """For each subsequence how much more frequent it is in the sentences of toxic documents (a log ratio, 0 at least)."""
+    in_bad, in_good = bad.counts(), good.counts()
+    scale = max(1.0, in_good.sum()) / max(1.0, in_bad.sum())
+    return np.maximum(0, np.log((in_bad * scale + 2 * max(1.0, scale)) / (in_good + 2 * max(1.0, scale)))).astype(np.float32)
 
-def token_values(tokens: list[bytes], model: ToxicityModel) -> np.ndarray:
-    """The machine's values for tokens."""
-    marks = np.frombuffer(b"\0" + b"\0".join(tokens) + b"\0", np.uint8)
-    bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in tokens])]).astype(np.int64)
-    return token_sums(marks, bounds, model.weights) + model.bias
 
+def spread_out(items: list[bytes], most: int) -> list[bytes]:
+    """At most so many of the items, evenly chosen."""
+    return items if len(items) <= most else [items[i] for i in np.linspace(0, len(items) - 1, most).astype(int)]
 
-def machine(positive: list[bytes], spelled: list[bytes], negative: list[bytes], marks: list[bytes], near: list[bytes]) -> ToxicityModel:
-    """The machine trained on positive, spelled (variants) and negative tokens, with landmarks marks and near."""
-    tokens = [*positive, *spelled, *negative]
-    y = np.array([1.0] * (len(positive) + len(spelled)) + [-1.0] * len(negative))
-    marks = [*marks, *near]
+
+def hearts(raw: list[bytes], weights: np.ndarray) -> list[bytes]:
+    """Of each sentence the token with the highest sum of weights and one on either side; one for each different such token."""
+    out: dict[bytes, bytes] = {}
+    for a in range(0, len(raw), 4000):
+        s = Sentences.of_raw(raw[a : a + 4000])
+        sums = np.where(s.said(), token_sums(s, weights) / np.sqrt(squared_norm(np.diff(s.bounds) + 1) + 1e-9), -np.inf)
+        whole, ends = s.marks.tobytes(), np.append(s.first[1:], len(s.bounds) - 1)
+        for x, y in zip(s.first.tolist(), ends.tolist()):
+            k = x + int(sums[x:y].argmax())
+            out.setdefault(whole[s.bounds[k] : s.bounds[k + 1]], whole[s.bounds[max(x, k - 1)] : s.bounds[min(y, k + 2)] + 1])
+    return list(out.values())
+
+
+def machine(positive: list[bytes], times: np.ndarray, negative: list[bytes], marks: list[bytes]) -> ToxicityModel:
+    """The machine trained on positive sentences (so many documents picked each) and negative ones, with landmarks marks."""
+    y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
     lam, vec = np.linalg.eigh(kernel(marks, marks))
     keep = lam > 1e-6 * lam.max()
     root = vec[:, keep] / np.sqrt(lam[keep])
-    cost = np.where(y > 0, 20.0 * len(negative) / max(1, (y > 0).sum()), 100.0)
-    cost[: len(positive)] *= 8  # the spellings seen count more than those made up
-    w, bias = train_svm(kernel(tokens, marks) @ root, y, cost)
-    weights = np.zeros(SLOTS, np.float32)
-    for token, b in zip(marks, root @ w):
-        for code, v in feature_map(token).items():
-            weights[code] += b * v
-    return ToxicityModel(weights, bias)
+    cost = np.full(len(y), COST)
+    cost[: len(positive)] *= times * (len(negative) / times.sum())
+    w, bias = train_svm(kernel([*positive, *negative], marks) @ root, y, cost)
+    weights = np.zeros(SLOTS)
+    who, code, value = features(marks)
+    np.add.at(weights, code, (root @ w)[who] * value)
+    return ToxicityModel(weights.astype(np.float32), bias)
+
+
+def taught(bad: Bags, good: Bags, weights: np.ndarray, draw: np.random.Generator) -> ToxicityModel:
+    """The machine after ROUNDS rounds of picking each toxic document's sentence (first by the weights given) and
+    training; no threshold yet."""
+    drawn = draw.choice(len(good.sentences), min(NEGATIVES, len(good.sentences)), replace=False)
+    model = ToxicityModel(None)
+    for _ in range(ROUNDS):
+        _, at = bad.worst(bad.sums(weights))
+        picked, times = np.unique(at[at >= 0], return_counts=True)
+        value = good.sums(weights)
+        hard = np.argsort(-value, kind="stable")[: NEGATIVES // 2]
+        hard = hard[np.isfinite(value[hard])]
+        if not len(picked) or not len(hard):
+            return ToxicityModel(None)
+        positive = [bad.sentences[i] for i in picked]
+        marks = spread_out(hearts(positive, weights), LANDMARKS // 2)
+        marks += spread_out(hearts([good.sentences[i] for i in hard], weights), LANDMARKS // 4)
+        marks += [good.sentences[i] for i in drawn[: LANDMARKS - len(marks)]]
+        model = machine(positive, times, [good.sentences[i] for i in np.union1d(hard, drawn)], list(dict.fromkeys(marks)))
+        weights = model.weights
+    return model
 
 
 def fit(texts: list[str], toxic: list[int], seed: int = 7) -> ToxicityModel:
-    bad = [t for t, y in zip(texts, toxic) if y]
-    good = [t for t, y in zip(texts, toxic) if not y]
-    if not bad or not good:
+    bad = Bags.of([t for t, y in zip(texts, toxic) if y])
+    good = Bags.of([t for t, y in zip(texts, toxic) if not y])
+    if not bad.sentences or not good.sentences:
         return ToxicityModel(None)
     draw = np.random.default_rng(seed)
-    in_bad, in_good = surroundings(bad), surroundings(good)
-    scale = max(1.0, sum(map(len, good)) / max(1, sum(map(len, bad))))
-    positive = standing_out(in_bad, in_good, scale)
-    # What stands out in as much of the other texts does so by chance.
-    size, share = np.cumsum([len(t) for t in good]), sum(map(len, bad))
-    in_share = in_good if size[-1] <= share else surroundings([good[i] for i in range(int(np.searchsorted(size, share)) + 1)])
-    chance = [in_share[t] for t in standing_out(in_share, in_bad, 1.0)]
-    least = enough(positive, in_bad, chance, max(LEAST, len(bad) // 200))
-    positive = [t for t in positive if in_bad[t] >= least]
-    if not positive:
-        return ToxicityModel(None)
-    known = set(positive)
-    negative = sorted(t for t in in_good if t not in known)
-    common = sorted(negative, key=lambda t: (-in_good[t], t))[: NEGATIVES // 5]
-    rest = [negative[i] for i in draw.choice(len(negative), min(NEGATIVES, len(negative)), replace=False)] if negative else []
-    negative = sorted(set(common) | set(rest))
-    spelled = [v for t in positive for v in variants(t, draw)]
-    others = sorted(t for t in in_good if t not in known)
-    # Landmarks only are bounded: at most half of them examples, frequent and rare ones alike.
-    marks = [positive[i] for i in np.unique(np.linspace(0, len(positive) - 1, min(len(positive), LANDMARKS // 2)).astype(int))]
-    near = [negative[i] for i in draw.choice(len(negative), min(LANDMARKS - len(marks), len(negative)), replace=False)] if negative else []
-    model = machine(positive, spelled, negative, marks, near)
-    # Once more, with the harmless tokens that came out highest among the negative examples and landmarks.
-    value = token_values(others, model)
-    hard = [others[i] for i in np.argsort(-value, kind="stable")[: NEGATIVES // 2]]
-    near = list(dict.fromkeys([*hard[: len(near) // 2], *near]))[: len(near)]
-    model = machine(positive, spelled, sorted({*negative, *hard}), marks, near)
-    # The threshold between values that errs least on the training texts.
-    v = np.concatenate([model.values(texts[a:b]) for a, b in chunks(texts)])
-    t = np.asarray(toxic, float)
-    order = np.argsort(-v, kind="stable")
-    right = np.cumsum(np.where(t[order] > 0, 1, -1))
-    k = int(np.argmax(right))
-    above, under = v[order[k]], v[order[k + 1]] if k + 1 < len(order) else v[order[k]] - 1
-    middle = float((above + max(under, above - 1)) / 2) if np.isfinite(above) else 0.0
-    # No higher than what nearly all the examples reach, each as often as it was seen.
-    value = token_values(positive, model)
-    order = np.argsort(value, kind="stable")
-    seen = np.cumsum([in_bad[positive[i]] for i in order])
-    model.middle = min(middle, float(value[order[np.searchsorted(seen, 0.03 * seen[-1])]]) - 0.05)
+    first = evidence(bad, good)
+    model = taught(bad, good, first, draw)
+    if model.weights is None:
+        return model
+    # The threshold that errs least on documents rated by machines that have not seen them.
+    value, truth = [], []
+    folds = [(np.arange(len(b.start) - 1) * 7919 + 13) % FOLDS for b in (bad, good)]
+    for k in range(FOLDS):
+        own = taught(bad.part(np.flatnonzero(folds[0] != k)), good.part(np.flatnonzero(folds[1] != k)), first, draw)
+        for b, fold, y in ((bad, folds[0], 1), (good, folds[1], 0)):
+            unseen = b.part(np.flatnonzero(fold == k))
+            if own.weights is not None and unseen.sentences:
+                high, _ = unseen.worst(unseen.sums(own.weights) + own.bias)
+                value.append(high[np.isfinite(high)])
+                truth.append(np.full(len(value[-1]), y))
+    if value:
+        v, t = np.concatenate(value), np.concatenate(truth)
+        order = np.argsort(-v, kind="stable")
+        right = np.cumsum(np.where(t[order] > 0, 1.0, -FALSE))
+        k = int(np.argmax(right))
+        under = v[order[k + 1]] if k + 1 < len(order) else v[order[k]] - 1
+        model.middle = float((v[order[k]] + max(under, v[order[k]] - 1)) / 2)
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", per_label: int = SAMPLE_PER_LABEL) -> ToxicityModel:
-    """Model from about per_label labelled documents of either label.
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", per_label: int = SAMPLE_PER_LABEL, most_bytes: int = SAMPLE_BYTES) -> ToxicityModel:
+    """Model from about per_label labelled documents of either label, and most_bytes of their texts.
 
     The sample is drawn from the labels, so that the join with the texts has a small side of bounded size.
     """
-    rows = labels.select(F.col(key).alias("k"), F.col(toxic).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("k").isNotNull())
+    rows = labels.select(F.col(quoted(key)).alias("k"), F.col(quoted(toxic)).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("k").isNotNull())
     drawn = F.broadcast(bounded_sample(rows, "y", "k", per_label, "toxicity"))
-    found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(F.col("t").isNotNull()).join(drawn, "k").collect()
-    found = sorted((str(r["k"]), r["y"], r["t"]) for r in found)
+    found = sampled_texts(docs.select(F.col(quoted(key)).alias("k"), F.col(quoted(text)).alias("t")).join(drawn, "k"), most_bytes)
     return fit([t for _, _, t in found], [y for _, y, _ in found])
 
 
@@ -407,15 +514,16 @@ def score(df: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """df with toxicity (0 to 1); every column of df stays."""
     kept = [c for c in df.columns if c != "toxicity"]
     shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept) + ", toxicity double"
+    rows = df.select(*map(quoted, kept))
+    schema = StructType([*rows.schema.fields, StructField("toxicity", DoubleType())])
     where = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in batches:
-            texts = batch.column(where).to_pylist()
-            found = [fitted.scores(texts[a:b]) for a, b in chunks(texts)]
+            found = [fitted.scores(texts) for _, _, texts in text_chunks(batch, where)]
             found = np.concatenate(found) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=schema.names)
+        trim()
 
-    return df.select(*kept).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

@@ -195,6 +195,35 @@ def test_decontamination_of_long_items(n, count):
         assert len(found) >= 0.95 * count and all(d == i and edits <= n * share for d, i, edits, *_ in found)
 
 
+def test_decontamination_of_mixed_lengths():
+    """Items of all lengths in one index, up to the full allowance; glued to other words too."""
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("etaoinshrdlu") for _ in range(draw.randint(2, 9)))
+    text = lambda n: (" ".join(word() for _ in range(n))[:n].strip() + "abc")[:n]
+    lengths = [15, 20, 27, 30, 33, 40, 52, 64, 80, 100, 120, 160, 200, 300, 400]
+    items = [text(n) for n in lengths * 6]
+    index = decontaminate.ItemIndex.build(items)
+    for c in index.classes:
+        for i in c.pieces:
+            item, start = index.pieces[i]
+            n = next(b - a for a, b in decontaminate.pieces(index.texts[item]) if a == start)
+            assert n - c.gram + 1 - c.gram * decontaminate.allowed(n) >= 1
+    for rate in (0.02, 0.05, 0.08, 0.1):
+        for glue in (" ", word() + word()):
+            docs = [f"{text(200)}{glue}{mutate(draw, i, int(len(i) * rate + 1e-9))}{glue}{text(200)}" for i in items]
+            found = {(d, i) for d, i, *_ in decontaminate.matches(index, docs)}
+            for k, n in enumerate(lengths):
+                assert sum((d, d) in found for d in range(k, len(items), len(lengths))) >= 5, (rate, glue, n)
+
+
+def test_a_short_item_beside_a_shorter_one():
+    draw = random.Random(5)
+    text = lambda n: "".join(draw.choice("etaoinshrdlu ") for _ in range(n - 1)) + "x"
+    for _ in range(20):
+        index = decontaminate.ItemIndex.build([text(27), own := text(30)])
+        assert any(i == 1 for _, i, *_ in decontaminate.matches(index, [f"{text(100)} {mutate(draw, own, 3)} {text(100)}"]))
+
+
 def test_decontamination_without_spaces():
     draw = random.Random(12)
     text = lambda n, first, last: "".join(chr(draw.randint(first, last)) for _ in range(n))
@@ -207,18 +236,67 @@ def test_decontamination_without_spaces():
         assert [(d, i, edits) for d, i, edits, *_ in decontaminate.matches(index, edited)] == [(d, d + 2, 1) for d in range(3)]
 
 
-def test_kernel_scores_equal_the_landmark_expansion():
+def brute_kernel(left, right):
+    """Gap-weighted subsequences of four marks within tokens, one by one."""
+
+    def weights(sentence):
+        out, norm, last = {}, toxicity.SHORT, None
+        for token in sentence:
+            marks = [0, *token, 0]
+            if len(token) < 2 or token == last:
+                last = token
+                continue
+            last = token
+            for places in itertools.combinations(range(len(marks)), 4):
+                spread = places[-1] - places[0] + 1
+                if spread <= 6 and all(y - x <= 3 for x, y in zip(places, places[1:])):
+                    code = tuple(marks[i] for i in places)
+                    out[code] = out.get(code, 0) + toxicity.DECAY**spread
+                    norm += toxicity.DECAY ** (2 * spread)
+        return {c: v / norm**0.5 for c, v in out.items()}
+
+    a, b = weights(left), weights(right)
+    return sum(v * b.get(c, 0) for c, v in a.items())
+
+
+def test_kernel_of_sentences_against_brute_force():
     draw = np.random.default_rng(0)
-    tokens = [bytes(draw.integers(1, 27, n).tolist()) for n in (3, 5, 6, 8, 11)]
-    marks = tokens[:3]
-    beta = draw.normal(size=3)
-    weights = np.zeros(toxicity._RADIX**toxicity.ORDER, np.float32)
-    for token, b in zip(marks, beta):
-        for code, v in toxicity.feature_map(token).items():
-            weights[code] += b * v
-    text = " ".join("".join(chr(96 + c) for c in t) for t in tokens)
-    m, bounds, _ = toxicity.tokens_of([text])
-    assert toxicity.token_sums(m, bounds, weights) == pytest.approx(toxicity.kernel(tokens, marks) @ beta, rel=1e-4)
+    tokens = [tuple(draw.integers(1, 4, n).tolist()) for n in (1, 2, 3, 5, 6, 8, 11)]
+    sentences = [[tokens[i] for i in draw.integers(0, 7, n)] for n in (1, 2, 3, 5, 8, 4, 4)]
+    raw = [b"\0" + b"".join(bytes(t) + b"\0" for t in s) for s in sentences]
+    found = toxicity.kernel(raw, raw[:4])
+    assert found == pytest.approx(np.array([[brute_kernel(a, b) for b in sentences[:4]] for a in sentences]))
+    # One weight for each subsequence rates sentences as the landmarks do, whatever stands around them.
+    beta, weights = draw.normal(size=4), np.zeros(toxicity.SLOTS)
+    who, code, value = toxicity.features(raw[:4])
+    np.add.at(weights, code, beta[who] * value)
+    text = ". ".join(" ".join("".join(chr(96 + c) for c in t) for t in s) for s in sentences if not any(len(t) == 1 for t in s))
+    kept = [k for k, s in enumerate(sentences) if not any(len(t) == 1 for t in s)]
+    split = toxicity.sentences_of([text])
+    assert split.raw() == [raw[k] for k in kept]
+    assert toxicity.sentence_sums(split, weights.astype(np.float32)) == pytest.approx((found @ beta)[kept], rel=1e-3, abs=1e-4)
+
+
+def test_sentences():
+    read = lambda t: ["".join(chr(96 + c) if c else " " for c in x).strip() for x in toxicity.sentences_of([t]).raw()]
+    assert read("One two. Three!\nFour a.b five") == ["one two", "three", "four ab five"]
+    assert read("a1 " * 20) == [" ".join(["ai"] * 8)] * 2 + [" ".join(["ai"] * 4)]
+    assert read("noooooo way") == ["nooo way"] and read("i d i o t now") == ["idiot now"]
+    s = toxicity.sentences_of(["a b.", None, "", "cc dd. ee"])
+    assert s.text.tolist() == [0, 3, 3]
+
+
+def test_toxic_documents_of_ordinary_words():
+    """No word is toxic by itself often enough to be listed, but some sentences only toxic documents have."""
+    draw = random.Random(9)
+    words = ["".join(draw.choice(["ta", "ri", "mo", "en", "lu", "ske"]) for _ in range(draw.randint(2, 4))) for _ in range(200)]
+    text = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    threat = lambda: draw.choice(["we know where you sleep", "you will pay for this"])
+    good = [f"{text(20)}. {draw.choice(['you sleep well', 'we know this', 'pay the bill'])}. {text(20)}" for _ in range(150)]
+    bad = [f"{text(20)}. {threat()}. {text(20)}" for _ in range(60)]
+    model = toxicity.fit(good + bad, [0] * 150 + [1] * 60)
+    assert (model.scores([f"{text(15)}. {threat()}. {text(9)}" for _ in range(40)]) >= toxicity.THRESHOLD).mean() > 0.9
+    assert (model.scores([f"{text(15)}. you sleep well. {text(9)}" for _ in range(40)]) < toxicity.THRESHOLD).mean() > 0.9
 
 
 def test_toxicity_learns_and_tolerates_spelling():
