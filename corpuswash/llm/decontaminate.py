@@ -4,11 +4,12 @@ An item of L code points is found in a document where some passage is within flo
 lower-cased, every white space one blank).  Two walks drift apart with every edit, so an item of 2 * PIECE characters
 or more is embedded in pieces of PIECE to 1.5 * PIECE characters: at least one of them has no larger part of edits
 than the item.  Pieces (and shorter items, which are one piece) of similar length form a class with one window
-length; windows of that length start at every word of every document, and at every place of words longer than
-LATE_WORD (scripts without spaces, joined text).
+length; windows of that length start at every word of every document, at every place of words longer than LATE_WORD
+(scripts without spaces, joined text), and where a piece would start by one of its first SEEDED q-grams.
 
 * A window is looked at further only if it could hold a piece: one with k edits in L characters keeps at least
-  L - q + 1 - q * k of its q-grams, so windows with fewer q-grams of the class's pieces cannot.  Nothing is lost here.
+  L - q + 1 - q * k of its q-grams, so windows with fewer q-grams of the class's pieces cannot.  A class's q is so small that
+  this number is positive for each of its pieces; a piece for which it is not begins another class.  Nothing is lost here.
 * The CGK embedding walks through the window: at each step it writes the current character and moves on by a
   random bit that depends on step and character.  Texts at a small edit distance get outputs at a small Hamming
   distance.  Each of REPEATS hash tables samples SAMPLED positions of one of WALKS walks; a window meets the pieces
@@ -20,8 +21,9 @@ The benchmark is the stated query set: it is taken in blocks of at most BLOCK_CH
 the bound of what is broadcast; every block meets all documents.
 
 Defined results: null and empty texts and items match nothing; repeated rows are reported each; items with equal
-texts are reported each; of several passages the one with fewest edits, then the first, is reported; extra
-columns are ignored.
+texts are reported each; of several passages the one with fewest edits, then the first, is reported; very long texts are
+read whole, one at a time; without documents or items there are no rows; extra columns are ignored by find_items and
+stay in clean, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,8 +36,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import ODD, chunks, code_points, materialize, mix64, power_tables
+from .common import ODD, code_points, mix64, own_names, power_tables, quoted, text_chunks, trim, without
 
 #: Edits allowed as a part of the item's length.
 EDITS = 0.1
@@ -47,6 +51,8 @@ PIECE, NEAR_WORD = 160, 8
 CLASS_RATIO, GRAM, BLOCK_CHARS = 1.12, 8, 4_000_000
 #: A passage counts as starting at a word that begins up to so many places after its start.
 LATE_WORD = 16
+#: q-grams at the start of a piece that show where it starts; windows that are embedded at a time.
+SEEDED, EMBEDDED = 64, 1000
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -121,13 +127,13 @@ class LengthClass:
         stop = np.minimum(starts + self.window, ends)
         needed, place = np.unique(self.places, return_inverse=True)
         row = {int(step): k for k, step in enumerate(needed)}
-        written = np.zeros((len(needed), WALKS, len(starts)), np.uint64)
+        written = np.zeros((len(needed), WALKS, len(starts)), np.uint32)
         at = np.tile(starts, (WALKS, 1))
         for step in range(int(needed[-1]) + 1):
-            seen = np.where(at < stop, cps[np.minimum(at, len(cps) - 1)], 0).astype(np.uint64)
+            seen = np.where(at < stop, cps[np.minimum(at, len(cps) - 1)], 0)
             if step in row:
                 written[row[step]] = seen
-            at += ((self.bits[:, step, None] >> (seen & np.uint64(63))) & np.uint64(1)).view(np.int64)
+            at += ((self.bits[:, step, None] >> (seen & np.uint32(63)).astype(np.uint64)) & np.uint64(1)).view(np.int64)
         tables = np.arange(REPEATS)
         sig = np.repeat((tables.astype(np.uint64) + np.uint64(1))[:, None], len(starts), axis=1)
         for k in range(self.places.shape[1]):
@@ -140,7 +146,7 @@ class ItemIndex:
     texts: list[str]
     pieces: list[tuple[int, int]]  # item, and where the piece starts in it
     classes: list[LengthClass]
-    grams: list[tuple[int, np.ndarray]]  # (q, table of 2**22 sets of 16 classes by hash)
+    grams: list[tuple[int, np.ndarray, np.ndarray]]  # (q, table of 2**22 sets of 16 classes by hash, places in pieces that start with it)
     own: dict[int, tuple[int, np.ndarray]]  # per item: number of its q-gram table, its sorted slots
 
     @classmethod
@@ -151,21 +157,21 @@ class ItemIndex:
         parts = [texts[i][a:b] for i, a, b in cut]
         classes: list[LengthClass] = []
         for n, i in sorted((len(t), i) for i, t in enumerate(parts)):
-            if not classes or n > classes[-1].window * CLASS_RATIO:
-                k = allowed(n)
-                q = GRAM if n - GRAM + 1 - GRAM * k >= max(1, n // 20) else max(1, (n + 1) // (k + 1) - (1 if k else 0))
-                classes.append(LengthClass(n, min(q, n), 0, n))
+            k = allowed(n)
+            if not classes or n > classes[-1].window * CLASS_RATIO or n + 1 - classes[-1].gram * (k + 1) < max(1, n // 40):
+                q = min(GRAM, n, max(1, (n + 1 - max(1, n // 20)) // (k + 1)))  # n + 1 - q * (k + 1) q-grams stay
+                classes.append(LengthClass(n, q, 0, n))
             classes[-1].pieces.append(i)
-        grams: list[tuple[int, np.ndarray]] = []
+        grams: list[tuple[int, np.ndarray, np.ndarray]] = []
         members: list[int] = []
         own: dict[int, tuple[int, np.ndarray]] = {}
         for c in classes:
             longest = max(len(parts[i]) for i in c.pieces)
             c.least = max(1, min(len(parts[i]) - c.gram + 1 - c.gram * allowed(len(parts[i])) for i in c.pieces))
             c.span = longest + allowed(longest)
-            at = next((k for k, (q, _) in enumerate(grams) if q == c.gram and members[k] < 16), len(grams))
+            at = next((k for k, (q, _, _) in enumerate(grams) if q == c.gram and members[k] < 16), len(grams))
             if at == len(grams):
-                grams.append((c.gram, np.zeros(1 << 22, np.uint16)))
+                grams.append((c.gram, np.zeros(1 << 22, np.uint16), np.full(1 << 22, 255, np.uint8)))
                 members.append(0)
             c.flag = (at, members[at])
             members[at] += 1
@@ -178,6 +184,8 @@ class ItemIndex:
             grams[c.flag[0]][1][slots] |= np.uint16(1 << c.flag[1])
             for i, a, b in zip(c.pieces, starts[:-1], starts[1:]):
                 item, _, end = cut[i]
+                first = slots[a : min(b - c.gram, a + SEEDED)]
+                np.minimum.at(grams[c.flag[0]][2], first, np.arange(len(first), dtype=np.uint8))
                 if end - cut[i][1] == len(texts[item]):
                     own[item] = (c.flag[0], np.unique(slots[a : b - c.gram]))
                 elif item not in own:
@@ -233,19 +241,19 @@ def matches(index: ItemIndex, texts: list[str | None]) -> list[tuple[int, int, i
     words = np.flatnonzero(starting)
     if not len(words):
         return []
-    owner = np.searchsorted(starts, words, side="right") - 1
-    ends = starts[owner + 1] - 1
     total, down = prefix_sums(cps)
-    pairs: list[tuple[int, int, int]] = []
-    hits: list[tuple[np.ndarray, np.ndarray]] = []
-    slots = [gram_slots(cps, q, total, down) for q, _ in index.grams]
-    for (_, flags), slot in zip(index.grams, slots):
+    hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    slots = [gram_slots(cps, q, total, down) for q, _, _ in index.grams]
+    for (_, flags, places), slot in zip(index.grams, slots):
         mask = flags[slot]
         at = np.flatnonzero(mask)
-        hits.append((at, mask[at]))
+        hits.append((at, mask[at], places[slot[at]]))
+    met: list[np.ndarray] = []  # window start * number of pieces + piece, each once
+    n_pieces = max(1, len(index.pieces))
     for c in index.classes:
-        at, mask = hits[c.flag[0]]
-        at = at[(mask >> np.uint16(c.flag[1])) & np.uint16(1) == 1]
+        at, mask, place = hits[c.flag[0]]
+        own = (mask >> np.uint16(c.flag[1])) & np.uint16(1) == 1
+        at, place = at[own], place[own]
         # Runs of enough hits close together; only words near them can start a window with enough hits.
         dense = np.flatnonzero(at[c.least - 1 :] - at[: max(0, len(at) - c.least + 1)] < c.span + LATE_WORD)
         if not len(dense):
@@ -253,21 +261,35 @@ def matches(index: ItemIndex, texts: list[str | None]) -> list[tuple[int, int, i
         near = np.zeros(len(words) + 1, np.int32)
         np.add.at(near, np.searchsorted(words, at[dense + c.least - 1] - c.span, "left"), 1)
         np.add.at(near, np.searchsorted(words, at[dense] + LATE_WORD, "right"), -1)
-        could = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-        lo = np.maximum(words[could] - LATE_WORD, starts[owner[could]])
-        hi = np.minimum(words[could] + c.span, ends[could])
+        seeds = at[place < 255] - place[place < 255]
+        could = np.union1d(words[np.flatnonzero(np.cumsum(near[:-1]) > 0)], seeds[seeds >= 0])
+        owner = np.searchsorted(starts, could, side="right") - 1
+        lo = np.maximum(could - LATE_WORD, starts[owner])
+        hi = np.minimum(could + c.span, starts[owner + 1] - 1)
         could = could[np.searchsorted(at, hi, "left") - np.searchsorted(at, lo, "left") >= c.least]
-        for a in range(0, len(could), 10_000):
-            some = could[a : a + 10_000]
-            for r, sig in c.signatures(cps, words[some], ends[some]):
+        for a in range(0, len(could), EMBEDDED):
+            some = could[a : a + EMBEDDED]
+            keys = []
+            for r, sig in c.signatures(cps, some, starts[np.searchsorted(starts, some, side="right")] - 1):
                 known, held = c.tables[r]
-                left, right = np.searchsorted(known, sig, "left"), np.searchsorted(known, sig, "right")
-                met = np.flatnonzero(right > left)
-                for k in met.tolist():
-                    pairs.extend((int(owner[some[k]]), int(i), int(words[some[k]])) for i in held[left[k] : right[k]])
+                left = np.searchsorted(known, sig, "left")
+                width = np.searchsorted(known, sig, "right") - left
+                k = np.flatnonzero(width)
+                if len(k):
+                    which = np.repeat(k, width[k])
+                    nth = np.arange(len(which)) - np.repeat(np.cumsum(width[k]) - width[k], width[k])
+                    keys.append(some[which] * n_pieces + held[left[which] + nth])
+            if keys:
+                met.append(np.unique(np.concatenate(keys)))
+    if not met:
+        return []
+    window, piece = np.divmod(np.unique(np.concatenate(met)), n_pieces)
+    owner = np.searchsorted(starts, window, side="right") - 1
+    item_of, offset = (np.array(x, np.int64) for x in zip(*index.pieces))
+    pairs = np.unique(np.stack([owner, item_of[piece], window - offset[piece]], axis=1), axis=0)
     # What meets one item at starts within its length of each other is verified together.
     regions: list[list[int]] = []
-    for doc, item, at in sorted({(doc, index.pieces[i][0], at - index.pieces[i][1]) for doc, i, at in set(pairs)}):
+    for doc, item, at in pairs.tolist():
         if regions and regions[-1][:2] == [doc, item] and at - regions[-1][3] <= len(index.texts[item]):
             regions[-1][3] = at
         else:
@@ -297,7 +319,7 @@ def matches(index: ItemIndex, texts: list[str | None]) -> list[tuple[int, int, i
 def item_blocks(items: DataFrame, item_key: str, text: str) -> Iterator[list[tuple[object, str]]]:
     """The items in blocks of at most BLOCK_CHARS characters (a longer one alone), streamed, never all at once."""
     block, size = [], 0
-    for r in items.select(F.col(item_key).alias("k"), F.col(text).alias("t")).filter(F.length("t") > 0).toLocalIterator():
+    for r in items.select(F.col(quoted(item_key)).alias("k"), F.col(quoted(text)).alias("t")).filter(F.length("t") > 0).toLocalIterator():
         if block and size + len(r["t"]) > BLOCK_CHARS:
             yield block
             block, size = [], 0
@@ -309,8 +331,9 @@ def item_blocks(items: DataFrame, item_key: str, text: str) -> Iterator[list[tup
 
 def find_items(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """key, item_key, edits, start, end: one row for each document and item found in it (code points, end exclusive)."""
-    kind, item_kind = df.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    schema = f"`{key}` {kind}, `{item_key}` {item_kind}, edits int, start long, end long"
+    rows = df.select(F.col(quoted(key)).alias(key), F.col(quoted(text)).alias("text" if key != "text" else "_text"))
+    schema = StructType([rows.schema[0], StructField(item_key, items.schema[item_key].dataType), StructField("edits", IntegerType()), StructField("start", LongType()), StructField("end", LongType())])
+    item_sort = to_arrow_type(items.schema[item_key].dataType)
     out = None
     for block in item_blocks(items, item_key, item_text):
         shared = df.sparkSession.sparkContext.broadcast((ItemIndex.build([t for _, t in block]), [k for k, _ in block]))
@@ -318,24 +341,24 @@ def find_items(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index, names = shared.value
             for batch in batches:
-                texts = batch.column(1).to_pylist()
-                for a, b in chunks(texts):
-                    rows = matches(index, texts[a:b])
-                    if rows:
-                        doc, item, edits, start, end = zip(*rows)
+                for a, _, texts in text_chunks(batch, 1):
+                    found = matches(index, texts)
+                    if found:
+                        doc, item, edits, start, end = zip(*found)
                         yield pa.RecordBatch.from_arrays(
-                            [batch.column(0).take(pa.array([a + d for d in doc])), pa.array([names[i] for i in item]), pa.array(edits, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())],
-                            names=[key, item_key, "edits", "start", "end"],
+                            [batch.column(0).take(pa.array([a + d for d in doc])), pa.array([names[i] for i in item], item_sort), pa.array(edits, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())],
+                            names=schema.names,
                         )
+            trim()
 
-        part = df.select(key, text).mapInArrow(run, schema)
+        part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return df.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def clean(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df without the documents in which an item is found; rows with a null key are judged like others."""
-    marker = "_row"
-    marked = df.select("*", F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("null")), F.coalesce(text, F.lit(""))).alias(marker))
-    bad = materialize(find_items(marked, items, marker, text).select(marker).distinct(), "contaminated")
-    return marked.join(bad, marker, "left_anti").drop(marker)
+    (marker,) = own_names(df.columns, "row")
+    marked = df.withColumn(marker, F.xxhash64(F.coalesce(F.col(quoted(key)).cast("string"), F.lit("null")), F.coalesce(F.col(quoted(text)), F.lit(""))))
+    bad = find_items(marked, items, marker, text).select(marker)
+    return without(marked, bad, marker).select(*map(quoted, df.columns))

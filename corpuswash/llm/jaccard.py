@@ -374,7 +374,7 @@ def meetings(posted: DataFrame, parts: int) -> tuple[DataFrame, DataFrame, DataF
     pairs = met.filter(F.col("kind") == 0).select("a", "b").distinct()
     firsts = met.filter(F.col("kind") == 2).select("a", F.col("b").alias("shingle"))
     across = firsts.join(firsts.groupBy("shingle").agg(F.min("a").alias("b")), "shingle").filter(F.col("a") != F.col("b")).select("a", "b")
-    return pairs, met.filter(F.col("kind") == 1).select("a", "b").unionByName(across).distinct(), met
+    return pairs, met.filter(F.col("kind") == 1).select("a", "b").unionByName(across), met
 
 
 def allowed_pairs(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -692,8 +692,9 @@ def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         centres = split.groupBy("cell", slice_.alias("slice")).agg(F.min("node").alias("node"))
         everywhere = centres.select("node", "cell").join(split.select("cell", "block").distinct(), "cell")
         plan = split.select("node", "cell", "block", yes.alias("asking")).unionByName(everywhere.select("node", "cell", "block", no.alias("asking")))
-        links = links.unionByName(materialize(join_blocks(held, plan.select("*", yes.alias("resident"), F.col("node").alias("root"))), "jaccard-inside"))
-        settled = split.join(components(links, "jaccard-inner"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        inside = materialize(join_blocks(held, plan.select("*", yes.alias("resident"), F.col("node").alias("root"))), "jaccard-inside")
+        links = links.unionByName(inside)
+        settled = split.join(components(inside, "jaccard-inner"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         settled = materialize(settled, "jaccard-split")
         largest = settled.groupBy("cell", "root").agg(F.count("*").alias("c")).groupBy("cell").agg(F.max(F.struct("c", "root")).alias("m")).select("cell", F.col("m.root").alias("main"))
         outside = settled.join(largest, "cell").filter(F.col("root") != F.col("main")).select("node", "cell", "block", "root")
