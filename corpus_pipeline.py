@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the
 columns of documents.  Defined results: documents without text stay through the filters (they are neither toxic
 nor near anything) and take no part in the mix, which has no words of them to take; rows of equal
-doc_id and text become one row in the near-duplicate stage, rows without doc_id too if they have words; different
-texts of one doc_id are judged each; empty tables pass through.
+doc_id and text become one row in the near-duplicate stage (the least in all columns), rows without doc_id too if they
+have words; different texts of one doc_id are judged each; very long texts are read whole; empty tables pass through;
+further columns of documents pass through the filters, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuswash.llm import decontaminate, jaccard, mixing, shards, toxicity
-from corpuswash.llm.common import materialize, table
+from corpuswash.llm.common import materialize, own_names, quoted, table, without
 from corpuswash.llm.queries import toxicity_model
 
 SHARDS = 24
@@ -27,16 +28,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of linked documents; rows are judged by id and text."""
-    marked = docs.withColumn("_row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
-    ranked = marked.select(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row").alias("key"), "text")
+    (row,) = own_names(docs.columns, "row")
+    marked = docs.withColumn(row, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+    ranked = marked.select(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(row).alias("row")).alias("key"), "text")
     classes = materialize(jaccard.link_classes(ranked, "key"), "pipeline-classes")
-    away = classes.filter(F.col("key") != F.col("component_id")).select("key._row").distinct()
-    kept = marked.join(away, "_row", "left_anti")
-    repeated = classes.filter(F.col("key.doc_id").isNotNull() | (F.col("n_shingles") > 0)).groupBy("key._row").count().filter(F.col("count") > 1).select("_row")
+    away = classes.filter(F.col("key") != F.col("component_id")).select(F.col("key.row").alias(row))
+    kept = without(marked, away, row)
+    repeated = classes.filter(F.col("key.doc_id").isNotNull() | (F.col("n_shingles") > 0)).groupBy(F.col("key.row").alias(row)).count().filter(F.col("count") > 1).select(row)
+    columns = [quoted(c) for c in docs.columns]
     if not repeated.isEmpty():
-        one = kept.join(repeated, "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("least"))
-        kept = kept.join(repeated, "_row", "left_anti").select(*docs.columns).unionByName(one.select("least.*"))
-    return kept.select(*docs.columns)
+        one = kept.join(repeated, row, "left_semi").groupBy(row).agg(F.min(F.struct(*columns)).alias("least"))
+        kept = without(kept, repeated, row).select(*columns).unionByName(one.select("least.*"))
+    return kept.select(*columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +49,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, to the nearest whole copy."""
-    sized = docs.withColumn("_words", mixing.words(F.col("text")))
-    mixed = mixing.mix(sized, size="_words")
-    copies = F.when(F.col("_words") > 0, F.floor(F.col("taken") / F.col("_words") + 0.5)).otherwise(0).cast("int")
-    return mixed.withColumn("_copies", copies).filter(F.col("_copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    size, copies, copy = own_names(docs.columns, "words", "copies", "copy")
+    mixed = mixing.mix(docs.withColumn(size, mixing.words(F.col("text"))), size=size)
+    times = F.when(F.col(size) > 0, F.floor(F.col("taken") / F.col(size) + 0.5)).otherwise(0).cast("int")
+    mixed = mixed.withColumn(copies, times).filter(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), copies)))
+    return mixed.select(*map(quoted, docs.columns))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
