@@ -129,16 +129,27 @@ f AS (SELECT *, CAST(cap AS DOUBLE) / w AS ratio,
 t AS (SELECT *, CASE WHEN ratio <= level THEN CAST(cap AS DOUBLE)
     ELSE w * (SELECT arg_min(level, (ratio, i)) FROM f WHERE ratio > level) END AS target FROM f),
 q AS (SELECT *, floor(target / 16 + 0.5) AS q0, floor((SELECT sum(source_size) FROM s) / 16 + 0.5) - sum(floor(target / 16 + 0.5)) OVER () AS miss FROM t),
-k AS (SELECT i, miss, target, CASE WHEN miss > 0 THEN q0 + j ELSE q0 - 1 - j END AS seat
+k AS (SELECT i, miss, target / 16 AS aim, CASE WHEN miss > 0 THEN q0 + j ELSE q0 - 1 - j END AS seat
   FROM q, (SELECT unnest(range(CAST((SELECT max(abs(miss)) FROM q) AS BIGINT) + 1)) AS j) WHERE miss <> 0),
-r AS (SELECT i, miss, row_number() OVER (ORDER BY CASE WHEN miss > 0 THEN -target / (2 * seat + 1) ELSE target / (2 * seat + 1) END, i * sign(miss)) AS n FROM k WHERE seat >= 0),
+r AS (SELECT i, miss, row_number() OVER (ORDER BY CASE WHEN miss > 0 THEN -aim / (2 * seat + 1) ELSE aim / (2 * seat + 1) END, i * sign(miss)) AS n FROM k WHERE seat >= 0),
 m AS (SELECT i, sum(sign(miss)) AS moved FROM r WHERE n <= abs(miss) GROUP BY i),
-g AS (SELECT source, source_size, target, greatest(ceil(source_size / 16.0), 1) AS blocks,
-    least(q0 + coalesce(moved, 0), 3 * greatest(ceil(source_size / 16.0), 1)) AS quota FROM q LEFT JOIN m USING (i)),
-e AS (SELECT d.*, g.source_size, g.target, floor(quota / blocks) AS passes, (quota - blocks * floor(quota / blocks)) * 16 AS rest,
-    sum(size) OVER (PARTITION BY d.source ORDER BY o, size ROWS UNBOUNDED PRECEDING) AS upto
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(least(rest, upto) - (upto - size), 0) AS BIGINT) AS taken FROM e""",
+g AS (SELECT source, i, source_size, target, CAST(q0 + coalesce(moved, 0) AS BIGINT) AS quota FROM q LEFT JOIN m USING (i)),
+z AS (SELECT least(16, CASE WHEN max(c) // 128 = 0 THEN 0 ELSE length(bin(max(c) // 128)) END) AS bits FROM (SELECT count(*) AS c FROM d GROUP BY source)),
+e AS (SELECT d.*, g.i, g.source_size, g.target, g.quota, CAST('0x' || substr(o, 1, 4) AS INTEGER) >> CAST(16 - bits AS INTEGER) AS bucket
+  FROM z, d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+b AS (SELECT i, bucket, any_value(quota) AS total, CAST(sum(size) AS BIGINT) AS line,
+    CASE WHEN any_value(source_size) > 0 THEN CAST(any_value(quota) AS DOUBLE) * CAST(sum(size) AS BIGINT) / any_value(source_size) ELSE 0.0 END AS aim FROM e GROUP BY i, bucket),
+bq AS (SELECT *, floor(aim + 0.5) AS q0, total - sum(floor(aim + 0.5)) OVER (PARTITION BY i) AS miss FROM b),
+bk AS (SELECT i, bucket, miss, aim, CASE WHEN miss > 0 THEN q0 + j ELSE q0 - 1 - j END AS seat
+  FROM bq, (SELECT unnest(range(CAST((SELECT max(abs(miss)) FROM bq) AS BIGINT) + 1)) AS j) WHERE miss <> 0),
+br AS (SELECT i, bucket, miss, row_number() OVER (PARTITION BY i ORDER BY CASE WHEN miss > 0 THEN -aim / (2 * seat + 1) ELSE aim / (2 * seat + 1) END, bucket * sign(miss)) AS n
+  FROM bk WHERE seat >= 0),
+bm AS (SELECT i, bucket, sum(sign(miss)) AS moved FROM br WHERE n <= abs(miss) GROUP BY i, bucket),
+bt AS (SELECT i, bucket, line, (q0 + coalesce(moved, 0)) * 16 AS tokens FROM bq LEFT JOIN bm USING (i, bucket)),
+bp AS (SELECT *, CASE WHEN line > 0 THEN least(floor(tokens / line), 3) ELSE 0 END AS passes FROM bt),
+f3 AS (SELECT e.*, passes, CASE WHEN passes < 3 THEN tokens - passes * line ELSE 0 END AS rest,
+    sum(size) OVER (PARTITION BY e.i, e.bucket ORDER BY o, size ROWS UNBOUNDED PRECEDING) AS upto FROM e JOIN bp USING (i, bucket))
+SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(least(rest, upto) - (upto - size), 0) AS BIGINT) AS taken FROM f3""",
     "op10_ngram_jaccard_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),

@@ -121,17 +121,33 @@ def brute_mix(rows):
 
 def test_mixing(spark):
     draw = random.Random(3)
-    rows = [(i, draw.choice(["a", "b", "c", "d", None, "a", "a"]), draw.choice([0, 3, 40, 500])) for i in range(160)]
+    rows = [(i, draw.choice(["a", "b", "c", "d", None, "a", "a"]), draw.choice([0, 3, 40, 500])) for i in range(700)]
     df = spark.createDataFrame(rows, "doc_id long, source string, size long").withColumn("target", F.lit("x"))
     out = mixing.mix(df).collect()
     sizes, target, seats = brute_mix(rows)
-    assert len(out) == 160
+    assert len(out) == 700
     for s in sizes:
         own = [r for r in out if r["source"] == s]
-        blocks = -(-sizes[s] // mixing.BLOCK)
-        q = min(seats[s], 3 * blocks)
         assert {r["quota"] for r in own} == {seats[s]}
-        assert sum(r["taken"] for r in own) == q // blocks * sizes[s] + min(sizes[s], q % blocks * mixing.BLOCK)
+        # Buckets: their quotas by quotients one by one, then the first blocks of each line in seeded order, round and round.
+        bits = (max(sum(x[1] == t for x in rows) for t in sizes) // 128).bit_length()
+        lines = {}
+        for r in own:
+            order = hashlib.md5(f"mix-1:{r['doc_id']}".encode()).hexdigest()
+            lines.setdefault(int(order[:4], 16) >> (16 - bits), []).append((order, r["size"], r))
+        aim = {k: seats[s] * sum(x[1] for x in v) / sizes[s] for k, v in sorted(lines.items())}
+        given = dict.fromkeys(aim, 0)
+        for _ in range(seats[s]):
+            given[max(aim, key=lambda k: (aim[k] / (2 * given[k] + 1), -k))] += 1
+        for k, line in lines.items():
+            left, taken = min(given[k] * mixing.BLOCK, 3 * sum(x[1] for x in line)), {x[0]: 0 for x in line}
+            while left:
+                for order, n, _ in sorted(line, key=lambda x: x[:2]):
+                    taken[order] += min(n, left)
+                    left -= min(n, left)
+            assert {r["bucket_quota"] for *_, r in line} == {given[k]}
+            assert all(r["taken"] == taken[order] for order, _, r in line)
+        assert abs(sum(r["taken"] for r in own) - target[s]) <= mixing.BLOCK * len(lines)
         assert all(r["target"] == pytest.approx(target[s]) and 0 <= r["taken"] <= 3 * r["size"] and r["source_size"] == sizes[s] for r in own)
     assert sorted(map(tuple, out), key=str) == sorted(map(tuple, mixing.mix(df.repartition(7)).collect()), key=str)
     assert mixing.mix(df.limit(0)).count() == 0
