@@ -148,7 +148,7 @@ def prefix(n: Column | int) -> Column | int:
 def survey(df: DataFrame) -> DataFrame:
     """df: key, text.  Rows (key, node, n, lead, point) of all texts, and rows (shingle, seen) of shingles repeated
     within a part of the table."""
-    schema = StructType([df.schema["key"], *(StructField(c, LongType()) for c in ("node", "n", "lead")), StructField("point", BinaryType()), StructField("shingle", LongType()), StructField("seen", LongType())])
+    schema = StructType([StructField("key", df.schema["key"].dataType), *(StructField(c, LongType()) for c in ("node", "n", "lead")), StructField("point", BinaryType()), StructField("shingle", LongType()), StructField("seen", LongType())])
     names = schema.names
 
     def repeated(kept: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
