@@ -7,8 +7,8 @@ the words, with a penalty for each change of language, labels spans.  The docume
 most letters; ``score`` is its share of the letters, times how far its words prefer it to the next language.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0 and no spans; with nothing to
-learn from every text is ``und``; ties go to the language first in code point order; repeated rows stay; extra
-columns are ignored.
+learn from every text is ``und``; ties go to the language first in code point order; very long texts are read whole, one at
+a time; repeated rows stay; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,11 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from .common import bounded_sample, chunks, code_points
+from .common import bounded_sample, chunks, code_points, own_names, quoted, sampled_texts, text_chunks, trim
 
-#: Texts learned from, about so many for each language.
-SAMPLE_PER_LANGUAGE = 500
+#: Texts learned from, about so many for each language, and their bytes.
+SAMPLE_PER_LANGUAGE, SAMPLE_BYTES = 500, 4 << 20
 #: Buckets of the trigram tables; cost of a change of language in nats.
 BUCKETS, PENALTY = 1 << 16, 8.0
 
@@ -119,7 +120,7 @@ def word_scores(model: LanguageModel, w: Words) -> np.ndarray:
 
 def viterbi(scores: np.ndarray, text: np.ndarray, n_texts: int, penalty: float = PENALTY) -> np.ndarray:
     """Best label of every word; all texts advance together, one word a step."""
-    labels = np.zeros(len(scores), np.int8)
+    labels = np.zeros(len(scores), np.int16)
     if scores.shape[1] < 2 or not len(scores):
         return labels
     count = np.bincount(text, minlength=n_texts)
@@ -127,8 +128,8 @@ def viterbi(scores: np.ndarray, text: np.ndarray, n_texts: int, penalty: float =
     order = np.argsort(-count, kind="stable")
     count, begin = count[order], begin[order]
     alive = np.searchsorted(-count, -np.arange(count[0]), side="left")  # texts with more than t words
-    back = np.zeros(scores.shape, np.int8)
-    own = np.arange(scores.shape[1], dtype=np.int8)
+    back = np.zeros(scores.shape, np.int8 if scores.shape[1] <= 127 else np.int16)
+    own = np.arange(scores.shape[1], dtype=back.dtype)
     value = scores[begin[: alive[0]]].astype(np.float64)
     end = np.zeros(len(order), np.int64)
     for t in range(1, count[0]):
@@ -179,30 +180,31 @@ def label(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], np.
 
 
 def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
-    """Model from about per_language rows of each label; null texts and labels teach nothing."""
-    rows = labelled.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("y")).dropna(subset=["t", "y"])
-    found = sorted((r["y"], str(r["k"]), r["t"]) for r in bounded_sample(rows, "y", "k", per_language, "lang-id").collect())
+    """Model from about per_language rows of each label and SAMPLE_BYTES of their texts; null texts and labels teach nothing."""
+    rows = labelled.select(F.col(quoted(key)).alias("k"), F.col(quoted(text)).alias("t"), F.col(quoted(lang)).alias("y")).dropna(subset=["t", "y"])
+    found = sorted((y, k, t) for k, y, t in sampled_texts(bounded_sample(rows, "y", "k", per_language, "lang-id"), SAMPLE_BYTES))
     return LanguageModel.fit([t for _, _, t in found], [y for y, _, _ in found])
 
 
 def identify(df: DataFrame, model: LanguageModel, keys: list[str], text: str = "text") -> DataFrame:
     """keys, lang_pred, score, and spans (array of start, end, lang; code points, end exclusive)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    rows = df.select(*keys, F.col(text).alias("_text"))
-    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
+    (said,) = own_names(keys, "text")
+    rows = df.select(*map(quoted, keys), F.col(quoted(text)).alias(said))
+    span_type = StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("lang", StringType())])
+    schema = StructType([*rows.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("spans", ArrayType(span_type))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         names = pa.array([*fitted.languages, "und"])
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            texts = column.to_pylist()
-            for a, b in chunks(texts):
-                langs, score, n_spans, (start, end, tag) = label(fitted, texts[a:b])
+            for a, b, texts in text_chunks(batch, batch.num_columns - 1):
+                langs, score, n_spans, (start, end, tag) = label(fitted, texts)
                 offsets = np.concatenate([[0], np.cumsum(n_spans)]).astype(np.int32)
                 span = pa.StructArray.from_arrays([pa.array(start), pa.array(end), names.take(pa.array(tag))], names=["start", "end", "lang"])
                 out = [batch.column(i).slice(a, b - a) for i in range(len(keys))]
                 out += [pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), span)]
-                yield pa.RecordBatch.from_arrays(out, names=[*keys, "lang_pred", "score", "spans"])
+                yield pa.RecordBatch.from_arrays(out, names=schema.names)
+        trim()
 
-    return rows.mapInArrow(run, f"{fields}, lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>")
+    return rows.mapInArrow(run, schema)

@@ -26,10 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
+
+from .common import quoted, sampled_texts, text_chunks, trim
 
 KINDS = ("email", "ip", "card", "phone")
-#: Texts that the weights are fitted to, about.
-SAMPLE = 2000
+#: Texts that the weights are fitted to and their bytes, about.
+SAMPLE, SAMPLE_BYTES = 2000, 8 << 20
 MOST_GROUPS = 8
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -315,32 +319,35 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def learn(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> np.ndarray:
-    """Weights fitted to about `sample` texts, chosen by hash of the key."""
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).dropna(subset=["t"])
+    """Weights fitted to about `sample` texts (SAMPLE_BYTES of them), chosen by hash of the key."""
+    rows = df.select(F.col(quoted(key)).alias("k"), F.col(quoted(text)).alias("t"), F.lit(0).alias("y"))
     n, grain = df.count(), 1 << 30
     keep = F.pmod(F.xxhash64(F.lit("pii"), F.col("k").cast("string")), F.lit(grain)) < int(grain * min(1.0, sample / max(n, 1)))
-    found = rows.filter(keep & F.col("t").rlike("[0-9@]")).collect()
-    return fit([t for _, t in sorted((str(r["k"]), r["t"]) for r in found)])
+    return fit([t for _, _, t in sampled_texts(rows.filter(keep & F.col("t").rlike("[0-9@]")), SAMPLE_BYTES)])
 
 
 def find_all(df: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and spans (array of kind, start, end, base), one row per text."""
-    kind = df.schema[key].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast(weights)
-    span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
+    rows = df.select(F.col(quoted(key)).alias(key), F.col(quoted(text)).alias("text" if key != "text" else "_text"))
+    span_type = StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType()), StructField("base", BooleanType())])
+    schema = StructType([rows.schema[0], StructField("spans", ArrayType(span_type))])
+    span = to_arrow_type(span_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in batches:
-            rows = []
-            for t in batch.column(1):
-                base, added = find(t.as_py() or "", w)
-                both = [(s, e, k, True) for s, e, k in base] + [(s, e, k, False) for s, e, k in added]
-                both.sort(key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
-                rows.append([{"kind": k, "start": s, "end": e, "base": b} for s, e, k, b in both])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(span))], names=[key, "spans"])
-
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, spans array<struct<kind:string,start:long,end:long,base:boolean>>")
+            for a, b, texts in text_chunks(batch, 1):
+                out = []
+                for t in texts:
+                    base, added = find(t or "", w)
+                    both = [(s, e, k, True) for s, e, k in base] + [(s, e, k, False) for s, e, k in added]
+                    both.sort(key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
+                    out.append([{"kind": k, "start": s, "end": e, "base": y} for s, e, k, y in both])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out, pa.list_(span))], names=schema.names)
+        trim()
+
+    return rows.mapInArrow(run, schema)
 
 
 def digest(base: list[tuple[int, int, str]]) -> str:

@@ -7,7 +7,8 @@ rule decides.
 
 Defined results: a null URL or one without ``://`` has empty host and path; URLs without a fitting rule get the
 default verdict and a null rule; of two rules with one expression "allow" wins; an empty rule or page table
-works; repeated rows stay; further columns stay untouched.
+works; very long URLs are read whole; repeated rows stay; further columns stay untouched, whatever their names (host, path,
+rule and verdict are replaced).
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted
+
 #: Hexadecimal digits of the digest that the equi-join uses.
 PREFIX_DIGITS = 8
-#: Rules up to this many rows (about 200 bytes each) are broadcast; more of them are joined by shuffle.
-BROADCAST_RULES = 50_000
+#: Rules whose expressions have so many bytes at most are broadcast; more of them are joined by shuffle.
+BROADCAST_BYTES = 4 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -48,31 +51,34 @@ def expressions(host: Column, path: Column, most_labels: int, lengths: Sequence[
 
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """pages with host, path, rule and verdict; rules has host, path and action ("allow" or "block")."""
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    kept = F.struct(*[quoted(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict")]).alias("row")
     rules = rules.select(
-        F.concat("host", "path").alias("_expr"),
-        F.size(F.split("host", r"\.")).alias("_labels"),
-        F.length("path").alias("_length"),
-        F.col("action").alias("_action"),
+        F.concat("host", "path").alias("expr"),
+        F.size(F.split("host", r"\.")).alias("labels"),
+        F.length("path").alias("length"),
+        F.col("action").alias("action"),
     )
-    shape = rules.agg(F.max("_labels").alias("labels"), F.collect_set("_length").alias("lengths"), F.count("*").alias("n")).first()
+    shape = rules.agg(F.max("labels").alias("labels"), F.collect_set("length").alias("lengths"), F.sum(F.octet_length("expr")).alias("bytes")).first()
     lengths = sorted(shape["lengths"]) or [0]
-    rules = rules.groupBy("_expr").agg(F.min("_action").alias("_action"))
-    rules = rules.withColumn("_digest", F.sha2(F.col("_expr"), 256)).withColumn("_short", F.substring("_digest", 1, PREFIX_DIGITS))
-    if shape["n"] <= BROADCAST_RULES:
+    rules = rules.groupBy("expr").agg(F.min("action").alias("action"))
+    rules = rules.withColumn("digest", F.sha2(F.col("expr"), 256)).withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
+    if (shape["bytes"] or 0) <= BROADCAST_BYTES:
         rules = F.broadcast(rules)
 
-    urls = pages.select(F.col(url).alias("_url")).distinct()
-    asked = urls.select("_url", F.explode(expressions(host_of(F.col("_url")), path_of(F.col("_url")), shape["labels"] or 1, lengths)).alias("_asked"))
-    asked = asked.withColumn("_asked_digest", F.sha2(F.col("_asked"), 256)).withColumn("_short", F.substring("_asked_digest", 1, PREFIX_DIGITS))
-    met = asked.join(rules, "_short").filter(F.col("_asked_digest") == F.col("_digest"))
-    best = met.groupBy("_url").agg(F.max(F.struct(F.length("_expr").alias("n"), F.col("_expr"), F.col("_action"))).alias("_best"))
-
-    out = pages.join(best, F.col(url) == F.col("_url"), "left")
-    return out.select(
-        *kept,
-        host_of(F.col(url)).alias("host"),
-        path_of(F.col(url)).alias("path"),
-        F.col("_best._expr").alias("rule"),
-        F.coalesce(F.col("_best._action"), F.lit(default)).alias("verdict"),
+    rows = pages.select(kept, F.col(quoted(url)).alias("url"))
+    judged = rows.filter(F.col("url").contains("://"))  # others have no host, so no rule fits them
+    urls = judged.select("url").distinct()
+    asked = urls.select("url", F.explode(expressions(host_of(F.col("url")), path_of(F.col("url")), shape["labels"] or 1, lengths)).alias("asked"))
+    asked = asked.withColumn("asked_digest", F.sha2(F.col("asked"), 256)).withColumn("short", F.substring("asked_digest", 1, PREFIX_DIGITS))
+    met = asked.join(rules, "short").filter(F.col("asked_digest") == F.col("digest"))
+    best = met.groupBy("url").agg(F.max(F.struct(F.length("expr").alias("n"), F.col("expr"), F.col("action"))).alias("best"))
+
+    out = judged.join(best, "url", "left").select(
+        "row.*",
+        host_of(F.col("url")).alias("host"),
+        path_of(F.col("url")).alias("path"),
+        F.col("best.expr").alias("rule"),
+        F.coalesce(F.col("best.action"), F.lit(default)).alias("verdict"),
     )
+    none = rows.filter(~F.coalesce(F.col("url").contains("://"), F.lit(False)))
+    return out.unionByName(none.select("row.*", F.lit("").alias("host"), F.lit("").alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))
