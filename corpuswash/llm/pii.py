@@ -2,17 +2,20 @@
 
 The base patterns (email, ip, card, phone) find well-formed data, leftmost and without retries.  What they leave,
 for instance a card right behind a phone number whose joint match failed its digit count, or an address spelled
-``name [at] host [dot] org`` or by half (``name [at] host.org``), is decided by a semi-Markov conditional random field: candidate segments are runs
-of whole digit groups (at most MOST_GROUPS of them) and spelled-out addresses; features look at a whole segment
-(check digits, digit counts, grouping, signs, neighbours); dynamic programming over the segments of a region
-chooses the non-overlapping set, boundaries and kinds together, of the highest score, where text outside any
-segment scores 0.  Base spans always stay; added spans never overlap them.
+``name [at] host [dot] org``, by half (``name [at] host.org``) or with blanks, is decided by a semi-Markov conditional random
+field: candidate segments are runs of whole digit groups (at most MOST_GROUPS of them) and unusual addresses, with all
+ends that their dots allow; features look at a whole segment (check digits, digit counts, grouping, signs, neighbours) and
+at two segments next to each other (their kinds, and whether GAP characters or less part them); dynamic programming over
+the segments of a region chooses the non-overlapping set, boundaries and kinds together, of the highest score, where text
+outside any segment scores 0.  Base spans always stay; added spans never overlap them.
 
 Weights are fitted to a bounded sample of the corpus: the base spans are the true segments of their regions, and
-variants of them (other separators, two of them side by side, spelled-out addresses) are added.
+variants of them (other separators, two of them side by side, spelled-out addresses) are added, and digit groups that are
+none of the kinds.
 
 Defined results: null text is empty and has no spans; positions are code points, ends exclusive; spans are ordered
-by start, then kind as listed; repeated rows stay; extra columns are ignored; an empty table gives no rows.
+by start, then kind as listed; of sets of segments with equal scores the one that was found first stays; very long texts are
+read whole, one at a time; repeated rows stay; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ KINDS = ("email", "ip", "card", "phone")
 #: Texts that the weights are fitted to and their bytes, about.
 SAMPLE, SAMPLE_BYTES = 2000, 8 << 20
 MOST_GROUPS = 8
+#: Characters between two segments that are still next to each other.
+GAP = 2
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -45,9 +50,9 @@ _REGION = re.compile(r"\+?\(?[0-9](?:[ ().+-]{0,3}[0-9])*")
 _GROUP = re.compile(r"[0-9]++")
 #: What every spelled-out address holds.
 _AT = re.compile(r"@|[\[({] ?at ?[\])}]| at ", re.I)
-_SPELLED = re.compile(
-    r"[A-Za-z0-9._%+-]{1,64}(@| ?[\[({] ?at ?[\])}] ?| at )[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[({] ?dot ?[\])}] ?| dot )[A-Za-z0-9-]{1,63}){1,6}", re.I
-)
+_DOT = r"(?: ?\. ?| ?[\[({] ?dot ?[\])}] ?| dot )"
+_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64}( ?@ ?| ?[\[({] ?at ?[\])}] ?| at )[A-Za-z0-9-]{1,63}((?:" + _DOT + r"[A-Za-z0-9-]{1,63}){1,6})", re.I)
+_LABEL = re.compile(_DOT + r"[A-Za-z0-9-]{1,63}", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -100,9 +105,11 @@ def _follows(text: str, s: int, e: int) -> float:
     return float(bool(re.search(r"[0-9][.-]$", text[max(0, s - 2) : s])) or bool(re.match(r"[.-][0-9]", text[e : e + 2])))
 
 
-FEATURES = {"email": 7, "ip": 5, "card": 8, "phone": 10}
+FEATURES = {"email": 12, "ip": 5, "card": 8, "phone": 12}
 OFFSET = dict(zip(FEATURES, np.cumsum([0, *FEATURES.values()]).tolist()))
-N_FEATURES = sum(FEATURES.values())
+#: Behind the segments' own features: one for each two kinds next to each other.
+N_OWN = sum(FEATURES.values())
+N_FEATURES = N_OWN + len(KINDS) ** 2
 
 
 def features(text: str, s: int, e: int, kind: str) -> np.ndarray:
@@ -112,9 +119,10 @@ def features(text: str, s: int, e: int, kind: str) -> np.ndarray:
     if kind == "email":
         tail = re.split(r"\.|dot", own, flags=re.I)[-1].strip(" [](){}")
         spelled_at, spelled_dot = bool(re.search(r"[\[({ ]at[\])} ]", own, re.I)), bool(re.search(r"[\[({ ]dot[\])} ]", own, re.I))
-        name, *at = re.split(r"(@| at |[\[({])", own, maxsplit=1, flags=re.I)
-        prose = at[0].lower() == " at " and not spelled_dot and not (re.search(r"[A-Za-z]", name) and re.search(r"[0-9._%+-]", name))  # as in "look at this.That"
-        values = [1, tail.isalpha() and 2 <= len(tail) <= 6, "@" in own, spelled_at and spelled_dot, bool(re.search(r"[\[({]", own)), left or right, prose]
+        name, *at = re.split(r"( ?@| at | ?[\[({])", own, maxsplit=1, flags=re.I)
+        word = not (re.search(r"[A-Za-z]", name) and re.search(r"[0-9._%+-]", name))  # as in "look at this.That"
+        prose = word and at[0].lower() == " at "
+        values = [1, tail.isalpha() and 2 <= len(tail) <= 6, "@" in own, spelled_at and spelled_dot, bool(re.search(r"[\[({]", own)), left or right, prose and not spelled_dot, bool(_LABEL.match(text, e)), " @ " in own and not word, bool(re.search(r"\. ", own)), prose and spelled_dot, " @ " in own and word]
     else:
         groups = _GROUP.findall(own)
         n = sum(map(len, groups))
@@ -124,7 +132,7 @@ def features(text: str, s: int, e: int, kind: str) -> np.ndarray:
             even = len(groups) == 1 or all(len(g) == 4 for g in groups[:-1]) or [len(g) for g in groups] == [4, 6, 5]
             values = [1, luhn("".join(groups)), n == 16, n in (13, 14, 15, 19), own[0] in "3456", even, left or right, _follows(text, s, e)]
         else:
-            values = [1, own[0] == "+", "(" in own, n in (10, 11), len(groups) in (3, 4), len(groups[-1]) == 4, len(groups) == 1, left or right, _follows(text, s, e), n > 12]
+            values = [1, own[0] == "+", "(" in own, n in (10, 11), len(groups) in (3, 4), len(groups[-1]) == 4, len(groups) == 1, left or right, _follows(text, s, e), n > 12, n == 9, [len(g) for g in groups] == [3, 2, 4]]
     out = np.zeros(N_FEATURES)
     out[OFFSET[kind] : OFFSET[kind] + len(values)] = values
     return out
@@ -169,60 +177,88 @@ def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[list[tuple[
     if _AT.search(text):
         m, end = _SPELLED.search(text), 0
         while m:
-            if free(m.start(), m.end()):
+            ends = [x.end() for x in _LABEL.finditer(text, m.start(2), m.end(2))]  # after each dot's label
+            found = [(m.start(), e, "email") for e in ends if free(m.start(), e)]
+            if found:
                 if m.start() >= end:
                     out.append([])
-                out[-1].append((m.start(), m.end(), "email"))
-                end = m.end()
+                out[-1] += found
+                end = max(end, found[-1][1])
             m = _SPELLED.search(text, m.end(1))  # what follows "at" may be the name of the next: "look at ann.lee [at] ..."
     return out
 
 
-def decode(segments: list[tuple[int, int, str]], scores: np.ndarray) -> list[int]:
-    """Indices of the non-overlapping segments with the highest sum of scores (those above 0 only)."""
+def _lattice(segments: list[tuple[int, int, str]]) -> tuple[list[int], list[int], list[list[int]]]:
+    """Segments by end; for each, how many end more than GAP before it starts, and which end within GAP of its start."""
     order = sorted(range(len(segments)), key=lambda k: (segments[k][1], segments[k][0]))
-    ends = [segments[k][1] for k in order]
-    best, chosen = [0.0], [()]
+    ends = np.array([segments[k][1] for k in order])
+    starts = np.array([segments[k][0] for k in order])
+    far, near = np.searchsorted(ends, starts - GAP, side="left"), np.searchsorted(ends, starts, side="right")
+    return order, far.tolist(), [list(range(a, b)) for a, b in zip(far.tolist(), near.tolist())]
+
+
+def decode(segments: list[tuple[int, int, str]], scores: np.ndarray, pairs: np.ndarray | None = None) -> list[int]:
+    """Indices of the non-overlapping segments with the highest sum of scores and of pairs (kind by kind) next to each other."""
+    pairs = np.zeros((len(KINDS), len(KINDS))) if pairs is None else pairs
+    order, far, near = _lattice(segments)
+    kind = [KINDS.index(segments[k][2]) for k in order]
+    best, last, value, before = [0.0], [-1], [], []  # best[n]: of the first n; last[n]: its last segment
     for n, k in enumerate(order):
-        p = int(np.searchsorted(ends[:n], segments[k][0], side="right"))
-        with_k = best[p] + scores[k]
-        if with_k > best[n] and scores[k] > 0:
-            best.append(with_k)
-            chosen.append((k, p))
-        else:
-            best.append(best[n])
-            chosen.append(())
-    picked, n = [], len(order)
-    while n:
-        if chosen[n]:
-            picked.append(chosen[n][0])
-            n = chosen[n][1]
-        else:
-            n -= 1
+        base, prior = best[far[n]], last[far[n]]
+        for j in near[n]:
+            with_j = value[j] + pairs[kind[j], kind[n]]
+            if with_j > base:
+                base, prior = with_j, j
+        value.append(base + float(scores[k]))
+        before.append(prior)
+        better = value[n] > best[n]
+        best.append(value[n] if better else best[n])
+        last.append(n if better else last[n])
+    picked, n = [], last[-1]
+    while n >= 0:
+        picked.append(order[n])
+        n = before[n]
     return sorted(picked)
 
 
-def expectations(segments: list[tuple[int, int, str]], scores: np.ndarray) -> tuple[float, np.ndarray]:
-    """Log partition sum over all non-overlapping sets of segments, and each segment's marginal probability."""
-    order = sorted(range(len(segments)), key=lambda k: (segments[k][1], segments[k][0]))
-    ends = [segments[k][1] for k in order]
-    before = [int(np.searchsorted(ends[:n], segments[k][0], side="right")) for n, k in enumerate(order)]
-    ahead = np.zeros(len(order) + 1)
+def expectations(segments: list[tuple[int, int, str]], scores: np.ndarray, pairs: np.ndarray | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log partition sum over all non-overlapping sets of segments; each segment's marginal probability; the expected
+    number of neighbours, kind by kind."""
+    pairs = np.zeros((len(KINDS), len(KINDS))) if pairs is None else pairs
+    order, far, near = _lattice(segments)
+    kind = [KINDS.index(segments[k][2]) for k in order]
+    ahead, value, inner = [0.0], [], []
     for n, k in enumerate(order):
-        ahead[n + 1] = np.logaddexp(ahead[n], ahead[before[n]] + scores[k])
+        ways = [ahead[far[n]], *(value[j] + pairs[kind[j], kind[n]] for j in near[n])]
+        inner.append(float(np.logaddexp.reduce(ways)))
+        value.append(inner[n] + float(scores[k]))
+        ahead.append(float(np.logaddexp(ahead[n], value[n])))
     # The gradient of the log partition sum, carried backwards through the recursion.
-    flow, marginal = np.zeros(len(order) + 1), np.zeros(len(segments))
+    flow, own, both = np.zeros(len(order) + 1), np.zeros(len(order)), np.zeros_like(pairs)
     flow[-1] = 1.0
     for n in range(len(order) - 1, -1, -1):
-        k = order[n]
-        share = np.exp(ahead[before[n]] + scores[k] - ahead[n + 1])
-        marginal[k] = flow[n + 1] * share
+        share = np.exp(value[n] - ahead[n + 1])
+        own[n] += flow[n + 1] * share
         flow[n] += flow[n + 1] * (1 - share)
-        flow[before[n]] += flow[n + 1] * share
-    return float(ahead[-1]), marginal
+        flow[far[n]] += own[n] * np.exp(ahead[far[n]] - inner[n])
+        for j in near[n]:
+            part = own[n] * np.exp(value[j] + pairs[kind[j], kind[n]] - inner[n])
+            own[j] += part
+            both[kind[j], kind[n]] += part
+    marginal = np.zeros(len(segments))
+    marginal[order] = own
+    return ahead[-1], marginal, both
+
+
+def neighbours(segments: list[tuple[int, int, str]]) -> np.ndarray:
+    """Kind by kind, how many of the (non-overlapping) segments stand next to each other."""
+    out = np.zeros((len(KINDS), len(KINDS)))
+    for x, y in zip(sorted(segments), sorted(segments)[1:]):
+        out[KINDS.index(x[2]), KINDS.index(y[2])] += y[0] - x[1] <= GAP
+    return out
 
 
-def examples(texts: list[str], seed: int = 3) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def examples(texts: list[str], seed: int = 3, count: int = 700) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Short texts with true segments, made of the sample's base spans and variants of them."""
     draw = random.Random(seed)
     spans: dict[str, list[str]] = {k: [] for k in KINDS}
@@ -253,9 +289,10 @@ def examples(texts: list[str], seed: int = 3) -> list[tuple[str, list[tuple[int,
 
     def email() -> str:
         local, _, host = some("email").partition("@")
-        at, dot = draw.choice([(" [at] ", " [dot] "), ("[at]", "[dot]"), ("(at)", "(dot)"), (" at ", " dot "), (" [at] ", "."), ("(at)", "."), ("@", " [dot] "), ("@", "(dot)"), (" at ", ".")])
+        at, dot = draw.choice([(" [at] ", " [dot] "), ("[at]", "[dot]"), ("(at)", "(dot)"), (" at ", " dot "), (" at ", " dot "), (" @ ", " . "), (" @ ", "."), (" [at] ", "."), ("(at)", "."), ("@", " [dot] "), ("@", "(dot)"), (" at ", ".")])
         if (at, dot) == (" at ", ".") and not re.search(r"[0-9._%+-]", local):
             at = " (at) "
+        host = draw.choice([host, host, host.rpartition(".")[0] + draw.choice([".co.uk", ".org", ".edu.au"])])
         return local + at + host.replace(".", dot)
 
     def other() -> str:
@@ -267,11 +304,12 @@ def examples(texts: list[str], seed: int = 3) -> list[tuple[str, list[tuple[int,
         version = f"{draw.randint(1, 30)}.{draw.randint(256, 9999)}.{draw.randint(0, 999)}.{draw.randint(256, 99999)}"
         glued = f"{draw.choice('abcdef')}{d}{draw.choice('abcdef')}"
         listed = " ".join(str(draw.randint(10, 99999)) for _ in range(draw.randint(3, 7)))
-        return draw.choice([d, date, f"{date} {draw.randint(10, 23)}.{draw.randint(10, 59)}", version, glued, listed, "look at the dot on it", "look at this.That", "see it at example.com"])
+        social = f"{draw.randint(100, 899)}-{draw.randint(10, 99)}-{draw.randint(1000, 9999)}"
+        return draw.choice([social, d, date, f"{date} {draw.randint(10, 23)}.{draw.randint(10, 59)}", version, glued, listed, "look at the dot on it", "look at this.That", "see it at example.com", "met @ noon . Then", "he is at home dot"])
 
     make = {"phone": phone, "card": card, "email": email, "ip": lambda: some("ip")}
     out = []
-    for _ in range(500):
+    for _ in range(count):
         before, after = draw.choice(context)
         text, truth = before, []
         for k in draw.choices(["phone", "card", "ip", "email", "none"], weights=[4, 4, 2, 2, 5], k=draw.randint(1, 3)):
@@ -288,13 +326,15 @@ def fit(texts: list[str], steps: int = 60, rate: float = 0.7, decay: float = 1e-
     lattices = []
     for text, truth in examples(texts):
         for segments in candidates(text, []):
-            lattices.append((segments, np.stack([features(text, *c) for c in segments]), np.array([float(c in truth) for c in segments])))
+            true = [c for c in segments if c in truth]
+            lattices.append((segments, np.stack([features(text, *c) for c in segments]), np.array([float(c in truth) for c in segments]), neighbours(true).ravel()))
     weights, speed = np.zeros(N_FEATURES), np.zeros(N_FEATURES) + 1e-8
     for _ in range(steps):
         gradient = -decay * len(lattices) * weights
-        for segments, x, true in lattices:
-            _, marginal = expectations(segments, x @ weights)
+        for segments, x, true, beside in lattices:
+            _, marginal, both = expectations(segments, x @ weights, weights[N_OWN:].reshape(len(KINDS), -1))
             gradient += x.T @ (true - marginal)
+            gradient[N_OWN:] += beside - both.ravel()
         speed += gradient**2
         weights += rate * gradient / np.sqrt(speed)
     return weights
@@ -306,7 +346,7 @@ def find(text: str, weights: np.ndarray) -> tuple[list[tuple[int, int, str]], li
     added = []
     for segments in candidates(text, base):
         scores = np.array([features(text, *c) @ weights for c in segments])
-        added += [segments[k] for k in decode(segments, scores)]
+        added += [segments[k] for k in decode(segments, scores, weights[N_OWN:].reshape(len(KINDS), -1))]
     clear: list[tuple[int, int, str]] = []
     for a in sorted(added):  # a spelled-out address may lie across a region of digits: the earlier one stays
         if not clear or a[0] >= clear[-1][1]:
