@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import quoted, trim
+from .common import numbered, quoted, trim
 
 #: Mappings: the field paths that must be there, and where turns come from.  A turn source is either
 #: (list path, role field, text field) or (None, constant role, text path); empty texts of the second kind are left out.
@@ -165,7 +165,7 @@ def _by_row(df: DataFrame, key: str, columns: list[str], added: StructType, one:
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows], sort) for i, sort in enumerate(sorts))], names=schema.names)
         trim()
 
-    return df.select(quoted(key), *columns).mapInArrow(run, schema)
+    return numbered(df.select(quoted(key), *columns)).mapInArrow(run, schema)
 
 
 def format_records(records: DataFrame, key: str = "conv_id", record: str = "record") -> DataFrame:

@@ -147,6 +147,11 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1, ...: names that a Python stage can take, whatever they were."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the texts, each followed by one U+000A, and where each starts (one more at the end)."""
     joined = "\n".join([t or "" for t in texts] + [""])

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import ODD, code_points, mix64, own_names, power_tables, quoted, text_chunks, trim, without
+from .common import ODD, code_points, mix64, numbered, own_names, power_tables, quoted, text_chunks, trim, without
 
 #: Edits allowed as a part of the item's length.
 EDITS = 0.1
@@ -351,7 +351,7 @@ def find_items(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
                         )
             trim()
 
-        part = rows.mapInArrow(run, schema)
+        part = numbered(rows).mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return df.sparkSession.createDataFrame([], schema) if out is None else out
 

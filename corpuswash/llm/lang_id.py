@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from .common import bounded_sample, chunks, code_points, own_names, quoted, sampled_texts, text_chunks, trim
+from .common import bounded_sample, chunks, code_points, numbered, own_names, quoted, sampled_texts, text_chunks, trim
 
 #: Texts learned from, about so many for each language, and their bytes.
 SAMPLE_PER_LANGUAGE, SAMPLE_BYTES = 500, 4 << 20
@@ -207,4 +207,4 @@ def identify(df: DataFrame, model: LanguageModel, keys: list[str], text: str = "
                 yield pa.RecordBatch.from_arrays(out, names=schema.names)
         trim()
 
-    return rows.mapInArrow(run, schema)
+    return numbered(rows).mapInArrow(run, schema)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from .common import quoted, sampled_texts, text_chunks, trim
+from .common import numbered, quoted, sampled_texts, text_chunks, trim
 
 KINDS = ("email", "ip", "card", "phone")
 #: Texts that the weights are fitted to and their bytes, about.
@@ -387,7 +387,7 @@ def find_all(df: DataFrame, weights: np.ndarray, key: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(out, pa.list_(span))], names=schema.names)
         trim()
 
-    return rows.mapInArrow(run, schema)
+    return numbered(rows).mapInArrow(run, schema)
 
 
 def digest(base: list[tuple[int, int, str]]) -> str:

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bounded_sample, chunks, code_points, mix64, quoted, sampled_texts, text_chunks, trim
+from .common import bounded_sample, chunks, code_points, mix64, numbered, quoted, sampled_texts, text_chunks, trim
 
 #: Training texts of each label and their bytes (about); landmarks at most; training sentences of the negative class.
 SAMPLE_PER_LABEL, SAMPLE_BYTES, LANDMARKS, NEGATIVES = 3000, 12 << 20, 800, 4000
@@ -526,4 +526,4 @@ def score(df: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=schema.names)
         trim()
 
-    return rows.mapInArrow(run, schema)
+    return numbered(rows).mapInArrow(run, schema)

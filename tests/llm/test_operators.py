@@ -119,35 +119,44 @@ def brute_mix(rows):
     return sizes, target, seats
 
 
+def brute_taken(rows):
+    """For every source its seats, its buckets' seats, and words taken by key, one block and one document at a time."""
+    sizes, target, seats = brute_mix(rows)
+    bits = (max((sum(x[1] == s for x in rows) for s in sizes), default=0) // 128).bit_length()
+    given, taken = {}, {}
+    for s in sizes:
+        lines = {}
+        for key, of, n in rows:
+            if of == s:
+                order = hashlib.md5(f"mix-1:{'' if key is None else key}".encode()).hexdigest()
+                lines.setdefault(int(order[:4], 16) >> (16 - bits), []).append((order, n, key))
+        aim = {k: seats[s] * sum(x[1] for x in v) / sizes[s] if sizes[s] else 0 for k, v in sorted(lines.items())}
+        dealt = dict.fromkeys(aim, 0)
+        for _ in range(seats[s]):
+            dealt[max(aim, key=lambda k: (aim[k] / (2 * dealt[k] + 1), -k))] += 1
+        for k, line in lines.items():
+            left = min(dealt[k] * mixing.BLOCK, 3 * sum(x[1] for x in line))
+            taken |= {x[2]: 0 for x in line}
+            while left:
+                for _, n, key in sorted(line):
+                    taken[key] += min(n, left)
+                    left -= min(n, left)
+            given |= {x[2]: dealt[k] for x in line}
+    return sizes, target, seats, given, taken
+
+
 def test_mixing(spark):
     draw = random.Random(3)
     rows = [(i, draw.choice(["a", "b", "c", "d", None, "a", "a"]), draw.choice([0, 3, 40, 500])) for i in range(700)]
     df = spark.createDataFrame(rows, "doc_id long, source string, size long").withColumn("target", F.lit("x"))
     out = mixing.mix(df).collect()
-    sizes, target, seats = brute_mix(rows)
+    sizes, target, seats, given, taken = brute_taken(rows)
     assert len(out) == 700
     for s in sizes:
         own = [r for r in out if r["source"] == s]
         assert {r["quota"] for r in own} == {seats[s]}
-        # Buckets: their quotas by quotients one by one, then the first blocks of each line in seeded order, round and round.
-        bits = (max(sum(x[1] == t for x in rows) for t in sizes) // 128).bit_length()
-        lines = {}
-        for r in own:
-            order = hashlib.md5(f"mix-1:{r['doc_id']}".encode()).hexdigest()
-            lines.setdefault(int(order[:4], 16) >> (16 - bits), []).append((order, r["size"], r))
-        aim = {k: seats[s] * sum(x[1] for x in v) / sizes[s] for k, v in sorted(lines.items())}
-        given = dict.fromkeys(aim, 0)
-        for _ in range(seats[s]):
-            given[max(aim, key=lambda k: (aim[k] / (2 * given[k] + 1), -k))] += 1
-        for k, line in lines.items():
-            left, taken = min(given[k] * mixing.BLOCK, 3 * sum(x[1] for x in line)), {x[0]: 0 for x in line}
-            while left:
-                for order, n, _ in sorted(line, key=lambda x: x[:2]):
-                    taken[order] += min(n, left)
-                    left -= min(n, left)
-            assert {r["bucket_quota"] for *_, r in line} == {given[k]}
-            assert all(r["taken"] == taken[order] for order, _, r in line)
-        assert abs(sum(r["taken"] for r in own) - target[s]) <= mixing.BLOCK * len(lines)
+        assert all(r["bucket_quota"] == given[r["doc_id"]] and r["taken"] == taken[r["doc_id"]] for r in own)
+        assert abs(sum(r["taken"] for r in own) - target[s]) <= mixing.BLOCK * 4
         assert all(r["target"] == pytest.approx(target[s]) and 0 <= r["taken"] <= 3 * r["size"] and r["source_size"] == sizes[s] for r in own)
     assert sorted(map(tuple, out), key=str) == sorted(map(tuple, mixing.mix(df.repartition(7)).collect()), key=str)
     assert mixing.mix(df.limit(0)).count() == 0
@@ -326,21 +335,36 @@ def test_query_agrees_with_sql(spark, name):
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_pipeline(spark):
+    """Every stage against brute force."""
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [tuple(r) for r in docs.collect()]
+    assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     kept = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, kept = kept, stage(spark, kept, SF).cache()
+        kept = stage(spark, kept, SF).cache()
         assert kept.columns == docs.columns, name
+        if name == "toxicity":
+            model = queries.toxicity_model(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+            rows = [r for r in rows if model.scores([r[1]])[0] < toxicity.THRESHOLD]
         if name == "ngram_jaccard":
-            rows = [(r["doc_id"], r["text"]) for r in before.collect()]
-            assert sorted(r["doc_id"] for r in kept.collect()) == sorted(k for k, _, c in brute_links(rows) if k == c)
+            least = {k for k, _, c in brute_links([r[:2] for r in rows]) if k == c}
+            rows = [r for r in rows if r[0] in least]
         if name == "decontamination":
             items = [decontaminate.plain(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-            assert not [1 for r in kept.collect() if any(i in decontaminate.plain(r["text"]) for i in items)]
+            found = lambda t: any(decontaminate.best_passage(i, t)[0] <= decontaminate.allowed(len(i)) for i in items)
+            rows = [r for r in rows if r[1] is None or not found(decontaminate.plain(r[1]))]
+        if name == "mixing":
+            *_, taken = brute_taken([(r[0], r[3], len(r[1].split()) if r[1] else 0) for r in rows])
+            rows = [r for r in rows if r[1] and r[1].split() for _ in range(int(taken[r[0]] / len(r[1].split()) + 0.5))]
+        assert sorted(map(tuple, kept.collect()), key=str) == sorted(rows, key=str), name
     out = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
-    assert out.count() == kept.count() and {"shard", "slot"} <= set(out.columns)
+    assert out.count() == len(rows) and {"shard", "slot"} <= set(out.columns)
+    by = {}
+    for r in sorted(out.collect(), key=lambda r: (r["curve"], r["text_crc32"], r["doc_id"])):
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert list(by) == list(range(24)) and all(v == list(range(len(v))) for v in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
