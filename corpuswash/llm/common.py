@@ -14,11 +14,22 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one numpy pass of a Python worker takes at most (a longer text is taken alone).
 CHUNK_BYTES = 1 << 19
+#: Rows that go to Python together.
+ARROW_ROWS = 1000
 #: Words of the bitmap that tells rows apart which an anti join must look at.
 BITMAP_WORDS = 1 << 17
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of whole texts go to Python a thousand at a time, unless the session has set fewer: ten thousand of them (the
+    default) take hundreds of MB of an executor's memory outside its heap."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the given folder; sets small_batches()."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -115,6 +126,7 @@ def chunks(texts: list[str | None], limit: int = CHUNK_BYTES) -> Iterator[tuple[
 
 def text_chunks(batch: pa.RecordBatch, column: int, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[str | None]]]:
     """(a, b, texts of rows a to b - 1) over a batch: only one run of about limit bytes is made Python strings at a time."""
+    lean()
     texts = batch.column(column)
     upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     a = 0
@@ -125,6 +137,18 @@ def text_chunks(batch: pa.RecordBatch, column: int, limit: int = CHUNK_BYTES) ->
         a = b
 
 
+def lean() -> None:
+    """In a worker: large buffers come from and go back to the system, in place of pools that keep them."""
+    global _lean
+    if not _lean:
+        _lean = True
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            ctypes.CDLL(None).mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD
+        except (AttributeError, OSError):  # not glibc
+            pass
+
+
 def trim() -> None:
     """Give freed memory back to the system: workers live on between stages, and several share an executor's memory."""
     pa.default_memory_pool().release_unused()
@@ -176,6 +200,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 ODD = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
+_lean = False
 
 
 def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:

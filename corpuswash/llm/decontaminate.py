@@ -124,16 +124,22 @@ class LengthClass:
 
     def signatures(self, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(table, signatures of the windows) for each table; walks stop at the window's or the text's end."""
-        stop = np.minimum(starts + self.window, ends)
         needed, place = np.unique(self.places, return_inverse=True)
         row = {int(step): k for k, step in enumerate(needed)}
+        steps = int(needed[-1]) + 1
+        # Each window's characters, then zeros as far as a walk can get.
+        at = starts[:, None] + np.arange(self.window)
+        chars = np.zeros((len(starts), max(self.window, steps) + 1), np.uint32)
+        chars[:, : self.window] = np.where(at < ends[:, None], cps[np.minimum(at, len(cps) - 1)], 0)
+        flat, classes = chars.ravel(), (chars & np.uint32(63)).ravel().astype(np.intp)
+        moves = ((self.bits[:, :steps, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.intp)
         written = np.zeros((len(needed), WALKS, len(starts)), np.uint32)
-        at = np.tile(starts, (WALKS, 1))
-        for step in range(int(needed[-1]) + 1):
-            seen = np.where(at < stop, cps[np.minimum(at, len(cps) - 1)], 0)
+        at = np.tile(np.arange(len(starts)) * chars.shape[1], (WALKS, 1))
+        walk = np.arange(WALKS)[:, None] * 64
+        for step in range(steps):
             if step in row:
-                written[row[step]] = seen
-            at += ((self.bits[:, step, None] >> (seen & np.uint32(63)).astype(np.uint64)) & np.uint64(1)).view(np.int64)
+                written[row[step]] = flat.take(at)
+            at += moves[:, step].ravel().take(classes.take(at) + walk)
         tables = np.arange(REPEATS)
         sig = np.repeat((tables.astype(np.uint64) + np.uint64(1))[:, None], len(starts), axis=1)
         for k in range(self.places.shape[1]):

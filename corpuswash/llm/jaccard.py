@@ -20,7 +20,7 @@ points and for a point and the upper corner of a box alike.
 * Components.  Verified links form components over all cells.
 
 Memory: a task holds one block (at most BLOCK_NODES nodes or BLOCK_BYTES of sets, a larger set alone), one page of boxes,
-or one bucket of coordinates (about POSTED entries of 11 bytes on average).  Coordinates of more than SALTED nodes are dealt in
+or one bucket of coordinates (500,000 entries of 11 bytes on average).  Coordinates of more than SALTED nodes are dealt in
 parts; a coordinate that no window of COUNTED shingles repeats has at most one entry for each window.  Broadcast are only the
 RANKED most repeated shingles at most, and a bitmap of fixed size that says which texts are in cells.
 
@@ -54,12 +54,12 @@ LEAF, FANOUT, SPREAD, BOX_GROUPS = 8, 8, 16, 1 << 16
 BLOCK_NODES, BLOCK_BYTES, CENTRES, PAGE, SEARCHING = 128, 16 << 20, 8, 32, 4096
 #: Shingles counted at a time while looking for repeated ones; local count from which one is reported; sum from
 #: which it is ordered last, by that sum; most of them; nodes of a part of a shingle that more nodes have.
-COUNTED, LOCAL, REPEATED, RANKED, SALTED = 4_000_000, 2, 8, 500_000, 2000
+COUNTED, LOCAL, REPEATED, RANKED, SALTED = 2_000_000, 2, 8, 500_000, 2000
 BITMAP_WORDS = 1 << 20
 #: Nodes of a coordinate up to which all its pairs are looked at one by one.
 LISTED = 48
 #: Entries of coordinates that a task packs at a time; buckets of coordinates for each partition.
-POSTED, BUCKETS = 1_000_000, 4
+POSTED, BUCKETS = 400_000, 4
 #: Sizes go by their logarithm to this base while candidates are sought; linked sets differ by up to SIZE_STEPS.
 SIZE_BASE, SIZE_STEPS = 1.06, 5
 
@@ -670,7 +670,7 @@ def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     short = F.shiftrightunsigned("node", 16)
     points = docs.filter(F.col("n") > 0).dropDuplicates(["node"]).select("node", short.alias("short"), "n", "lead", "point")
     posted = docs.filter(F.col("n") > 0).agg(F.sum(prefix(F.col("n")))).first()[0] or 0
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(posted) // (2 * POSTED))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(posted) // 2_000_000)
     pairs, edges, met = meetings(entries(df, tokens[by_token], times[by_token], parts * BUCKETS), parts)
     cells = components(edges.unionByName(allowed_pairs(pairs, points)), "jaccard-cells")
     discard(met)

@@ -290,15 +290,18 @@ def kernel(left: list[bytes], right: list[bytes]) -> np.ndarray:
     out = np.zeros((len(left), len(right)))
     who, code, value = features(right)
     codes, first, count = np.unique(code, return_index=True, return_counts=True)
-    dense = np.sort(codes[np.argsort(-count, kind="stable")[:2048]])
-    for a in range(0, len(left), 1000):
-        own, c, v = features(left[a : a + 1000])
-        both = np.zeros((min(1000, len(left) - a), len(dense))), np.zeros((len(right), len(dense)))
-        for table, w, x, y in ((both[0], own, c, v), (both[1], who, code, value)):
-            at = np.minimum(np.searchsorted(dense, x), len(dense) - 1)
-            hit = dense[at] == x
-            table[w[hit], at[hit]] = y[hit]
-        block = both[0] @ both[1].T
+    dense = np.sort(codes[np.argsort(-count, kind="stable")[:4096]])
+
+    def in_dense(n: int, w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        table, at = np.zeros((n, len(dense)), np.float32), np.minimum(np.searchsorted(dense, x), len(dense) - 1)
+        hit = dense[at] == x
+        table[w[hit], at[hit]] = y[hit]
+        return table
+
+    of_right = in_dense(len(right), who, code, value)
+    for a in range(0, len(left), 400):
+        own, c, v = features(left[a : a + 400])
+        block = (in_dense(min(400, len(left) - a), own, c, v) @ of_right.T).astype(float)
         at = np.minimum(np.searchsorted(codes, c), len(codes) - 1)
         rest = (codes[at] == c) & ~np.isin(c, dense)
         own, v, at = own[rest], v[rest], at[rest]
@@ -507,7 +510,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = labels.select(F.col(quoted(key)).alias("k"), F.col(quoted(toxic)).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("k").isNotNull())
     drawn = F.broadcast(bounded_sample(rows, "y", "k", per_label, "toxicity"))
     found = sampled_texts(docs.select(F.col(quoted(key)).alias("k"), F.col(quoted(text)).alias("t")).join(drawn, "k"), most_bytes)
-    return fit([t for _, _, t in found], [y for _, y, _ in found])
+    model = fit([t for _, _, t in found], [y for _, y, _ in found])
+    trim()
+    return model
 
 
 def score(df: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
