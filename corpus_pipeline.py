@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuswash.llm import decontaminate, jaccard, mixing, shards, toxicity
-from corpuswash.llm.common import materialize, own_names, quoted, table, without
+from corpuswash.llm.common import materialize, own_names, quoted, small_batches, table, without
 from corpuswash.llm.queries import toxicity_model
 
 SHARDS = 24
@@ -28,6 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of linked documents; rows are judged by id and text."""
+    small_batches(spark)
     (row,) = own_names(docs.columns, "row")
     marked = docs.withColumn(row, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
     ranked = marked.select(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(row).alias("row")).alias("key"), "text")
@@ -49,6 +50,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, to the nearest whole copy."""
+    small_batches(spark)
     size, copies, copy = own_names(docs.columns, "words", "copies", "copy")
     mixed = mixing.mix(docs.withColumn(size, mixing.words(F.col("text"))), size=size)
     times = F.when(F.col(size) > 0, F.floor(F.col("taken") / F.col(size) + 0.5)).otherwise(0).cast("int")
