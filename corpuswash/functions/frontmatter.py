@@ -36,7 +36,8 @@ def _close(lines: Column) -> Column:
 
 def has_frontmatter(text: Column) -> Column:
     lines = _lines(text)
-    return F.coalesce((F.size(lines) > 1) & (lines[0] == "---") & (_close(lines) > 0), F.lit(False))
+    # Lines are split only where the text starts like frontmatter.
+    return F.coalesce(F.when(text.startswith("---"), (F.size(lines) > 1) & (lines[0] == "---") & (_close(lines) > 0)), F.lit(False))
 
 
 def _key(line: Column) -> Column:

@@ -66,13 +66,13 @@ def counted(chars: Column, family: str) -> Column:
     """One finding per different character with its count, in order of first occurrence."""
     kind = category_of if family == "invisible" else None
 
-    def one(all_chars: Column, c: Column, i: Column) -> Column:
+    def one(joined: Column, c: Column, i: Column) -> Column:
         cp = F.ascii(c)
         name = kind(cp) if kind else typography_kind(c)
-        n = F.size(F.filter(all_chars, lambda x: x == c))
+        n = F.length(joined) - F.length(F.replace(joined, c, F.lit("")))
         return finding(family, category=name, label=F.format_string("U+%04X", cp), codepoint=cp, count=n, ordinal=i)
 
-    return F.coalesce(bind(chars, lambda a: F.transform(F.array_distinct(a), lambda c, i: one(a, c, i))), none())
+    return F.coalesce(bind(chars, lambda a: bind(F.array_join(a, ""), lambda joined: F.transform(F.array_distinct(a), lambda c, i: one(joined, c, i)))), none())
 
 
 def inspect_invisible(text: Column) -> Column:

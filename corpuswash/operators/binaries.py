@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuswash.operators.images import clean_image, inspect_image, rows_of
 from corpuswash.options import MIB, PdfLimits, ZipLimits
 from corpuswash.schema import FINDINGS
 
@@ -432,38 +433,43 @@ INSPECT: dict[str, Callable[[bytes], list[Finding]]] = {"ooxml": inspect_ooxml,
 CLEAN: dict[str, Callable[[bytes], bytes]] = {"ooxml": clean_ooxml, "pdf": clean_pdf, "mp3": clean_mp3, "mp4": clean_mp4}
 
 
-def inspect_files(df: DataFrame, kind: str, content: str = "content", key: str = "path") -> DataFrame:
-    """key, ok, error, bytes, findings for files of one kind (ooxml, pdf, mp3 or mp4)."""
+def _listed(kind: str, data: bytes) -> list[dict]:
+    """Findings of one file in the common schema."""
+    if kind == "image":
+        return rows_of(inspect_image(data)[3])
+    found = INSPECT[kind](data)
+    return [{"family": kind, "category": None, "location": p, "label": x, "value": v, "codepoint": None, "count": None, "size_bytes": None, "ordinal": i} for i, (p, x, v) in enumerate(found)]
+
+
+def _by_row(df: DataFrame, kind: str | None, content: str, key: str, added: list[str], types: str, one: Callable[[str, bytes], tuple]) -> DataFrame:
+    """key, ok, error and what `one` makes of each file's kind and bytes.  Whatever is wrong with a file is its row's error."""
     of_key = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key), F.col(content).alias("content"), (F.lit(kind) if kind is not None else F.col("kind")).alias("kind"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for k, data in zip(pdf[key], pdf[content]):
+            out = []
+            for k, data, sort in zip(pdf[key], pdf["content"], pdf["kind"]):
+                data = bytes(data or b"")
                 try:
-                    found = INSPECT[kind](bytes(data or b""))
-                    listed = [{"family": kind, "category": None, "location": p, "label": x, "value": v, "codepoint": None, "count": None, "size_bytes": None, "ordinal": i} for i, (p, x, v) in enumerate(found)]
-                    rows.append((k, True, None, len(data or b""), listed))
-                except FileError as e:
-                    rows.append((k, False, str(e), len(data or b""), []))
-            yield pd.DataFrame(rows, columns=[key, "ok", "error", "bytes", "findings"])
+                    if sort != "image" and sort not in INSPECT:
+                        raise FileError(f"kind {sort} is not supported")
+                    out.append((k, True, None, len(data), *one(sort, data)))
+                except Exception as e:  # a broken file must not fail the job
+                    out.append((k, False, str(e) or type(e).__name__, len(data), None))
+            yield pd.DataFrame(out, columns=[key, "ok", "error", *added])
 
-    return df.select(key, content).mapInPandas(run, f"`{key}` {of_key}, ok boolean, error string, bytes long, findings {FINDINGS}")
+    return rows.mapInPandas(run, f"`{key}` {of_key}, ok boolean, error string, {types}")
 
 
-def clean_files(df: DataFrame, kind: str, content: str = "content", key: str = "path") -> DataFrame:
-    """key, ok, error, bytes_in, cleaned, bytes_out."""
-    of_key = df.schema[key].dataType.simpleString()
+def inspect_files(df: DataFrame, kind: str | None = None, content: str = "content", key: str = "path") -> DataFrame:
+    """key, ok, error, bytes, findings for files of one kind (image, ooxml, pdf, mp3 or mp4), or each of its own in column `kind`."""
+    out = _by_row(df, kind, content, key, ["bytes", "findings"], f"bytes long, findings {FINDINGS}", lambda k, data: (_listed(k, data),))
+    return out.withColumn("findings", F.coalesce("findings", F.array().cast(FINDINGS)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for k, data in zip(pdf[key], pdf[content]):
-                try:
-                    rows.append((k, True, None, len(data or b""), CLEAN[kind](bytes(data or b""))))
-                except FileError as e:
-                    rows.append((k, False, str(e), len(data or b""), None))
-            yield pd.DataFrame(rows, columns=[key, "ok", "error", "bytes_in", "cleaned"])
 
-    out = df.select(key, content).mapInPandas(run, f"`{key}` {of_key}, ok boolean, error string, bytes_in long, cleaned binary")
+def clean_files(df: DataFrame, kind: str | None = None, content: str = "content", key: str = "path") -> DataFrame:
+    """key, ok, error, bytes_in, cleaned, bytes_out; kind as for inspect_files."""
+    clean = lambda k, data: (clean_image(data) if k == "image" else CLEAN[k](data),)
+    out = _by_row(df, kind, content, key, ["bytes_in", "cleaned"], "bytes_in long, cleaned binary", clean)
     return out.withColumn("bytes_out", F.length("cleaned").cast("bigint"))

@@ -526,8 +526,8 @@ def inspect_images(df: DataFrame, content: str = "content", key: str = "path", o
                 try:
                     form, w, h, found = inspect_image(bytes(data or b""), options)
                     rows.append((k, True, None, form, w, h, len(data), rows_of(found)))
-                except ImageError as e:
-                    rows.append((k, False, str(e), None, None, None, len(data or b""), []))
+                except Exception as e:  # a broken file must not fail the job
+                    rows.append((k, False, str(e) or type(e).__name__, None, None, None, len(data or b""), []))
             yield pd.DataFrame(rows, columns=[key, "ok", "error", "format", "width", "height", "bytes", "findings"]).astype({"width": "Int32", "height": "Int32"})
 
     return df.select(key, content).mapInPandas(run, f"`{key}` {kind}, ok boolean, error string, format string, width int, height int, bytes long, findings {FINDINGS}")
@@ -543,7 +543,7 @@ def clean_images(df: DataFrame, content: str = "content", key: str = "path", opt
             for k, data in zip(pdf[key], pdf[content]):
                 try:
                     rows.append((k, True, None, len(data), clean_image(bytes(data), options)))
-                except (ImageError, TypeError) as e:
+                except Exception as e:  # a broken file must not fail the job
                     rows.append((k, False, str(e), 0 if data is None else len(data), None))
             yield pd.DataFrame(rows, columns=[key, "ok", "error", "bytes_in", "cleaned"])
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpuswash.functions import frontmatter, markup, style, unicode
 from corpuswash.options import InspectTextOptions, TextOptions
-from corpuswash.schema import none
+from corpuswash.schema import bind, none
 
 MARKDOWN, HTML, SVG = ("md", "markdown"), ("html", "htm"), ("svg",)
 
@@ -23,17 +23,17 @@ MARKDOWN, HTML, SVG = ("md", "markdown"), ("html", "htm"), ("svg",)
 def inspect_text(df: DataFrame, text: str = "text", ext: Column | None = None, options: InspectTextOptions = InspectTextOptions()) -> DataFrame:
     """df with char_count, findings (one array over all passes, each on the original text) and is_clean."""
     t, e = F.col(text), F.lower(ext) if ext is not None else F.lit("txt")
-    out = df.withColumn("_html", F.when(e.isin(*HTML), markup.html_tokens(t))).withColumn("_svg", F.when(e.isin(*SVG), markup.svg_tokens(t)))
-    passes = [
-        unicode.inspect_invisible(t),
-        F.when(e.isin(*MARKDOWN), frontmatter.inspect_frontmatter(t)).otherwise(none()),
-        F.when(F.col("_html").isNotNull(), markup.inspect_html(F.col("_html"))).otherwise(none()),
-        F.when(F.col("_svg").isNotNull(), markup.inspect_svg(F.col("_svg"))).otherwise(none()),
-        unicode.inspect_typography(t),
-    ]
+    passes = {
+        "invisible": unicode.inspect_invisible(t),
+        "frontmatter": F.when(e.isin(*MARKDOWN), frontmatter.inspect_frontmatter(t)).otherwise(none()),
+        "html": F.when(e.isin(*HTML), bind(markup.html_tokens(t), markup.inspect_html)).otherwise(none()),
+        "svg": F.when(e.isin(*SVG), bind(markup.svg_tokens(t), markup.inspect_svg)).otherwise(none()),
+        "typography": unicode.inspect_typography(t),
+    }
     if options.style:
-        passes.append(style.inspect_style(t))
-    out = out.withColumn("char_count", F.length(t).cast("bigint")).withColumn("findings", F.coalesce(F.concat(*passes), none())).drop("_html", "_svg")
+        passes["style"] = style.inspect_style(t)
+    wanted = [p for family, p in passes.items() if options.families is None or family in options.families]
+    out = df.withColumn("char_count", F.length(t).cast("bigint")).withColumn("findings", F.coalesce(F.concat(*wanted), none()) if wanted else none())
     return out.withColumn("is_clean", F.size("findings") == 0)
 
 
@@ -51,6 +51,26 @@ def clean_text(df: DataFrame, text: str = "text", ext: Column | None = None, opt
     return out.withColumn("chars_in", F.length(text).cast("bigint")).withColumn("chars_out", F.length("cleaned").cast("bigint"))
 
 
+def clean_text_report(df: DataFrame, text: str = "text", ext: Column | None = None, options: TextOptions = TextOptions()) -> DataFrame:
+    """clean_text's columns and what each pass removed from the text as it found it: removed, frontmatter_keys_removed,
+    html_findings_removed, svg_findings_removed, typography_normalized."""
+    e = F.lower(ext) if ext is not None else F.lit("txt")
+    c, nothing = F.col("cleaned"), none()
+    out = df.withColumn("cleaned", F.col(text))
+    out = out.withColumn("frontmatter_keys_removed", F.transform(F.when(e.isin(*MARKDOWN), frontmatter.inspect_frontmatter(c)).otherwise(nothing), lambda f: f["label"]))
+    out = out.withColumn("cleaned", F.when(e.isin(*MARKDOWN), frontmatter.strip_frontmatter(c)).otherwise(c))
+    out = out.withColumn("html_findings_removed", F.when(e.isin(*HTML), bind(markup.html_tokens(c), markup.inspect_html)).otherwise(nothing))
+    out = out.withColumn("svg_findings_removed", F.when(e.isin(*SVG), bind(markup.svg_tokens(c), markup.inspect_svg)).otherwise(nothing))
+    out = out.withColumn("cleaned", F.when(e.isin(*HTML), markup.strip_html(markup.html_tokens(c))).when(e.isin(*SVG), markup.strip_svg(markup.svg_tokens(c))).otherwise(c))
+    out = out.withColumn("typography_normalized", unicode.inspect_typography(c) if options.normalize_typography else nothing)
+    if options.normalize_typography:
+        out = out.withColumn("cleaned", unicode.normalize_typography(c))
+    gone = unicode.removed_categories(options)
+    out = out.withColumn("removed", F.filter(unicode.inspect_invisible(c), lambda f: f["category"].isin(gone)))
+    out = out.withColumn("cleaned", unicode.strip_invisible(c, options))
+    return out.withColumn("chars_in", F.length(text).cast("bigint")).withColumn("chars_out", F.length("cleaned").cast("bigint"))
+
+
 def repeat_until_stable(df: DataFrame, text: str = "text", ext: Column | None = None, options: TextOptions = TextOptions(), rounds: int = 3) -> DataFrame:
     """Cleaning whose result does not change when it is cleaned again, for texts nested up to `rounds` deep."""
     return clean_text(df, text, ext, options, rounds)

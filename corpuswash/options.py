@@ -21,7 +21,10 @@ class TextOptions:
 
 @dataclass(frozen=True)
 class InspectTextOptions:
+    """style adds the writing-style lint; families, where given, limits the passes to those named."""
+
     style: bool = False
+    families: tuple[str, ...] | None = None
 
 
 @dataclass(frozen=True)

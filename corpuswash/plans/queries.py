@@ -219,7 +219,7 @@ def clean_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("findings_by_kind_pivot", """SELECT count(*) FILTER (WHERE page_id % 3 = 1) + 2 * count(*) FILTER (WHERE page_id % 3 = 0) AS meta, CAST(sum(len(regexp_extract_all(html, '<!--.*?-->', 0, 's'))) AS BIGINT) AS comment FROM pages""")
 def findings_by_kind_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.kinds_pivot(inspect_text(overlay.pages(spark, sf_dir), "t", F.lit("html")), ["meta", "comment"])
+    return report.kinds_pivot(inspect_text(overlay.pages(spark, sf_dir), "t", F.lit("html"), InspectTextOptions(families=("html",))), ["meta", "comment"])
 
 
 @query("conversations_invisible_by_role", f"""WITH d AS (SELECT role, {_ROLE_RULE} AS t FROM conversations)
