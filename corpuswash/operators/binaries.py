@@ -271,14 +271,33 @@ def _decoded(own: bytes, entries: dict, most: int) -> bytes:
     return own[:most]
 
 
+def _packed(data: bytes, most: int) -> dict[int, tuple[tuple[int, int], dict, bytes, int, int]]:
+    """Objects inside compressed object streams: span of the stream, its entries, decoded bytes, start and end in those."""
+    out = {}
+    for a, e in _objects(data).values():
+        if b"/ObjStm" not in data[a:e]:
+            continue
+        entries, span = _dictionary(data, a, e), _stream(data, a, e)
+        count, first = (entries.get(k, ([("word", b"")], 0, 0))[0][0][1] for k in (b"/N", b"/First"))
+        if span is None or not (count.isdigit() and first.isdigit()):
+            continue
+        body = _decoded(data[span[0] : span[1]], entries, most)
+        heads = [int(x) for x in body[: int(first)].split()[: 2 * int(count)] if x.isdigit()]
+        starts = [int(first) + x for x in heads[1::2]]
+        for n, x, y in zip(heads[::2], starts, [*starts[1:], len(body)]):
+            out[n] = (span, entries, body, x, y)
+    return out
+
+
 def inspect_pdf(data: bytes, limits: PdfLimits = PdfLimits()) -> list[Finding]:
     _limit(data, limits.max_input_bytes)
     if b"%PDF-" not in data[:1024]:
         raise FileError("not a PDF")
     found: list[Finding] = []
     objects, info = _objects(data), _trailer_info(data)
-    if info in objects:
-        for key, (value, _, _) in _dictionary(data, *objects[info]).items():
+    packed = _packed(data, limits.max_stream_bytes) if info is not None and info not in objects else {}
+    if info in objects or info in packed:
+        for key, (value, _, _) in (_dictionary(data, *objects[info]) if info in objects else _dictionary(*packed[info][2:])).items():
             if len(value) >= 1 and value[0][0] == "string" and value[0][1]:
                 found.append(("Info", key[1:].decode("latin-1"), pdf_text(value[0][1])))
     for n, a, e, entries in _metadata_streams(data):
@@ -304,10 +323,24 @@ def clean_pdf(data: bytes, limits: PdfLimits = PdfLimits()) -> bytes:
         a, e = objects[info]
         for _, (value, s, t) in _dictionary(data, a, e).items():
             blank(s, t)
+    elif info is not None and (packed := _packed(data, limits.max_stream_bytes).get(info)):
+        (a, e), entries, body, x, y = packed
+        blanked = bytearray(body)
+        for _, s, t in _dictionary(body, x, y).values():
+            blanked[s:t] = b" " * (t - s)
+        new = zlib.compress(bytes(blanked), 9) if b"/Filter" in entries else bytes(blanked)
+        if len(new) > e - a:
+            raise FileError("object stream with Info cannot be rewritten in place")
+        out[a:e] = new + b"\n" * (e - a - len(new))
     for m in re.finditer(rb"\btrailer\b", data):
         entries = _dictionary(data, m.end(), len(data))
         if b"/Info" in entries:
             blank(entries[b"/Info"][1], entries[b"/Info"][2])
+    for a, e in _objects(data).values():
+        if b"/XRef" in data[a : min(e, a + 4096)]:
+            entries = _dictionary(data, a, e)
+            if b"/Info" in entries:
+                blank(entries[b"/Info"][1], entries[b"/Info"][2])
     for _, a, e, entries in _metadata_streams(data):
         blank(a, e)
         if b"/Filter" in entries:

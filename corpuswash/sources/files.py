@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,13 +33,20 @@ def kind_of(path: Column) -> Column:
     return out
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether path is a folder of the store it names (patterns and missing paths are none)."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return bool(store.exists(place) and store.getFileStatus(place).isDirectory())
+
+
 def expand_inputs(spark: SparkSession, inputs: Sequence[str], kinds: Sequence[str], recursive: bool = False, max_bytes: int | None = None) -> DataFrame:
     """path, modificationTime, length, content, kind of the given files and, if recursive, of folders' supported files.
 
-    A file named itself is kept whatever its extension.  A local folder without recursive is an error.  The size
+    A file named itself is kept whatever its extension.  A folder, in whatever store, without recursive is an error.  The size
     limit is pushed into the scan, so larger files are never read.
     """
-    folders = [p for p in inputs if os.path.isdir(p)]
+    folders = [p for p in inputs if is_folder(spark, p)]
     files = [p for p in inputs if p not in folders]
     if folders and not recursive:
         raise ValueError(f"{folders[0]} is a directory; pass recursive=True")

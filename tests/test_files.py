@@ -148,6 +148,20 @@ def test_pdf():
         b.inspect_pdf(b"hello")
 
 
+@pytest.mark.parametrize("packed", [True, False])
+def test_pdf_object_streams(packed):
+    heads, body = b"5 0 6 10 ", b"<</A 1>>  <</Author (Jane Doe)/Producer (Tool)>>"
+    plain = heads + body
+    own = zlib.compress(plain) if packed else plain
+    data = (
+        b"%PDF-1.7\n1 0 obj\n<</Type/Catalog>>\nendobj\n7 0 obj\n<</Type/ObjStm/N 2/First 9" + (b"/Filter/FlateDecode" if packed else b"") + b"/Length "
+        + str(len(own)).encode() + b">>\nstream\n" + own + b"\nendstream\nendobj\n8 0 obj\n<</Type/XRef/Root 1 0 R/Info 6 0 R/Size 9>>\nstream\n\nendstream\nendobj\nstartxref\n0\n%%EOF\n"
+    )
+    assert b.inspect_pdf(data) == [("Info", "Author", "Jane Doe"), ("Info", "Producer", "Tool")]
+    clean = b.clean_pdf(data)
+    assert b.inspect_pdf(clean) == [] and len(clean) == len(data) and b"Jane" not in clean and b"/Info" not in clean
+
+
 def test_mp3():
     frame = lambda n, v: n + struct.pack(">I", len(v) + 1) + b"\0\0\3" + v
     body = frame(b"TPE1", b"Artist") + frame(b"TSSE", b"Enc")
@@ -193,6 +207,9 @@ def test_sources_and_frames(spark, tmp_path):
     assert {r["ok"] for r in b.clean_files(office_rows, "ooxml").collect()} == {True, False}
     assert files.skipped(spark, [str(tmp_path)], ["image"]) == 2  # hidden files are not listed
     assert got.select(files.extension(F.lit("/x/.md")).alias("e")).first()["e"] == ""
+    mixed = files.expand_inputs(spark, [str(tmp_path)], ["image", "ooxml"], recursive=True)
+    assert {r["path"].rsplit("/", 1)[1]: r["ok"] for r in b.inspect_files(mixed).collect()} == {"a.PNG": True, "b.png": False, "c.docx": True}
+    assert {r["ok"] for r in b.clean_files(mixed).collect()} == {True, False}
     gate = report.gate(im.inspect_images(got), F.col("ok")).first()
     assert (gate["files"], gate["files_with_findings"], gate["failures"], gate["failed"]) == (2, 1, 1, True)
     said = {json.loads(r["report"])["ok"] for r in report.json_report(im.inspect_images(got), "path", "format", "width").collect()}
