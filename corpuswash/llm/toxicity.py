@@ -56,7 +56,7 @@ THRESHOLD = 0.3
 #: Cost of a training sentence on the wrong side.
 COST = 10.0
 #: What a document taken for toxic costs when the threshold is set, against 1 for a toxic one that is missed.
-FALSE = 2.0
+FALSE = 5.0
 _EDGE, _WIDE, _SPACE, _SKIP, _RADIX = 0, 253, 254, 255, 27
 #: Marks of letters that are not a to z; slots of the subsequence weights.
 _OTHERS, SLOTS = _WIDE - _RADIX, 1 << 21
