@@ -677,7 +677,7 @@ def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     # Who meets whom is planned on (node, n, lead) alone; the sets are added last, and shuffled only then.
     sized = materialize(points.select("node", "short", "n", "lead").join(cells.select(F.col("node").alias("short"), F.col("root").alias("cell")), "short").drop("short"), "jaccard-placed")
-    held = materialize(cell_sets(df, bitmap_of(sized.select("node"))).join(sized.select("node"), "node", "left_semi"), "jaccard-sets")
+    held = materialize(cell_sets(df, bitmap_of(sized.select("node"))), "jaccard-sets")
     weight = sized.groupBy("cell").agg(F.count("*").alias("nodes"), (F.sum("n") * 8).alias("bytes"))
     whole = (F.col("nodes") <= BLOCK_NODES) & (F.col("bytes") <= BLOCK_BYTES)
     yes, no = F.lit(True), F.lit(False)
