@@ -60,9 +60,13 @@ def thinned(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, root) for every node that has an edge; edges has a and b (equal ends are allowed and say nothing)."""
-    edges = materialize(thinned(edges.filter(F.col("a") != F.col("b"))), f"{name}-edges")
+def components(edges: DataFrame, name: str = "components", thin: bool = True) -> DataFrame:
+    """(node, root) for every node that has an edge; edges has a and b (equal ends are allowed and say nothing).
+
+    thin = False leaves out the first thinning, where edges come from a Python stage that has done it already.
+    """
+    edges = edges.filter(F.col("a") != F.col("b")).select("a", "b")
+    edges = materialize(thinned(edges) if thin else edges, f"{name}-edges")
     maps: list[DataFrame] = []
     while not edges.isEmpty():
         placed = lambda c, k=len(maps): F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("h"), F.col(c).alias("id"))

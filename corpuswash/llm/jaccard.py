@@ -45,7 +45,7 @@ from pyspark.sql import Window
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import ODD, discard, materialize, mix64, power_tables, quoted, text_chunks, trim
-from .components import components
+from .components import CHUNK, components, forest, thinned
 
 WIDTH, PERCENT = 5, 75
 #: Points of an R-tree leaf, boxes of an inner node; groups of a block's tree for each element of its largest set, at most.
@@ -378,16 +378,26 @@ def meetings(posted: DataFrame, parts: int) -> tuple[DataFrame, DataFrame, DataF
 
 
 def allowed_pairs(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose points allow a link.  points: short, n, point."""
+    """Edges (a, b) that join the nodes of all pairs whose points allow a link.  points: short, n, point."""
     left = points.select(F.col("short").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
     right = points.select(F.col("short").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "pa", "pb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: list[int] = []
+        b: list[int] = []
         for batch in batches:
-            na, nb, x, y = (batch.column(i).to_pylist() for i in range(2, 6))
-            keep = pa.array([may_link(p, n, q, m) for n, m, p, q in zip(na, nb, x, y)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+            for k in range(0, batch.num_rows, 2000):
+                ends, others, na, nb, x, y = (batch.column(i).slice(k, 2000).to_pylist() for i in range(6))
+                kept = [i for i in range(len(ends)) if may_link(x[i], na[i], y[i], nb[i])]
+                a += [ends[i] for i in kept]
+                b += [others[i] for i in kept]
+            if len(a) >= CHUNK:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in forest(a, b)], names=["a", "b"])
+                a, b = [], []
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in forest(a, b)], names=["a", "b"])
+        trim()
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -672,7 +682,7 @@ def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     posted = docs.filter(F.col("n") > 0).agg(F.sum(prefix(F.col("n")))).first()[0] or 0
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(posted) // 2_000_000)
     pairs, edges, met = meetings(entries(df, tokens[by_token], times[by_token], parts * BUCKETS), parts)
-    cells = components(edges.unionByName(allowed_pairs(pairs, points)), "jaccard-cells")
+    cells = components(thinned(edges).unionByName(allowed_pairs(pairs, points)), "jaccard-cells", thin=False)
     discard(met)
 
     # Who meets whom is planned on (node, n, lead) alone; the sets are added last, and shuffled only then.

@@ -285,6 +285,8 @@ def test_components(spark):
     assert set(got) == {*range(301), 1000, 1001, 1002}
     assert len({got[i] for i in range(301)}) == 1 and len({got[i] for i in (1000, 1001, 1002)}) == 1 and got[0] != got[1000]
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    again = components.components(spark.createDataFrame(edges, "a long, b long"), thin=False).collect()
+    assert len({r["root"] for r in again}) == 2 and len(again) == len(got)
 
 
 def test_successors(spark):
