@@ -44,10 +44,10 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bounded_sample, chunks, code_points, mix64, numbered, quoted, sampled_texts, text_chunks, trim
+from .common import bounded_sample, chunks, code_points, lean, mix64, numbered, quoted, sampled_texts, text_chunks, trim
 
 #: Training texts of each label and their bytes (about); landmarks at most; training sentences of the negative class.
-SAMPLE_PER_LABEL, SAMPLE_BYTES, LANDMARKS, NEGATIVES = 3000, 12 << 20, 800, 4000
+SAMPLE_PER_LABEL, SAMPLE_BYTES, LANDMARKS, NEGATIVES = 3000, 8 << 20, 800, 4000
 #: Tokens of a sentence at most; rounds of training; parts of the training documents that are rated unseen.
 TOKENS, ROUNDS, FOLDS = 8, 2, 2
 #: Weight of each place of a subsequence's spread; marks in a subsequence; places it may skip in all.
@@ -287,7 +287,7 @@ def features(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def kernel(left: list[bytes], right: list[bytes]) -> np.ndarray:
     """Kernel matrix of two lists of sentences: frequent subsequences as dense products, the rest one by one."""
-    out = np.zeros((len(left), len(right)))
+    out = np.zeros((len(left), len(right)), np.float32)
     who, code, value = features(right)
     codes, first, count = np.unique(code, return_index=True, return_counts=True)
     dense = np.sort(codes[np.argsort(-count, kind="stable")[:4096]])
@@ -316,7 +316,7 @@ def kernel(left: list[bytes], right: list[bytes]) -> np.ndarray:
 
 def train_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss by Newton steps; x has one row a sentence, y is +1 or -1."""
-    x1 = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
+    x1 = np.hstack([x, np.ones((len(x), 1), np.float32)])
     w = np.zeros(x1.shape[1])
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-6
@@ -437,9 +437,9 @@ def hearts(raw: list[bytes], weights: np.ndarray) -> list[bytes]:
 def machine(positive: list[bytes], times: np.ndarray, negative: list[bytes], marks: list[bytes]) -> ToxicityModel:
     """The machine trained on positive sentences (so many documents picked each) and negative ones, with landmarks marks."""
     y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-    lam, vec = np.linalg.eigh(kernel(marks, marks))
+    lam, vec = np.linalg.eigh(kernel(marks, marks).astype(float))
     keep = lam > 1e-6 * lam.max()
-    root = vec[:, keep] / np.sqrt(lam[keep])
+    root = (vec[:, keep] / np.sqrt(lam[keep])).astype(np.float32)
     cost = np.full(len(y), COST)
     cost[: len(positive)] *= times * (len(negative) / times.sum())
     w, bias = train_svm(kernel([*positive, *negative], marks) @ root, y, cost)
@@ -481,6 +481,7 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> ToxicityModel:
     model = taught(bad, good, first, draw)
     if model.weights is None:
         return model
+    trim()
     # The threshold that errs least on documents rated by machines that have not seen them.
     value, truth = [], []
     folds = [(np.arange(len(b.start) - 1) * 7919 + 13) % FOLDS for b in (bad, good)]
@@ -507,10 +508,14 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     The sample is drawn from the labels, so that the join with the texts has a small side of bounded size.
     """
+    lean()
     rows = labels.select(F.col(quoted(key)).alias("k"), F.col(quoted(toxic)).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("k").isNotNull())
     drawn = F.broadcast(bounded_sample(rows, "y", "k", per_label, "toxicity"))
     found = sampled_texts(docs.select(F.col(quoted(key)).alias("k"), F.col(quoted(text)).alias("t")).join(drawn, "k"), most_bytes)
-    model = fit([t for _, _, t in found], [y for _, y, _ in found])
+    texts, toxic_ones = [t for _, _, t in found], [y for _, y, _ in found]
+    del found
+    model = fit(texts, toxic_ones)
+    del texts
     trim()
     return model
 
