@@ -2,8 +2,8 @@
 
 Inspection walks the container (JPEG segments, PNG and WebP chunks, GIF blocks, TIFF tags) and lists what
 identifies a person, device or tool.  Cleaning drops those segments and leaves the pixels' own data untouched,
-byte for byte; PNG and BMP can also be decoded here (zlib and numpy), so they take part in upscaling, contrast,
-sharpening and the seeded fingerprint reset.
+byte for byte; PNG, BMP, TIFF (not packed) and GIF can also be decoded and written here (zlib and numpy), so they take part in
+upscaling, contrast, sharpening, the seeded fingerprint reset and changes of format.
 
 A bad file gives ok = false and an error; it never fails the job.
 """
@@ -360,8 +360,12 @@ def strip_segments(data: bytes, kind: str) -> bytes:
 
 
 def decode(data: bytes, kind: str) -> np.ndarray:
-    """Pixels as height x width x 4 bytes, for PNG (8 bits, not interlaced) and BMP (24 or 32 bits)."""
+    """Pixels as height x width x 4 bytes, for PNG (8 bits, not interlaced), BMP (24 or 32 bits), TIFF (8 bits, not packed) and GIF."""
     w, h = dimensions(data, kind)
+    if kind == "tiff":
+        return _decode_tiff(data, w, h)
+    if kind == "gif":
+        return _decode_gif(data, w, h)
     if kind == "bmp":
         offset, bits, packing = struct.unpack_from("<I", data, 10)[0], struct.unpack_from("<H", data, 28)[0], struct.unpack_from("<I", data, 30)[0]
         if bits not in (24, 32) or packing not in (0, 3):
@@ -424,8 +428,126 @@ def decode(data: bytes, kind: str) -> np.ndarray:
     return rgba
 
 
+def _decode_tiff(data: bytes, w: int, h: int) -> np.ndarray:
+    order = "<" if data[:2] == b"II" else ">"
+    at = struct.unpack_from(order + "I", data, 4)[0]
+    tags: dict[int, tuple[int, ...]] = {}
+    for i in range(struct.unpack_from(order + "H", data, at)[0]):
+        tag, form, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
+        if form in (3, 4) and count <= len(data):
+            place = at + 10 + 12 * i
+            size = count * (2 if form == 3 else 4)
+            place = place if size <= 4 else struct.unpack_from(order + "I", data, place)[0]
+            tags[tag] = struct.unpack_from(f"{order}{count}{'H' if form == 3 else 'I'}", data, place)
+    n = tags.get(277, (1,))[0]
+    if tags.get(259, (1,))[0] != 1 or set(tags.get(258, (1,))) != {8} or n not in (1, 3, 4) or tags.get(284, (1,))[0] != 1 or 273 not in tags or tags.get(262, (0,))[0] not in (1, 2):
+        raise ImageError("decode error: TIFF variant")
+    raw = b"".join(data[a : a + c] for a, c in zip(tags[273], tags.get(279, (w * h * n,))))
+    if len(raw) < w * h * n:
+        raise ImageError("decode error: too little data")
+    px = np.frombuffer(raw, np.uint8, w * h * n).reshape(h, w, n)
+    out = np.full((h, w, 4), 255, np.uint8)
+    out[..., :3] = px[..., :3] if n >= 3 else px
+    if n == 4:
+        out[..., 3] = px[..., 3]
+    return out
+
+
+def _encode_tiff(px: np.ndarray) -> bytes:
+    h, w = px.shape[:2]
+    entries = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, 4, 8 + 2 + 11 * 12 + 4), (259, 3, 1, 1), (262, 3, 1, 2), (273, 4, 1, 154), (277, 3, 1, 4), (278, 4, 1, h), (279, 4, 1, w * h * 4), (284, 3, 1, 1), (338, 3, 1, 2)]
+    return b"II*\0" + struct.pack("<IH", 8, len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries) + bytes(4) + struct.pack("<HHHH", 8, 8, 8, 8) + px.tobytes()
+
+
+def _decode_gif(data: bytes, w: int, h: int) -> np.ndarray:
+    """The first image of a GIF; places it does not cover are transparent."""
+    table = np.frombuffer(data, np.uint8, 3 << ((data[10] & 7) + 1), 13).reshape(-1, 3) if data[10] & 0x80 else np.zeros((0, 3), np.uint8)
+    clear = None
+    for start, end, kind, own in gif_blocks(data):
+        if kind == "extension" and data[start + 1] == 0xF9 and own and own[0] & 1:
+            clear = own[3]
+        if kind != "image":
+            continue
+        x, y, iw, ih, packed = struct.unpack_from("<HHHHB", data, start + 1)
+        at = start + 10
+        if packed & 0x80:
+            table = np.frombuffer(data, np.uint8, 3 << ((packed & 7) + 1), at).reshape(-1, 3)
+            at += 3 << ((packed & 7) + 1)
+        index = _unpack_lzw(_sub_blocks(data, at + 1)[0], data[at], iw * ih)
+        if packed & 0x40 or len(index) < iw * ih or x + iw > w or y + ih > h:
+            raise ImageError("decode error: GIF variant")
+        index = np.frombuffer(index, np.uint8, iw * ih).reshape(ih, iw)
+        colors = np.zeros((256, 4), np.uint8)
+        colors[: len(table), :3], colors[:, 3] = table, 255
+        if clear is not None:
+            colors[clear, 3] = 0
+        out = np.zeros((h, w, 4), np.uint8)
+        out[y : y + ih, x : x + iw] = colors[index]
+        return out
+    raise ImageError("decode error: no image")
+
+
+def _unpack_lzw(data: bytes, least: int, most: int) -> bytes:
+    out, bits, held, at = bytearray(), 0, 0, 0
+    stop = (1 << least) + 1
+    table: list[bytes] = []
+    width, last = least + 1, b""
+    while len(out) < most and at < len(data):
+        while bits < width and at < len(data):
+            held |= data[at] << bits
+            bits += 8
+            at += 1
+        code = held & ((1 << width) - 1)
+        held >>= width
+        bits -= width
+        if code == stop:
+            break
+        if code == stop - 1:
+            table, width, last = [bytes([i]) for i in range(1 << least)] + [b"", b""], least + 1, b""
+            continue
+        if code > len(table) or (code == len(table) and not last):
+            raise ImageError("decode error: GIF data")
+        own = table[code] if code < len(table) else last + last[:1]
+        out += own
+        if last and len(table) < 4096:
+            table.append(last + own[:1])
+        width = min(12, max(least + 1, len(table).bit_length()))
+        last = own
+    return bytes(out)
+
+
+def _encode_gif(px: np.ndarray) -> bytes:
+    """One image of up to 255 colors (others by three bits a channel, two for blue) and one for transparent places."""
+    h, w = px.shape[:2]
+    flat, seen = px.reshape(-1, 4), px[..., 3].reshape(-1) >= 128
+    rgb = flat[:, 0].astype(np.int64) << 16 | flat[:, 1].astype(np.int64) << 8 | flat[:, 2]
+    colors, index = np.unique(rgb, return_inverse=True)
+    if len(colors) > 255:
+        coarse = (flat[:, 0].astype(np.int64) * 7 + 127) // 255 * 32 + (flat[:, 1].astype(np.int64) * 7 + 127) // 255 * 4 + (flat[:, 2].astype(np.int64) * 3 + 127) // 255
+        index = np.minimum(coarse, 254)
+        grid = np.arange(255)
+        colors = (grid >> 5) * 255 // 7 << 16 | (grid >> 2 & 7) * 255 // 7 << 8 | (grid & 3) * 255 // 3
+    index = np.where(seen, index, 255)
+    table = np.zeros((256, 3), np.uint8)
+    for k, shift in enumerate((16, 8, 0)):
+        table[: len(colors), k] = colors >> shift & 255
+    # Codes of nine bits, with a clear code often enough that they stay so: no packing, which every reader takes.
+    codes = []
+    for a in range(0, len(index), 250):
+        codes += [256, *index[a : a + 250].tolist()]
+    codes.append(257)
+    bits = (np.array(codes)[:, None] >> np.arange(9) & 1).astype(np.uint8).reshape(-1)
+    packed = np.packbits(bits, bitorder="little").tobytes()
+    blocks = b"".join(bytes([len(packed[a : a + 255])]) + packed[a : a + 255] for a in range(0, len(packed), 255))
+    return b"GIF89a" + struct.pack("<HHBBB", w, h, 0xF7, 0, 0) + table.tobytes() + b"\x21\xf9\4\1\0\0\xff\0" + b"\x2c" + struct.pack("<HHHHB", 0, 0, w, h, 0) + b"\x08" + blocks + b"\0\x3b"
+
+
 def encode(px: np.ndarray, kind: str) -> bytes:
     h, w = px.shape[:2]
+    if kind == "tiff":
+        return _encode_tiff(px)
+    if kind == "gif":
+        return _encode_gif(px)
     if kind == "png":
         chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
         raw = np.zeros((h, 1 + 4 * w), np.uint8)
@@ -498,7 +620,9 @@ def clean_image(data: bytes, options: ImageOptions = ImageOptions()) -> bytes:
     kind, (w, h) = _guarded(data, options)
     if frames(data, kind) > 1:
         raise ImageError(f"multi-frame {kind} is not cleaned")
-    if not (options.upscale > 1 or options.enhance or options.fingerprint_reset):
+    wanted = options.output_format or kind
+    # A TIFF's tags are not segments that can be cut out: it is decoded and written anew, as one of another format is.
+    if wanted == kind and not (options.upscale > 1 or options.enhance or options.fingerprint_reset or (kind == "tiff" and _tiff(data))):
         return strip_segments(data, kind)
     if options.max_alloc_bytes is not None and w * h * 4 > options.max_alloc_bytes:
         raise ImageError("decode error: pixels exceed the allocation limit")
@@ -508,7 +632,7 @@ def clean_image(data: bytes, options: ImageOptions = ImageOptions()) -> bytes:
     px = upscale(px, options.upscale) if options.upscale > 1 else px
     px = sharpen(stretch_contrast(px)) if options.enhance else px
     px = reset_fingerprint(px, options.strength, options.fraction, options.seed) if options.fingerprint_reset else px
-    return encode(px, kind)
+    return encode(px, wanted)
 
 
 def rows_of(found: list[tuple[str, str, int]]) -> list[dict]:

@@ -43,6 +43,8 @@ class ImageOptions:
     max_input_bytes: int | None = 256 * MIB
     max_dimension: int | None = 12_000
     max_alloc_bytes: int | None = 512 * MIB
+    #: Format to write (png, bmp, tiff or gif), if not that of the input.
+    output_format: str | None = None
     upscale: float = 1.0
     enhance: bool = False
     fingerprint_reset: bool = False

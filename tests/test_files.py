@@ -105,6 +105,37 @@ def test_limits_and_pixels():
     assert np.abs(again[..., :3].astype(int) - px[..., :3]).max() <= 2 and (again != px).any()
 
 
+@pytest.mark.parametrize("form", ["png", "bmp", "tiff", "gif"])
+def test_formats_round_trip(form):
+    data, px = png(chunk(b"tEXt", b"Author\0J"))
+    px[..., 3] = 255
+    solid = im.encode(px, "png")
+    made = im.clean_image(solid, ImageOptions(output_format=form))
+    assert im.image_kind(made) == form and im.inspect_image(made)[1:3] == (4, 4) and kinds(made) == []
+    assert (im.decode(made, form) == px).all() and im.clean_image(made) == made
+    assert (im.decode(im.clean_image(made, ImageOptions(output_format="png")), "png") == px).all()
+    big = im.clean_image(made, ImageOptions(upscale=3.0))
+    assert im.image_kind(big) == form and im.inspect_image(big)[1:3] == (12, 12)
+    with pytest.raises(im.ImageError):
+        im.clean_image(solid, ImageOptions(output_format="jpeg"))
+
+
+def test_tiff_tags_are_left_out():
+    px = (np.arange(5 * 3 * 4) % 200).astype(np.uint8).reshape(3, 5, 4)
+    whole = im.encode(px, "tiff")
+    tagged = whole[:10] + whole[10 : 10 + 12 * 10] + struct.pack("<HHII", 0x8825, 4, 1, 0) + whole[10 + 12 * 11 :]
+    assert kinds(tagged) == ["gps"]
+    clean = im.clean_image(tagged)
+    assert kinds(clean) == [] and (im.decode(clean, "tiff") == px).all()
+    many = np.random.default_rng(3).integers(0, 256, (40, 40, 4)).astype(np.uint8)
+    many[..., 3] = 255
+    back = im.decode(im.encode(many, "gif"), "gif")
+    assert back.shape == many.shape and np.abs(back[..., 0].astype(int) - many[..., 0]).max() <= 40
+    clear = many[:4, :4].copy()
+    clear[0, 0, 3] = 0
+    assert im.decode(im.encode(clear, "gif"), "gif")[0, 0, 3] == 0
+
+
 def office(*parts):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
