@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -59,6 +60,13 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of finished queries deleted now: Spark does that when the driver's heap is collected, which
+    may be long after a large shuffle."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def without(df: DataFrame, bad: DataFrame, column: str) -> DataFrame:
     """df less the rows whose column (a long, no null) is in bad (one column of that name).
 

@@ -9,7 +9,9 @@ points and for a point and the upper corner of a box alike.
   100) + 1 coordinates cannot reach the bound, in any order of the coordinates.  So a node is entered under each of its
   leading coordinates, and only nodes of one coordinate can meet.  A coordinate with up to LISTED nodes is one leaf: its
   pairs are bounded by points (64 to 1024 groups, by set size).  A coordinate with more nodes holds them together as
-  they are.  The order puts shingles that many documents repeat last; it never decides a result.
+  they are.  The order goes from long shingles to short ones, since the number of strangers that share a run of short,
+  frequent words grows with the square of the table, and puts shingles that many documents repeat last; it never
+  decides a result.
 * Cells.  The connected components of what may meet are the cells.
 * Blocks.  A cell is packed by coordinates (the least shingle, then the size) into blocks of up to BLOCK_NODES nodes.  In a
   block an R-tree (CountTree) is searched for each point, and what it leaves is verified on the sets.
@@ -21,10 +23,12 @@ points and for a point and the upper corner of a box alike.
 
 Memory: a task holds one block (at most BLOCK_NODES nodes or BLOCK_BYTES of sets, a larger set alone), one page of boxes,
 or one bucket of coordinates (500,000 entries of 11 bytes on average).  Coordinates of more than SALTED nodes are dealt in
-parts; a coordinate that no window of COUNTED shingles repeats has at most one entry for each window.  Broadcast are only the
+parts; a coordinate that no window of COUNTED shingles repeats has at most one entry for each window.  On disk lie, beside
+the entries, the sets of one round of cells (three times at most: held, shuffled to their cells, and to their blocks).  Broadcast are only the
 RANKED most repeated shingles at most, and a bitmap of fixed size that says which texts are in cells.
 
-Nodes have 64-bit hashes of sets: among 1e9 different sets one pair in about 37 such corpora would collide.  While
+Shingles are 58 bits of hash below 6 bits of length.  Nodes have 64-bit hashes of sets: among 1e9 different sets one pair
+in about 37 such corpora would collide.  While
 candidates are sought nodes go by 48 bits and coordinates by 32 bits in their bucket: a collision there only adds a candidate.
 
 Defined results: null text and text without words have no shingles and no links; texts of fewer words than WIDTH
@@ -44,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import ODD, discard, materialize, mix64, power_tables, quoted, text_chunks, trim
+from .common import ODD, discard, materialize, mix64, power_tables, quoted, release, text_chunks, trim
 from .components import CHUNK, components, forest, thinned
 
 WIDTH, PERCENT = 5, 75
@@ -52,6 +56,9 @@ WIDTH, PERCENT = 5, 75
 LEAF, FANOUT, SPREAD, BOX_GROUPS = 8, 8, 16, 1 << 16
 #: Nodes and bytes of sets of a block at most; centres of a split cell; boxes of a page; nodes that search a page in one task.
 BLOCK_NODES, BLOCK_BYTES, CENTRES, PAGE, SEARCHING = 128, 16 << 20, 8, 32, 4096
+#: Rounds in which cells are verified, were all sets of the table in cells: fewer, if fewer are; bytes of sets that are
+#: no round of their own.
+ROUNDS, ROUND_BYTES = 5, 32 << 20
 #: Shingles counted at a time while looking for repeated ones; local count from which one is reported; sum from
 #: which it is ordered last, by that sum; most of them; nodes of a part of a shingle that more nodes have.
 COUNTED, LOCAL, REPEATED, RANKED, SALTED = 2_000_000, 2, 8, 500_000, 2000
@@ -62,6 +69,8 @@ LISTED = 48
 POSTED, BUCKETS = 400_000, 4
 #: Sizes go by their logarithm to this base while candidates are sought; linked sets differ by up to SIZE_STEPS.
 SIZE_BASE, SIZE_STEPS = 1.06, 5
+#: Bits of a shingle that say how long it is, the longest first; bytes of words from which all count as longest.
+LENGTH_BITS, LONGEST = 6, 71
 
 _STEPS = mix64(np.arange(101, 101 + 16, dtype=np.uint64)) | np.uint64(1)
 _SPACES = (9, 10, 11, 12, 13, 32)
@@ -79,7 +88,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 _CODES, _WORD = _tables()
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
+    """Distinct shingle hashes of each text, sorted: longer shingles come first (by the bytes of their words)."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
     starts = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
@@ -93,10 +102,13 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     first = np.searchsorted(begin, starts)
     n = len(words) - WIDTH + 1
     runs = np.zeros(max(n, 0), np.uint64)
-    for k in range(WIDTH):
-        if n > 0:
+    if n > 0:
+        for k in range(WIDTH):
             runs += words[k : k + n] * _STEPS[k]
-    runs = mix64(runs)
+        upto = np.concatenate([[0], np.cumsum(end - begin)])
+        most = 1 << LENGTH_BITS
+        length = np.clip(LONGEST - (upto[WIDTH:] - upto[:-WIDTH]), 0, most - 1).astype(np.uint64)
+        runs = mix64(runs) >> np.uint64(LENGTH_BITS) | length << np.uint64(64 - LENGTH_BITS)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= WIDTH:
@@ -667,26 +679,11 @@ def visits(held: DataFrame, outside: DataFrame, boxes: DataFrame) -> DataFrame:
     return laid.mapInArrow(run, "node long, cell long, block string").distinct()
 
 
-def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles and component_id (the smallest key reachable by links) for every row."""
-    df = df.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text"))
-    seen = materialize(survey(df), "jaccard-survey")
-    docs = seen.filter(F.col("node").isNotNull()).select("key", "node", "n", "lead", "point")
-    repeated = seen.filter(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= REPEATED)
-    ranked = repeated.orderBy(F.desc("seen"), "shingle").limit(RANKED).toPandas()
-    tokens, times = ranked["shingle"].to_numpy(np.int64).view(np.uint64), ranked["seen"].to_numpy(np.int64)
-    by_token = np.argsort(tokens)
+def cell_links(df: DataFrame, sized: DataFrame) -> DataFrame:
+    """Verified links (a, b) inside the cells of sized (node, n, lead, cell): enough of them to connect what is linked.
 
-    short = F.shiftrightunsigned("node", 16)
-    points = docs.filter(F.col("n") > 0).dropDuplicates(["node"]).select("node", short.alias("short"), "n", "lead", "point")
-    posted = docs.filter(F.col("n") > 0).agg(F.sum(prefix(F.col("n")))).first()[0] or 0
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(posted) // 2_000_000)
-    pairs, edges, met = meetings(entries(df, tokens[by_token], times[by_token], parts * BUCKETS), parts)
-    cells = components(thinned(edges).unionByName(allowed_pairs(pairs, points)), "jaccard-cells", thin=False)
-    discard(met)
-
-    # Who meets whom is planned on (node, n, lead) alone; the sets are added last, and shuffled only then.
-    sized = materialize(points.select("node", "short", "n", "lead").join(cells.select(F.col("node").alias("short"), F.col("root").alias("cell")), "short").drop("short"), "jaccard-placed")
+    Who meets whom is planned on (node, n, lead) alone; the sets are added last, and shuffled only then.
+    """
     held = materialize(cell_sets(df, bitmap_of(sized.select("node"))), "jaccard-sets")
     weight = sized.groupBy("cell").agg(F.count("*").alias("nodes"), (F.sum("n") * 8).alias("bytes"))
     whole = (F.col("nodes") <= BLOCK_NODES) & (F.col("bytes") <= BLOCK_BYTES)
@@ -715,9 +712,42 @@ def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             visiting = hits.join(outside.select("node", "root"), "node").select("node", "cell", "block", yes.alias("asking"), no.alias("resident"), "root")
             living = settled.join(hits.select("cell", "block").distinct(), ["cell", "block"], "left_semi").select("node", "cell", "block", no.alias("asking"), yes.alias("resident"), "root")
             links = links.unionByName(materialize(join_blocks(held, visiting.unionByName(living)), "jaccard-between"))
+    discard(held)
+    release(df.sparkSession)
+    return links
+
+
+def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_shingles and component_id (the smallest key reachable by links) for every row."""
+    df = df.select(F.col(quoted(key)).alias("key"), F.col(quoted(text)).alias("text"))
+    seen = materialize(survey(df), "jaccard-survey")
+    docs = seen.filter(F.col("node").isNotNull()).select("key", "node", "n", "lead", "point")
+    repeated = seen.filter(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= REPEATED)
+    ranked = repeated.orderBy(F.desc("seen"), "shingle").limit(RANKED).toPandas()
+    tokens, times = ranked["shingle"].to_numpy(np.int64).view(np.uint64), ranked["seen"].to_numpy(np.int64)
+    by_token = np.argsort(tokens)
+
+    short = F.shiftrightunsigned("node", 16)
+    points = docs.filter(F.col("n") > 0).dropDuplicates(["node"]).select("node", short.alias("short"), "n", "lead", "point")
+    posted = docs.filter(F.col("n") > 0).agg(F.sum(prefix(F.col("n")))).first()[0] or 0
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(posted) // 2_000_000)
+    pairs, edges, met = meetings(entries(df, tokens[by_token], times[by_token], parts * BUCKETS), parts)
+    cells = components(thinned(edges).unionByName(allowed_pairs(pairs, points)), "jaccard-cells", thin=False)
+    discard(met)
+    release(df.sparkSession)
+
+    sized = materialize(points.select("node", "short", "n", "lead").join(cells.select(F.col("node").alias("short"), F.col("root").alias("cell")), "short").drop("short"), "jaccard-placed")
+    release(df.sparkSession)
+    # Links stay within cells: the sets of a part of the cells are laid out at a time, and deleted before the next part.
+    total = points.agg(F.sum("n")).first()[0] or 0
+    inside = sized.agg(F.sum("n")).first()[0] or 0
+    rounds = max(1, min(-(-ROUNDS * inside // max(total, 1)), -(-inside * 8 // ROUND_BYTES)))
+    links = None
+    for k in range(rounds):
+        found = cell_links(df, sized.filter(F.pmod(F.xxhash64("cell", F.lit(2)), F.lit(rounds)) == k))
+        links = found if links is None else links.unionByName(found)
 
     roots = components(links, "jaccard-roots")
-    discard(held)
     by_node = docs.filter(F.col("n") > 0).groupBy("node").agg(F.min("key").alias("least"))
     by_node = by_node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = by_node.groupBy("root").agg(F.min("least").alias("component_id"))

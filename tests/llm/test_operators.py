@@ -239,6 +239,49 @@ def test_jaccard_cell_of_strangers(spark, monkeypatch, limits):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link_classes(df).collect()) == brute_links(rows)
 
 
+def test_jaccard_sets_lie_on_disk_in_rounds(spark, monkeypatch):
+    """Where nearly every row has a near copy, only a part of the sets is written at a time, and deleted before the next part."""
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for _ in range(60):
+        base = [word() for _ in range(60)]
+        for _ in range(2):
+            base[draw.randrange(60)] = word()
+            rows.append((len(rows), " ".join(base)))
+    lying, most, rounds = {}, [], []
+    write, delete = jaccard.materialize, jaccard.discard
+
+    def written(df, name):
+        out = write(df, name)
+        if name == "jaccard-sets":
+            lying[out.shared_path] = out.count()
+            rounds.append(lying[out.shared_path])
+            most.append(sum(lying.values()))
+        return out
+
+    def deleted(*tables):
+        delete(*tables)
+        for df in tables:
+            lying.pop(df.shared_path, None)
+
+    monkeypatch.setattr(jaccard, "ROUND_BYTES", 1000, raising=False)
+    monkeypatch.setattr(jaccard, "materialize", written)
+    monkeypatch.setattr(jaccard, "discard", deleted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link_classes(df).collect()) == brute_links(rows)
+    assert max(most) <= 0.5 * len(rows) < len(rows) <= sum(rounds)
+
+
+def test_jaccard_long_shingles_lead():
+    """Frequent short words, which strangers share, do not come among the leading coordinates of a text with longer ones."""
+    short = " ".join("the of and to in it is as by on at an or if".split() * 2)
+    (own,) = jaccard.shingle_sets([short + " " + " ".join(f"considerable{k} neighbourhoods{k}" for k in range(20))])
+    (stop,) = jaccard.shingle_sets([short])
+    assert not set(own[: jaccard.prefix(len(own))].tolist()) & set(stop.tolist())
+    assert len(set(own.tolist()) & set(stop.tolist())) == len(stop)
+
+
 def test_jaccard_bounds_hold():
     import numpy as np
 
