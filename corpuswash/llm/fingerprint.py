@@ -1,9 +1,8 @@
 """Improbable-feature digests of texts.
 
-Byte windows of WINDOW bytes start at anchors, places that the three bytes there choose (so insertions shift
-nothing).  A window's entropy over byte classes gives its rarity: how far it lies from the entropy usual for
-prose; windows of almost no entropy are void.  A window is a feature if none of the NEAR anchors on either side
-is rarer.  Features go into Bloom filters of FILTER_BYTES bytes, five bits each; after PER_FILTER features the
+Windows of WINDOW bytes start at every byte of a text.  A window's entropy over byte classes gives its rarity: how far
+it lies from the entropy usual for prose; windows of almost no entropy are void.  A window is a feature if none of the
+windows up to NEAR places from it on either side is rarer (so insertions shift nothing).  Features go into Bloom filters of FILTER_BYTES bytes, five bits each; after PER_FILTER features the
 next filter of the chain begins.  Likeness of two digests: every filter of the shorter chain is compared with
 filters of the other, by the bits they share beyond what chance would share, as part of the most they could
 share; the best matches are averaged.  Only filters up to BAND places from each other in their chains are compared, so
@@ -32,10 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ByteType, DateType, DoubleType, IntegerType, LongType, ShortType, StringType, StructField, StructType, TimestampNTZType, TimestampType
 
-from .common import CHUNK_BYTES, chunks, mix64, quoted, text_chunks, trim
+from .common import CHUNK_BYTES, ODD, chunks, mix64, power_tables, quoted, text_chunks, trim
 from .shards import ordered_number
 
-WINDOW, NEAR, CLASSES = 32, 4, 16
+WINDOW, NEAR, CLASSES = 32, 16, 16
 #: Bits of entropy usual for a window of prose (of at most 4), and the least that a window must have.
 USUAL, LEAST = 3.2, 1.2
 FILTER_BYTES, PER_FILTER = 256, 160
@@ -44,7 +43,6 @@ SHORT = 6
 #: Filters of two chains are compared up to so many places apart.
 BAND = 32
 _BITS = FILTER_BYTES * 8
-_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _byte_codes() -> np.ndarray:
@@ -61,39 +59,29 @@ def features(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     text_sizes = np.diff(starts)
     hashes, owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if n >= WINDOW:
-        b = data.astype(np.uint32)
-        three = (b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(29)
-        at = np.flatnonzero((three & np.uint32(3)) == 0)
-        at = at[at <= n - WINDOW]
-        own = np.searchsorted(starts, at, side="right") - 1
-        inside = at + WINDOW <= starts[own + 1]
-        at, own = at[inside], own[inside]
-        entropy = np.zeros(len(at), np.float32)
+        m = n - WINDOW + 1
+        entropy = np.zeros(m, np.float32)
         classes = (data ^ (data >> 4)) & (CLASSES - 1)
-        upto = np.zeros(n + 1, np.int32)
+        upto = np.zeros(n + 1, np.uint8)
         for c in range(CLASSES):
-            np.cumsum(classes == c, out=upto[1:])
-            entropy += _PLOGP[upto[at + WINDOW] - upto[at]]
-        powers = np.ones(n, np.uint64)
-        powers[1:] = _ODD
-        np.multiply.accumulate(powers, out=powers)
+            np.cumsum(classes == c, dtype=np.uint8, out=upto[1:])  # modulo 256: differences go up to WINDOW
+            entropy += _PLOGP[upto[WINDOW:] - upto[:-WINDOW]]
+        up, down = power_tables(n + 1)
         poly = np.zeros(n + 1, np.uint64)
-        np.cumsum(_CODES[data] * powers, out=poly[1:])
-        inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
-        back = np.full(len(at), inverse, np.uint64)
-        window = mix64((poly[at + WINDOW] - poly[at]) * _power(back, at))
-        rare = np.abs(entropy - np.float32(USUAL))
-        rank = np.where(entropy < LEAST, 0, 1 + (rare * 1000).astype(np.int64))
-        key = (rank << 40) | (window >> np.uint64(24)).astype(np.int64)
-        lead = np.full(NEAR, -1, np.int64)
-        padded = np.concatenate([lead, key, lead])
-        owners = np.concatenate([lead, own, lead])
-        best = rank > 0
-        for d in range(1, NEAR + 1):
-            for side in (-d, d):
-                lo = NEAR + side
-                best &= (owners[lo : lo + len(key)] != own) | (padded[lo : lo + len(key)] <= key)
-        hashes, owner = window[best], own[best]
+        np.cumsum(_CODES[data] * up[:n], out=poly[1:])
+        window = mix64((poly[WINDOW:] - poly[:-WINDOW]) * down[:m])
+        key = (1 + (np.abs(entropy - np.float32(USUAL)) * 1000).astype(np.int64)) << 40 | (window >> np.uint64(24)).view(np.int64)
+        key[entropy < LEAST] = -1
+        # No window reaches over the end of its text; so those of two texts are more than NEAR places apart.
+        key[np.repeat(starts[1:], text_sizes)[:m] - np.arange(m) < WINDOW] = -1
+        pad = np.full(NEAR, -1, np.int64)
+        most, size = np.concatenate([pad, key, pad]), 1
+        while size < 2 * NEAR + 1:
+            step = min(size, 2 * NEAR + 1 - size)
+            most = np.maximum(most[:-step], most[step:])
+            size += step
+        at = np.flatnonzero((key >= 0) & (key == most))
+        hashes, owner = window[at], np.searchsorted(starts, at, side="right") - 1
     count = np.bincount(owner, minlength=len(text_sizes))
     bare = np.flatnonzero((count == 0) & (text_sizes > 0))
     if len(bare):
@@ -109,22 +97,10 @@ def _short(own: np.ndarray) -> np.ndarray:
     if len(own) <= SHORT:
         return np.array([int.from_bytes(hashlib.sha256(own.tobytes()).digest()[:8], "little")], np.uint64)
     runs = np.lib.stride_tricks.sliding_window_view(own, SHORT)
-    scale = _ODD ** np.arange(SHORT, dtype=np.uint64)
+    scale = ODD ** np.arange(SHORT, dtype=np.uint64)
     return np.unique(mix64((_CODES[runs] * scale).sum(1, dtype=np.uint64)))
 
 
-def _power(base: np.ndarray, exponent: np.ndarray) -> np.ndarray:
-    """base ** exponent modulo 2**64, element by element."""
-    out = np.ones(len(base), np.uint64)
-    b, e = base.copy(), exponent.astype(np.int64).copy()
-    while e.any():
-        odd = (e & 1).astype(bool)
-        out[odd] *= b[odd]
-        b *= b
-        e >>= 1
-    return out
-
-
 def filters(hashes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Bloom filters of n texts (rows of bytes) and where each text's chain starts, one more at the end."""
     count = np.bincount(owner, minlength=n)

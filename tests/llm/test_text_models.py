@@ -68,6 +68,32 @@ def test_fingerprints():
     assert fingerprint.edited("abcdefgh", "XY") == "abcdefXY" and fingerprint.edited("abcdefgh", "X") == "abcdefX" and fingerprint.edited("abc", "X") == "abc"
 
 
+def test_fingerprints_look_at_every_window():
+    """Features are the rarest of the windows that start at every byte, by a plain count for each of them."""
+    import numpy as np
+
+    draw = random.Random(4)
+    texts = ["".join(draw.choice("abcdefgh ,.ABC0123é") for _ in range(n)).encode() for n in (31, 32, 400, 33, 0, 700)]
+    texts.append(b"one two " * 30)
+    starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    hashes, owner = fingerprint.features(np.frombuffer(b"".join(texts), np.uint8), starts)
+    for k, text in enumerate(texts):
+        keys, names = [], []
+        for i in range(len(text) - fingerprint.WINDOW + 1):
+            own = text[i : i + fingerprint.WINDOW]
+            classes = [(b ^ b >> 4) & (fingerprint.CLASSES - 1) for b in own]
+            entropy = np.float32(0)
+            for c in range(fingerprint.CLASSES):
+                entropy += fingerprint._PLOGP[classes.count(c)]
+            name = sum(int(fingerprint._CODES[b]) * pow(int(fingerprint.ODD), j, 1 << 64) for j, b in enumerate(own)) % (1 << 64)
+            names.append(int(fingerprint.mix64(np.array([name], np.uint64))[0]))
+            keys.append((int(np.abs(entropy - np.float32(fingerprint.USUAL)) * np.float32(1000)), names[-1] >> 24) if entropy >= fingerprint.LEAST else (-1, 0))
+        near = fingerprint.NEAR
+        want = [names[i] for i, key in enumerate(keys) if key[0] >= 0 and key == max(keys[max(0, i - near) : i + near + 1])]
+        if want:
+            assert hashes[owner == k].tolist() == want
+
+
 def test_a_text_has_the_same_digest_alone_and_among_others():
     texts = ["one two three four five six seven eight nine ten eleven " * k for k in range(1, 6)]
     together = fingerprint.as_text(fingerprint.digests(texts))
