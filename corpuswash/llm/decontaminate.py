@@ -30,7 +30,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -120,31 +120,64 @@ class LengthClass:
     flag: tuple[int, int] = (0, 0)  # number of its q-gram table, and its bit there
     bits: np.ndarray = None  # a walk's 64 random bits for each step, one row a walk
     places: np.ndarray = None  # sampled steps, one row a table
-    tables: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # sorted signatures and their pieces
-
-    def signatures(self, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(table, signatures of the windows) for each table; walks stop at the window's or the text's end."""
+    known: np.ndarray = None  # sorted signatures of all tables (the table is part of a signature)
+    held: np.ndarray = None  # their pieces
+    marks: np.ndarray = None  # whether a signature begins with these bits
+
+    @cached_property
+    def moves(self) -> np.ndarray:
+        """Whether a walk moves on, by step, and by walk and character (mod 64)."""
+        bits = self.bits.T[: int(self.places.max()) + 1, :, None] >> np.arange(64, dtype=np.uint64)
+        return (bits & np.uint64(1)).astype(np.uint8).reshape(len(bits), -1)
+
+    def signatures(self, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Signatures of the windows, one row a table; walks stop at the window's or the text's end."""
         needed, place = np.unique(self.places, return_inverse=True)
         row = {int(step): k for k, step in enumerate(needed)}
-        steps = int(needed[-1]) + 1
+        moves = self.moves
+        steps = len(moves)
         # Each window's characters, then zeros as far as a walk can get.
         at = starts[:, None] + np.arange(self.window)
         chars = np.zeros((len(starts), max(self.window, steps) + 1), np.uint32)
         chars[:, : self.window] = np.where(at < ends[:, None], cps[np.minimum(at, len(cps) - 1)], 0)
         flat, classes = chars.ravel(), (chars & np.uint32(63)).ravel().astype(np.intp)
-        moves = ((self.bits[:, :steps, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.intp)
         written = np.zeros((len(needed), WALKS, len(starts)), np.uint32)
         at = np.tile(np.arange(len(starts)) * chars.shape[1], (WALKS, 1))
         walk = np.arange(WALKS)[:, None] * 64
         for step in range(steps):
             if step in row:
                 written[row[step]] = flat.take(at)
-            at += moves[:, step].ravel().take(classes.take(at) + walk)
+            kind = classes.take(at)
+            kind += walk
+            at += moves[step].take(kind)
         tables = np.arange(REPEATS)
         sig = np.repeat((tables.astype(np.uint64) + np.uint64(1))[:, None], len(starts), axis=1)
         for k in range(self.places.shape[1]):
-            sig = sig * ODD + written[place.reshape(self.places.shape)[:, k], tables % WALKS]
-        yield from enumerate(mix64(sig))
+            sig *= ODD
+            sig += written[place.reshape(self.places.shape)[:, k], tables % WALKS]
+        return mix64(sig)
+
+    def high(self, sig: np.ndarray) -> np.ndarray:
+        return (sig >> np.uint64(65 - len(self.marks).bit_length())).view(np.int64)
+
+    def hold(self, sig: np.ndarray) -> None:
+        """Keep the signatures of the class's pieces, one row a table."""
+        sig, pieces = sig.ravel(), np.tile(np.asarray(self.pieces, np.int32), len(sig))
+        by = np.argsort(sig, kind="stable")
+        self.known, self.held = sig[by], pieces[by]
+        self.marks = np.zeros(1 << min(max((16 * len(sig)).bit_length(), 16), 22), bool)
+        self.marks[self.high(self.known)] = True
+
+    def meet(self, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, piece) of what agrees in a table, as often as it does.  Few signatures get past the marks."""
+        table, window = np.nonzero(self.marks[self.high(sig)])
+        sig = sig[table, window]
+        left = np.searchsorted(self.known, sig, "left")
+        some = np.flatnonzero(self.known[np.minimum(left, len(self.known) - 1)] == sig)
+        left, window = left[some], window[some]
+        width = np.searchsorted(self.known, sig[some], "right") - left
+        nth = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+        return np.repeat(window, width), self.held[np.repeat(left, width) + nth]
 
 
 @dataclass
@@ -152,7 +185,8 @@ class ItemIndex:
     texts: list[str]
     pieces: list[tuple[int, int]]  # item, and where the piece starts in it
     classes: list[LengthClass]
-    grams: list[tuple[int, np.ndarray, np.ndarray]]  # (q, table of 2**22 sets of 16 classes by hash, places in pieces that start with it)
+    #: (q, table of 2**22 sets of 16 classes by hash, places in pieces that start with it, whether any of 16 such sets is not empty)
+    grams: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]
     own: dict[int, tuple[int, np.ndarray]]  # per item: number of its q-gram table, its sorted slots
 
     @classmethod
@@ -197,11 +231,8 @@ class ItemIndex:
                 elif item not in own:
                     whole, _ = code_points([texts[item]])
                     own[item] = (c.flag[0], np.unique(gram_slots(whole[:-1], c.gram, *prefix_sums(whole[:-1]))))
-            tables = dict(c.signatures(cps, starts[:-1].copy(), starts[1:] - 1))
-            for r in range(REPEATS):
-                by = np.argsort(tables[r], kind="stable")
-                c.tables.append((tables[r][by], np.asarray(c.pieces, np.int32)[by]))
-        return cls(texts, [(i, a) for i, a, _ in cut], classes, grams, own)
+            c.hold(c.signatures(cps, starts[:-1].copy(), starts[1:] - 1))
+        return cls(texts, [(i, a) for i, a, _ in cut], classes, [(q, flags, places, flags.reshape(-1, 16).any(1)) for q, flags, places in grams], own)
 
 
 def best_passage(item: str, text: str) -> tuple[int, int]:
@@ -249,11 +280,12 @@ def matches(index: ItemIndex, texts: list[str | None]) -> list[tuple[int, int, i
         return []
     total, down = prefix_sums(cps)
     hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    slots = [gram_slots(cps, q, total, down) for q, _, _ in index.grams]
-    for (_, flags, places), slot in zip(index.grams, slots):
-        mask = flags[slot]
-        at = np.flatnonzero(mask)
-        hits.append((at, mask[at], places[slot[at]]))
+    slots = [gram_slots(cps, q, total, down) for q, *_ in index.grams]
+    for (_, flags, places, coarse), slot in zip(index.grams, slots):
+        at = np.flatnonzero(coarse.take(slot >> 4))  # a table that stays in the cache leaves few for the large one
+        mask = flags.take(slot[at])
+        at, mask = at[mask > 0], mask[mask > 0]
+        hits.append((at, mask, places[slot[at]]))
     met: list[np.ndarray] = []  # window start * number of pieces + piece, each once
     n_pieces = max(1, len(index.pieces))
     for c in index.classes:
@@ -275,18 +307,9 @@ def matches(index: ItemIndex, texts: list[str | None]) -> list[tuple[int, int, i
         could = could[np.searchsorted(at, hi, "left") - np.searchsorted(at, lo, "left") >= c.least]
         for a in range(0, len(could), EMBEDDED):
             some = could[a : a + EMBEDDED]
-            keys = []
-            for r, sig in c.signatures(cps, some, starts[np.searchsorted(starts, some, side="right")] - 1):
-                known, held = c.tables[r]
-                left = np.searchsorted(known, sig, "left")
-                width = np.searchsorted(known, sig, "right") - left
-                k = np.flatnonzero(width)
-                if len(k):
-                    which = np.repeat(k, width[k])
-                    nth = np.arange(len(which)) - np.repeat(np.cumsum(width[k]) - width[k], width[k])
-                    keys.append(some[which] * n_pieces + held[left[which] + nth])
-            if keys:
-                met.append(np.unique(np.concatenate(keys)))
+            which, piece = c.meet(c.signatures(cps, some, starts[np.searchsorted(starts, some, side="right")] - 1))
+            if len(which):
+                met.append(np.unique(some[which] * n_pieces + piece))
     if not met:
         return []
     window, piece = np.divmod(np.unique(np.concatenate(met)), n_pieces)

@@ -243,6 +243,25 @@ def test_decontamination_of_long_items(n, count):
         assert len(found) >= 0.95 * count and all(d == i and edits <= n * share for d, i, edits, *_ in found)
 
 
+def test_decontamination_tables_are_searched_together():
+    """All hash tables of a class are one sorted list: a window meets a piece as often as they agree in a table."""
+    import numpy as np
+
+    draw = random.Random(12)
+    items = ["".join(draw.choice("abcdefgh ") for _ in range(90)) for _ in range(30)]
+    index = decontaminate.ItemIndex.build([*items, items[3]])
+    (c,) = index.classes
+    texts = [draw.choice(items)[:80] + "".join(draw.choice("abcd") for _ in range(10)) for _ in range(40)]
+    cps, starts = decontaminate.code_points(texts)
+    sig = c.signatures(cps, starts[:-1], starts[1:] - 1)
+    cps, starts = decontaminate.code_points([index.texts[i] for i, _ in (index.pieces[p] for p in c.pieces)])
+    own = c.signatures(cps, starts[:-1], starts[1:] - 1)
+    assert len(sig) == decontaminate.REPEATS
+    want = sorted((w, p) for r in range(len(sig)) for w in range(40) for k, p in enumerate(c.pieces) if sig[r, w] == own[r, k])
+    assert want and sorted(zip(*(x.tolist() for x in c.meet(sig)))) == want
+    assert not len(c.meet(sig[:, :0])[0]) and not len(c.meet(np.zeros_like(sig))[0])
+
+
 def test_decontamination_of_mixed_lengths():
     """Items of all lengths in one index, up to the full allowance; glued to other words too."""
     draw = random.Random(4)
