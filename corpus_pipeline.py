@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuswash.llm import decontaminate, jaccard, mixing, shards, toxicity
-from corpuswash.llm.common import materialize, own_names, quoted, small_batches, table, without
+from corpuswash.llm.common import materialize, own_names, quoted, release, small_batches, table, without
 from corpuswash.llm.queries import toxicity_model
 
 SHARDS = 24
@@ -23,6 +23,7 @@ SHARDS = 24
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject."""
     model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    release(spark)
     return toxicity.score(docs, model).filter(F.col("toxicity") < toxicity.THRESHOLD).select(*docs.columns)
 
 
@@ -33,6 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     marked = docs.withColumn(row, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
     ranked = marked.select(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(row).alias("row")).alias("key"), "text")
     classes = materialize(jaccard.link_classes(ranked, "key"), "pipeline-classes")
+    release(spark)
     away = classes.filter(F.col("key") != F.col("component_id")).select(F.col("key.row").alias(row))
     kept = without(marked, away, row)
     repeated = classes.filter(F.col("key.doc_id").isNotNull() | (F.col("n_shingles") > 0)).groupBy(F.col("key.row").alias(row)).count().filter(F.col("count") > 1).select(row)
@@ -83,4 +85,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

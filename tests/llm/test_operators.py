@@ -4,11 +4,12 @@ import hashlib
 import json
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from corpuswash.llm import chat_format, components, decontaminate, fingerprint, jaccard, lang_id, mixing, pii, queries, shards, toxicity, url_filter
+from corpuswash.llm import chat_format, common, components, decontaminate, fingerprint, jaccard, lang_id, mixing, pii, queries, shards, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 
@@ -239,6 +240,22 @@ def test_jaccard_cell_of_strangers(spark, monkeypatch, limits):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link_classes(df).collect()) == brute_links(rows)
 
 
+def test_shuffle_files_of_finished_queries_are_deleted(spark):
+    """release() has them deleted, without waiting for the driver's heap to fill up."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    lying = lambda: {n for n in (blocks.getAllFiles().apply(i).getName() for i in range(blocks.getAllFiles().size())) if n.startswith("shuffle_")}
+    before = lying()
+    spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count().collect()
+    own = lying() - before
+    assert own
+    for _ in range(10):  # the listeners may still hold the query the first time
+        common.release(spark)
+        time.sleep(0.5)
+        if not own & lying():
+            break
+    assert not own & lying()
+
+
 def test_jaccard_sets_lie_on_disk_in_rounds(spark, monkeypatch):
     """Where nearly every row has a near copy, only a part of the sets is written at a time, and deleted before the next part."""
     draw = random.Random(8)
