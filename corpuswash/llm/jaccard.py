@@ -8,8 +8,9 @@ points and for a point and the upper corner of a box alike.
 * Top of the tree.  With one group for each shingle, points that share none of their leading n - ceil(n * PERCENT /
   100) + 1 coordinates cannot reach the bound, in any order of the coordinates.  So a node is entered under each of its
   leading coordinates, and only nodes of one coordinate can meet.  A coordinate with up to LISTED nodes is one leaf: its
-  pairs are bounded by points (64 to 1024 groups, by set size).  A coordinate with more nodes holds them together as
-  they are.  The order goes from long shingles to short ones, since the number of strangers that share a run of short,
+  pairs are bounded by points (64 to 1024 groups, by set size).  So are, shortest first, longer ones with up to one of
+  SHARED nodes, while a bucket's pairs of these are no more than PAIRED for each of its entries: what strangers share by chance
+  grows with the table, and must not join all of it.  A coordinate with more nodes holds them together as they are.  The order goes from long shingles to short ones, since the number of strangers that share a run of short,
   frequent words grows with the square of the table, and puts shingles that many documents repeat last; it never
   decides a result.
 * Cells.  The connected components of what may meet are the cells.
@@ -63,8 +64,9 @@ ROUNDS, ROUND_BYTES = 5, 32 << 20
 #: which it is ordered last, by that sum; most of them; nodes of a part of a shingle that more nodes have.
 COUNTED, LOCAL, REPEATED, RANKED, SALTED = 2_000_000, 2, 8, 500_000, 2000
 BITMAP_WORDS = 1 << 20
-#: Nodes of a coordinate up to which all its pairs are looked at one by one.
-LISTED = 48
+#: Nodes of a coordinate up to which all its pairs are looked at one by one; one of how many nodes of a large table may share such
+#: a coordinate; pairs of those for each entry of a bucket; pairs that are joined with their points at a time.
+LISTED, SHARED, PAIRED, POINTED = 48, 5000, 0.25, 4_000_000
 #: Entries of coordinates that a task packs at a time; buckets of coordinates for each partition.
 POSTED, BUCKETS = 400_000, 4
 #: Sizes go by their logarithm to this base while candidates are sought; linked sets differ by up to SIZE_STEPS.
@@ -326,13 +328,18 @@ def runs(key: np.ndarray, node: np.ndarray, size: np.ndarray) -> tuple[np.ndarra
     return key, node, size, np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
 
 
-def met_in(key: np.ndarray, node: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (rows of two nodes) of coordinates with up to LISTED nodes whose sizes allow a link, and edges that hold more together."""
+def met_in(key: np.ndarray, node: np.ndarray, size: np.ndarray, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (rows of two nodes) of coordinates with up to LISTED nodes (or `most`, while PAIRED allows it) whose sizes allow a
+    link, and edges that hold more together."""
     _, node, size, start = runs(key, node, size)
     length = np.diff(start)
-    whole = np.repeat(length, length)
+    listed = length <= LISTED
+    longer = np.flatnonzero(~listed & (length <= most))
+    longer = longer[np.argsort(length[longer], kind="stable")]
+    listed[longer[np.cumsum(length[longer] * (length[longer] - 1) // 2) <= PAIRED * len(node)]] = True
+    listed = np.repeat(listed, length)
     after = np.repeat(start[1:], length) - np.arange(len(node))  # entries of the run from each one on
-    ahead = np.flatnonzero((whole <= LISTED) & (after > 1))
+    ahead = np.flatnonzero(listed & (after > 1))
     pairs = []
     step = 1
     while len(ahead):
@@ -342,12 +349,13 @@ def met_in(key: np.ndarray, node: np.ndarray, size: np.ndarray) -> tuple[np.ndar
         ahead = ahead[after[ahead] > step]
     found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
     first = np.repeat(start[:-1], length)
-    long = np.flatnonzero((whole > LISTED) & (first < np.arange(len(node))))
+    long = np.flatnonzero(~listed & (first < np.arange(len(node))))
     return found, np.unique(np.stack([node[long], node[first[long]]], axis=1), axis=0)
 
 
-def meetings(posted: DataFrame, parts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs (a, b) that may link, edges (a, b) that hold nodes of one coordinate together, and the table both are read from."""
+def meetings(posted: DataFrame, parts: int, most: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (a, b) that may link, edges (a, b) that hold nodes of one coordinate together, and the table both are read from;
+    most as for met_in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
@@ -364,7 +372,7 @@ def meetings(posted: DataFrame, parts: int) -> tuple[DataFrame, DataFrame, DataF
                 # The parts of one shingle are joined by their first nodes.
                 yield rows(node[start[:-1]], key["shingle"][start[:-1]].view(np.int64), 2)
             else:
-                pairs, edges = met_in(*unpacked(blobs, _PLAIN))
+                pairs, edges = met_in(*unpacked(blobs, _PLAIN), most)
                 for x in range(0, len(pairs), 100_000):
                     yield rows(pairs[x : x + 100_000, 0], pairs[x : x + 100_000, 1], 0)
                 yield rows(edges[:, 0], edges[:, 1], 1)
@@ -414,6 +422,21 @@ def allowed_pairs(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def pointed(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """allowed_pairs of POINTED pairs at a time: points are many times longer than pairs, and lie on disk for one part only."""
+    spark = pairs.sparkSession
+    pairs = materialize(pairs, "jaccard-pairs")
+    rounds = max(1, -(-pairs.count() // POINTED))
+    found = None
+    for k in range(rounds):
+        own = materialize(allowed_pairs(pairs.filter(F.pmod(F.xxhash64("a"), F.lit(rounds)) == k), points), "jaccard-allowed")
+        found = own if found is None else found.unionByName(own)
+        if rounds > 1:
+            release(spark)
+    discard(pairs)
+    return found
+
+
 def bitmap_of(nodes: DataFrame) -> np.ndarray:
     """Bitmap of fixed size with one bit set for each node."""
     word = F.shiftright("node", 6).bitwiseAND(F.lit(BITMAP_WORDS - 1)).cast("int")
@@ -730,9 +753,11 @@ def link_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     short = F.shiftrightunsigned("node", 16)
     points = docs.filter(F.col("n") > 0).dropDuplicates(["node"]).select("node", short.alias("short"), "n", "lead", "point")
     posted = docs.filter(F.col("n") > 0).agg(F.sum(prefix(F.col("n")))).first()[0] or 0
+    nodes = points.count()
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(posted) // 2_000_000)
-    pairs, edges, met = meetings(entries(df, tokens[by_token], times[by_token], parts * BUCKETS), parts)
-    cells = components(thinned(edges).unionByName(allowed_pairs(pairs, points)), "jaccard-cells", thin=False)
+    pairs, edges, met = meetings(entries(df, tokens[by_token], times[by_token], parts * BUCKETS), parts, nodes // SHARED)
+    release(df.sparkSession)
+    cells = components(thinned(edges).unionByName(pointed(pairs, points)), "jaccard-cells", thin=False)
     discard(met)
     release(df.sparkSession)
 

@@ -290,6 +290,29 @@ def test_jaccard_sets_lie_on_disk_in_rounds(spark, monkeypatch):
     assert max(most) <= 0.5 * len(rows) < len(rows) <= sum(rounds)
 
 
+def test_jaccard_strangers_of_a_frequent_coordinate_are_no_cell(spark, monkeypatch):
+    """A leading shingle that many strangers hold is looked at pair by pair, in parts, and does not join them."""
+    draw = random.Random(9)
+    word = lambda n: "".join(draw.choice("abcdefgh") for _ in range(n))
+    passage = " ".join(word(16) for _ in range(5))
+    rows = [(2 * k, " ".join([passage, *(word(5) for _ in range(4000))])) for k in range(60)]
+    rows += [(2 * k + 1, rows[k][1] + " more") for k in (3, 30)]
+    placed, write = [], jaccard.materialize
+
+    def written(df, name):
+        out = write(df, name)
+        if name == "jaccard-placed":
+            placed.append(out.count())
+        return out
+
+    for name, value in {"REPEATED": 1 << 30, "SHARED": 1, "POINTED": 500}.items():
+        monkeypatch.setattr(jaccard, name, value, raising=False)
+    monkeypatch.setattr(jaccard, "materialize", written)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link_classes(df).collect()) == brute_links(rows)
+    assert placed == [4]
+
+
 def test_jaccard_long_shingles_lead():
     """Frequent short words, which strangers share, do not come among the leading coordinates of a text with longer ones."""
     short = " ".join("the of and to in it is as by on at an or if".split() * 2)
