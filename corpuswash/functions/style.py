@@ -65,7 +65,7 @@ def variation(text: Column) -> Column:
             squares = F.aggregate(lengths, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
             return F.when((n >= MIN_SENTENCES) & (mean >= MIN_MEAN_WORDS), F.sqrt(squares / n) / mean)
 
-        return bind(total / n, spread)
+        return bind(F.when(n >= MIN_SENTENCES, total / n), spread)  # a text without words has no mean
 
     return bind(sentence_lengths(text), of)
 

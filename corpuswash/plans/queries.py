@@ -185,8 +185,8 @@ SELECT doc_id, CAST(sentences AS INT) AS sentences, round(sqrt(list_sum(list_tra
 AND sqrt(list_sum(list_transform(w, lambda n: (n - mean) * (n - mean))) / sentences) / mean < 0.35""")
 def style_burstiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    docs = docs.select("doc_id", F.size(style.sentence_lengths(F.col("text"))).alias("sentences"), F.round(style.variation(F.col("text")), 9).alias("cv"))
-    return docs.filter(F.col("cv") < style.LOW_VARIATION)
+    docs = docs.select("doc_id", F.size(style.sentence_lengths(F.col("text"))).alias("sentences"), style.variation(F.col("text")).alias("cv"))
+    return docs.filter(F.col("cv") < style.LOW_VARIATION).withColumn("cv", F.round("cv", 9))
 
 
 @query("style_em_dash", f"""{_S}, x AS (SELECT doc_id, len(regexp_extract_all(t, '[^\\s]+')) AS words, length(t) - length(replace(t, chr(8212), '')) AS dashes FROM d)

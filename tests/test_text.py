@@ -138,6 +138,13 @@ def test_style(spark):
     assert one(spark, None, style.inspect_style) == []
 
 
+def test_style_of_texts_without_words(spark):
+    """Neither an empty nor a blank text has a mean sentence length; the query leaves them out."""
+    for text in ("", " \n", "...", None):
+        assert one(spark, text, style.variation) is None
+        assert one(spark, text, style.inspect_style) == []
+
+
 def test_passes_by_extension_and_order(spark):
     rows = [("a.md", "---\nauthor: x\n---\nb​"), ("a.html", "<!-- c -->“q”"), ("a.svg", "<svg><metadata/></svg>"), ("a.txt", "<!-- c -->"), ("n.txt", None)]
     df = spark.createDataFrame(rows, "path string, text string")
