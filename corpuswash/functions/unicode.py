@@ -31,7 +31,7 @@ def char_class(categories: list[str]) -> str:
     return "[" + "".join(f"\\x{{{a:04X}}}" if a == b else f"\\x{{{a:04X}}}-\\x{{{b:04X}}}" for a, b in ranges) + "]"
 
 
-_NOT_FIRST_MARK = r"(?!^\x{FEFF})"
+_NOT_FIRST_MARK = r"(?<!^\x{FEFF})"  # after the class, so that it is looked at for hits only
 _TYPOGRAPHIC = "[" + "".join(chars for _, chars, _ in TYPOGRAPHY) + "]"
 
 
@@ -55,7 +55,7 @@ def typography_kind(char: Column) -> Column:
 
 def invisible_chars(text: Column) -> Column:
     """All invisible characters of the text, in order."""
-    return F.regexp_extract_all(text, F.lit(_NOT_FIRST_MARK + char_class(list(CATEGORIES))), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(char_class(list(CATEGORIES)) + _NOT_FIRST_MARK), F.lit(0))
 
 
 def typographic_chars(text: Column) -> Column:
@@ -93,7 +93,7 @@ def removed_categories(options: TextOptions) -> list[str]:
 
 def strip_invisible(text: Column, options: TextOptions = TextOptions()) -> Column:
     gone = removed_categories(options)
-    return F.regexp_replace(text, _NOT_FIRST_MARK + char_class(gone), "") if gone else text
+    return F.regexp_replace(text, char_class(gone) + _NOT_FIRST_MARK, "") if gone else text
 
 
 def normalize_typography(text: Column) -> Column:
