@@ -263,3 +263,13 @@ def test_stream(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         clean_text_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert [r["cleaned"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["---\n---\nb"]
+
+
+def test_files_go_to_python_in_small_batches(spark):
+    """A worker holds a bounded number of whole files, however many rows a partition has."""
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    files = spark.range(1000).coalesce(1).select("id", F.lit(bytes(8)).alias("content"))
+    out = b.clean_files(files, "mp3", key="id")
+    most = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    assert most <= 1000
+    assert out.filter("ok AND bytes_out = 8").count() == 1000
